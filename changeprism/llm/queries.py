@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from changeprism.llm.nearest import issues_to_merges
+from changeprism.llm.tokenize import decode, encode
 from changeprism.session import table
 
 
@@ -27,6 +28,16 @@ def p3_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merges(spark, sf_dir)
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again; null comes back as an empty text."""
+    return decode(p7_ids(spark, sf_dir))
+
+
 _P3 = """
 WITH i AS (SELECT repo_id, number, arg_max({'at': closed_at}, (fetched_at, id)) AS n FROM github_issues GROUP BY repo_id, number),
 p AS (SELECT repo_id, number, arg_max({'ok': merged AND regexp_matches(merge_commit_sha, '\\S'), 'at': merged_at, 'sha': merge_commit_sha}, (fetched_at, id)) AS n
@@ -37,8 +48,14 @@ x AS (SELECT i.repo_id, i.number AS issue_number, p.number AS pr_number, p.n.sha
 """
 _P3_BEST = "FROM x QUALIFY row_number() OVER (PARTITION BY repo_id, issue_number ORDER BY abs(distance_us), pr_number) = 1"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p3_merges": p3_merges}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_merges": p3_merges,
+    "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
+}
 SQL: dict[str, str] = {
     "p3_found": _P3 + "SELECT repo_id, issue_number, pr_number " + _P3_BEST,
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p3_merges": _P3 + "SELECT repo_id, issue_number, pr_number, merge_commit_sha, distance_us " + _P3_BEST,
 }
