@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from changeprism.llm.mojibake import garbled_texts
 from changeprism.llm.nearest import issues_to_merges
 from changeprism.llm.tokenize import decode, encode
 from changeprism.session import table
@@ -38,6 +39,16 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(p7_ids(spark, sf_dir))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with text that was decoded with a wrong encoding."""
+    return garbled_texts(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled documents as far as they could be restored."""
+    return garbled_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 _P3 = """
 WITH i AS (SELECT repo_id, number, arg_max({'at': closed_at}, (fetched_at, id)) AS n FROM github_issues GROUP BY repo_id, number),
 p AS (SELECT repo_id, number, arg_max({'ok': merged AND regexp_matches(merge_commit_sha, '\\S'), 'at': merged_at, 'sha': merge_commit_sha}, (fetched_at, id)) AS n
@@ -53,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_merges": p3_merges,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 SQL: dict[str, str] = {
     "p3_found": _P3 + "SELECT repo_id, issue_number, pr_number " + _P3_BEST,
