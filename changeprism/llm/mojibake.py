@@ -188,31 +188,40 @@ def _inside(run: str, before: bool, after: bool) -> tuple[str | None, bool]:
     return None, False
 
 
-_CYRILLIC_WORD = re.compile("[А-яЁё]{2,}")
+_CYRILLIC_WORD = re.compile("[А-яЁё]+")
 
 
-def _swapped_lines(text: str) -> tuple[str, bool]:
-    """Lines of mostly capital Cyrillic whose words are likelier Russian under another Cyrillic encoding, put right."""
-    found = False
-
-    def line(m: re.Match) -> str:
-        nonlocal found
-        words = _CYRILLIC_WORD.findall(m[0])
-        letters = "".join(words)
-        if len(letters) < 10 or 2 * sum(map(str.isupper, letters)) < len(letters):
-            return m[0]
-        own = sum(_cyrillic_cost(w) * len(w) for w in words) / len(letters)
-        for read, meant in (("cp1251", "koi8-r"), ("koi8-r", "cp1251")):
-            try:
-                fixed = [w.encode(read).decode(meant) for w in words]
-            except UnicodeError:
-                continue
-            if all(c.lower() in _RU_COST for w in fixed for c in w) and own - sum(_cyrillic_cost(w) * len(w) for w in fixed) / len(letters) > 0.35:
-                found = True
-                return re.sub("[А-яЁё]+", lambda x: x[0].encode(read, "replace").decode(meant), m[0])
-        return m[0]
+def _capital(word: str) -> bool:
+    return 2 * sum(map(str.isupper, word)) >= len(word)
+
 
-    return re.sub("[^\n]*[А-Я]{3}[^\n]*", line, text), found
+def _swapped_line(line: str) -> str | None:
+    """``line`` with its mostly capital Cyrillic words put right if they are likelier Russian in another encoding."""
+    words = [w for w in _CYRILLIC_WORD.findall(line) if len(w) > 1 and _capital(w)]
+    letters = sum(map(len, words))
+    if letters < 10:
+        return None
+    own = sum(_cyrillic_cost(w) * len(w) for w in words) / letters
+    for read, meant in (("cp1251", "koi8-r"), ("koi8-r", "cp1251")):
+        try:
+            fixed = [w.encode(read).decode(meant) for w in words]
+        except UnicodeError:
+            continue
+        if all(c.lower() in _RU_COST for w in fixed for c in w) and own - sum(_cyrillic_cost(w) * len(w) for w in fixed) / letters > 0.35:
+            return _CYRILLIC_WORD.sub(lambda m: m[0].encode(read, "replace").decode(meant) if _capital(m[0]) else m[0], line)
+    return None
+
+
+_CAPITALS = re.compile("[А-Я]{3}")
+
+
+def _swapped_lines(text: str) -> tuple[str, bool]:
+    """(text with such lines put right, whether there was one)."""
+    if not _CAPITALS.search(text):
+        return text, False
+    lines = text.split("\n")
+    fixed = [_swapped_line(x) if _CAPITALS.search(x) else None for x in lines]
+    return "\n".join(x if f is None else f for x, f in zip(lines, fixed, strict=True)), any(f is not None for f in fixed)
 
 
 def _layer(text: str) -> tuple[str, bool, bool]:
