@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from changeprism.llm.mojibake import garbled_texts
 from changeprism.llm.nearest import issues_to_merges
+from changeprism.llm.secrets import credential_lines, redacted_texts
 from changeprism.llm.tokenize import decode, encode
 from changeprism.session import table
 
@@ -29,6 +30,16 @@ def p3_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merges(spark, sf_dir)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of messages and patches in which a credential begins."""
+    return credential_lines(table(spark, sf_dir, "github_commits", "id", "message", "raw_data"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages and patches with a credential, only the secret values replaced."""
+    return redacted_texts(table(spark, sf_dir, "github_commits", "id", "message", "raw_data"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return encode(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -62,6 +73,8 @@ _P3_BEST = "FROM x QUALIFY row_number() OVER (PARTITION BY repo_id, issue_number
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_merges": p3_merges,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p9_found": p9_found,
