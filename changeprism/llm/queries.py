@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from changeprism.llm.leakage import leaked_items
 from changeprism.llm.mojibake import garbled_texts
 from changeprism.llm.nearest import issues_to_merges
 from changeprism.llm.secrets import credential_lines, redacted_texts
@@ -50,6 +51,16 @@ def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode(p7_ids(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation item that leaked into them."""
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p8_found, with the number of the passage's words that the document holds."""
+    return leaked_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "passage"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with text that was decoded with a wrong encoding."""
     return garbled_texts(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id")
@@ -77,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_redacted": p4_redacted,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
