@@ -9,11 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from changeprism.llm.leakage import leaked_items
 from changeprism.llm.mojibake import garbled_texts
 from changeprism.llm.nearest import issues_to_merges
+from changeprism.llm.pii import occurrences, replaced
 from changeprism.llm.secrets import credential_lines, redacted_texts
 from changeprism.llm.tokenize import decode, encode
 from changeprism.session import table
 
 
+#: Key of the surrogates in p1_surrogates; a deployment passes its own secret.
+SURROGATE_KEY = b"demonstration key"
+
+
+def _free_text(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, str, str]]:
+    names = (("github_issues", "body"), ("github_pull_requests", "body"), ("github_commits", "message"))
+    return [(t, table(spark, sf_dir, t, "id", c), "id", c) for t, c in names]
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences of personal information in bodies and messages."""
+    return occurrences(_free_text(spark, sf_dir))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that hold personal information, with typed placeholders."""
+    return replaced(_free_text(spark, sf_dir))
+
+
+def p1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that hold personal information, with keyed replacements of the same type and form."""
+    return replaced(_free_text(spark, sf_dir), SURROGATE_KEY)
+
+
 def _merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues_to_merges(
         table(spark, sf_dir, "github_issues", "id", "repo_id", "number", "closed_at", "fetched_at"),
@@ -82,6 +107,9 @@ x AS (SELECT i.repo_id, i.number AS issue_number, p.number AS pr_number, p.n.sha
 _P3_BEST = "FROM x QUALIFY row_number() OVER (PARTITION BY repo_id, issue_number ORDER BY abs(distance_us), pr_number) = 1"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
+    "p1_surrogates": p1_surrogates,
     "p3_found": p3_found,
     "p3_merges": p3_merges,
     "p4_found": p4_found,
