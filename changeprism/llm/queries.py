@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from changeprism.llm.leakage import leaked_items
 from changeprism.llm.mojibake import garbled_texts
+from changeprism.llm.names import linked
 from changeprism.llm.nearest import issues_to_merges
 from changeprism.llm.pii import occurrences, replaced
 from changeprism.llm.secrets import credential_lines, redacted_texts
@@ -66,6 +67,14 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted_texts(table(spark, sf_dir, "github_commits", "id", "message", "raw_data"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of developers and commits that mean one person or organisation."""
+    return linked(
+        table(spark, sf_dir, "github_developers", "id", "repo_id", "name", "email", "github_login"),
+        table(spark, sf_dir, "github_commits", "id", "repo_id", "author_name", "author_email"),
+    )
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return encode(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -114,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_merges": p3_merges,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
+    "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p8_found": p8_found,
