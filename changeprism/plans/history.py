@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeprism.functions import diff, text
-from changeprism.operators import coupling, incidents, linking, ownership, risk, tables
+from changeprism.operators import coupling, incidents, linking, ownership, review, risk, tables
 from changeprism.session import table
 from changeprism.sources.gitlog import commit_files
 from changeprism.streaming import events as streams
@@ -388,3 +388,83 @@ def stream_hourly_counts(s, d):
 SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, s""")
 def stream_sessions(s, d):
     return streams.sessions(table(s, d, "events", "ts", "user_id")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""WITH m AS (SELECT id, list_filter(string_split(coalesce(body, ''), chr(10)), lambda x: length(trim(x)) >= 0) AS l FROM github_issues)
+SELECT id, CASE WHEN len(list_filter(l, lambda x: trim(x) <> '')) = 0 THEN 'whitespace' WHEN len(list_filter(l, lambda x: NOT (trim(x) = '' OR regexp_matches(trim(x), '^(?://|#|\\*|/\\*|--)')))) = 0 THEN 'comment' WHEN len(l) < 10 THEN 'small' ELSE 'complex' END AS kind FROM m""")
+def review_tier_zero(s, d):
+    t = table(s, d, "github_issues", "id", "body")
+    return t.select("id", review.tier_zero(F.split(F.coalesce("body", F.lit("")), "\n"), F.array(F.lit("src/a.py"))).getField("kind").alias("kind"))
+
+
+@query("""SELECT id FROM github_issues WHERE len(list_filter(string_split_regex(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda x: x = 'hangs')) + len(list_filter(string_split_regex(lower(coalesce(body, '')), '[^a-z0-9]+'), lambda x: x = 'hangs')) > 0
+AND len(list_filter(string_split_regex(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda x: x = 'the')) + len(list_filter(string_split_regex(lower(coalesce(body, '')), '[^a-z0-9]+'), lambda x: x = 'the')) > 0
+ORDER BY (len(list_filter(string_split_regex(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda x: x IN ('hangs', 'the'))) * 1e0 + len(list_filter(string_split_regex(lower(coalesce(body, '')), '[^a-z0-9]+'), lambda x: x IN ('hangs', 'the'))) * 4e-1) DESC, id LIMIT 10""")
+def incident_search(s, d):
+    t = table(s, d, "github_issues", "id", "title", "body")
+    return review.search(t, "id", [("title", 1.0), ("body", 0.4)], "hangs the").select("id")
+
+
+@query("SELECT id, sha FROM github_commits WHERE processed_at IS NULL ORDER BY author_date NULLS FIRST, id LIMIT 100")
+def scan_unprocessed_commits(s, d):
+    return review.unprocessed(table(s, d, "github_commits", "id", "sha", "author_date", "processed_at"), "author_date", 100).select("id", "sha")
+
+
+@query("SELECT o_orderkey, len(l) AS n, l[1] AS first_part FROM (SELECT o_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS l FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)")
+def scan_order_lines(s, d):
+    o = table(s, d, "orders", "o_orderkey")
+    l = table(s, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").withColumnRenamed("l_orderkey", "o_orderkey")  # noqa: E741
+    return review.with_children(o, l, ["o_orderkey"], ["l_linenumber", "l_partkey"], ["l_partkey"]).where("children IS NOT NULL").select("o_orderkey", F.size("children").cast("bigint").alias("n"), F.col("children")[0]["l_partkey"].alias("first_part"))
+
+
+@query("""WITH r AS (SELECT issue_number AS issue, repo_id AS sha, final_confidence AS confidence, detection_method AS method FROM github_issue_pr_links WHERE final_confidence IS NOT NULL AND detection_method IS NOT NULL),
+g AS (SELECT issue, sha, max(confidence) AS c, count(DISTINCT method) AS m, arg_max(method, (confidence, method)) AS method FROM r GROUP BY 1, 2)
+SELECT issue, sha, round(CASE WHEN m > 1 THEN least(c + 5e-2, 95e-2) ELSE c END, 6) AS confidence, CASE WHEN m > 1 THEN 'bidirectional' ELSE method END AS method FROM g""")
+def link_merged_references(s, d):
+    t = table(s, d, "github_issue_pr_links", "issue_number", "repo_id", "final_confidence", "detection_method").where("final_confidence IS NOT NULL AND detection_method IS NOT NULL")
+    return review.merge_references(t.toDF("issue", "sha", "confidence", "method")).select("issue", "sha", *r6("confidence"), "method")
+
+
+@query("""SELECT repo_id, count(*) AS commits, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions, max(author_date) AS last_at FROM github_commits WHERE author_date >= TIMESTAMP '2024-06-01' - INTERVAL 365 DAYS GROUP BY 1""")
+def scan_recent_activity(s, d):
+    t = table(s, d, "github_commits", "repo_id", "additions", "deletions", "author_date").where(coupling.in_window("author_date", as_of("2024-06-01 00:00:00"), 365))
+    return t.groupBy("repo_id").agg(F.count("*").alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.max("author_date").alias("last_at"))
+
+
+@query("WITH i AS (SELECT p_name AS canonical, p_partkey FROM part WHERE p_partkey % 3 = 0), m AS (SELECT p_brand AS canonical, p_name AS path FROM part WHERE p_partkey % 3 = 1), a AS (SELECT path, min(canonical) AS canonical FROM m GROUP BY 1) SELECT DISTINCT p_name AS path, coalesce(a.canonical, p_name) AS canonical FROM part LEFT JOIN a ON a.path = p_name")
+def graph_canonical_paths(s, d):
+    t = table(s, d, "part", "p_partkey", "p_name", "p_brand")
+    former = t.where("p_partkey % 3 = 1").groupBy(F.col("p_brand").alias("canonical")).agg(F.collect_set("p_name").alias("former"))
+    return tables.canonical_paths(former, t.select(F.col("p_name").alias("path")))
+
+
+@query("SELECT l_suppkey AS block, count(DISTINCT x.l_orderkey) AS shared FROM lineitem x GROUP BY 1 HAVING count(DISTINCT x.l_orderkey) > 0")
+def coupling_commit_counts(s, d):
+    return table(s, d, "lineitem", "l_suppkey", "l_orderkey").groupBy(F.col("l_suppkey").alias("block")).agg(F.countDistinct("l_orderkey").alias("shared"))
+
+
+@query("""WITH e AS (SELECT id, len(list_distinct(evidence_sources)) AS n, list_contains(evidence_sources, 'temporal') AS temporal FROM github_issue_pr_links)
+SELECT coalesce(n, -1) AS kinds, count(*) AS links, count(*) FILTER (temporal) AS temporal FROM e GROUP BY 1""")
+def link_evidence_diversity(s, d):
+    t = table(s, d, "github_issue_pr_links", "evidence_sources")
+    return t.select(F.coalesce(F.size(F.array_distinct("evidence_sources")).cast("bigint"), F.lit(-1)).alias("k"), F.array_contains("evidence_sources", "temporal").alias("t"), F.col("evidence_sources").isNull().alias("none")).groupBy(F.when(F.col("none"), -1).otherwise(F.col("k")).alias("kinds")).agg(F.count("*").alias("links"), F.count_if("t").alias("temporal"))
+
+
+@query("""WITH t AS (SELECT try_cast(try_cast(temporal_analysis AS JSON) ->> '$.temporal_delta_seconds' AS DOUBLE) AS d FROM github_issue_pr_links)
+SELECT count(*) FILTER (d < 300) AS minutes5, count(*) FILTER (d >= 300 AND d < 3600) AS hour, count(*) FILTER (d >= 3600 AND d < 86400) AS day, count(*) FILTER (d >= 86400) AS later FROM t""")
+def link_temporal_precision(s, d):
+    x = F.get_json_object("temporal_analysis", "$.temporal_delta_seconds").try_cast("double")
+    c = F.col("d")
+    t = table(s, d, "github_issue_pr_links", "temporal_analysis").select(x.alias("d"))
+    return t.agg(F.count_if(c < 300).alias("minutes5"), F.count_if((c >= 300) & (c < 3600)).alias("hour"), F.count_if((c >= 3600) & (c < 86400)).alias("day"), F.count_if(c >= 86400).alias("later"))
+
+
+@query("""WITH i AS (SELECT repo_id, count(*) AS closed FROM github_issues WHERE closed_at IS NOT NULL GROUP BY 1), l AS (SELECT repo_id, count(DISTINCT issue_number) AS linked, avg(final_confidence) AS conf FROM github_issue_pr_links WHERE final_confidence >= 5e-1 GROUP BY 1),
+x AS (SELECT repo_id, least(100e0, coalesce(linked, 0) * 100e0 / closed) * 4e-1 + coalesce(conf, 0) * 100e0 * 35e-2 + 50e0 * 15e-2 + 5e0 AS score FROM i LEFT JOIN l USING (repo_id))
+SELECT repo_id, round(score, 6) AS score, CASE WHEN score >= 97 THEN 'A+' WHEN score >= 93 THEN 'A' WHEN score >= 90 THEN 'A-' WHEN score >= 87 THEN 'B+' WHEN score >= 83 THEN 'B' WHEN score >= 80 THEN 'B-' WHEN score >= 77 THEN 'C+' WHEN score >= 73 THEN 'C' WHEN score >= 70 THEN 'C-' WHEN score >= 67 THEN 'D+' WHEN score >= 63 THEN 'D' WHEN score >= 60 THEN 'D-' ELSE 'F' END AS grade FROM x""")
+def link_quality_score(s, d):
+    i = table(s, d, "github_issues", "repo_id", "closed_at").where("closed_at IS NOT NULL").groupBy("repo_id").agg(F.count("*").alias("closed"))
+    l = table(s, d, "github_issue_pr_links", "repo_id", "issue_number", "final_confidence").where("final_confidence >= 0.5").groupBy("repo_id").agg(F.countDistinct("issue_number").alias("linked"), F.avg("final_confidence").alias("conf"))  # noqa: E741
+    cover = F.least(F.lit(100.0), F.coalesce("linked", F.lit(0)) * 100.0 / F.col("closed"))
+    score = linking.clqs([cover, F.coalesce("conf", F.lit(0.0)) * 100.0, F.lit(50.0), F.lit(50.0), F.lit(50.0)])
+    return i.join(l, "repo_id", "left").select("repo_id", score.alias("raw")).select("repo_id", F.round("raw", 6).alias("score"), linking.grade(F.col("raw")).alias("grade"))
