@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Paths that are documentation (fixed values).
 DOC_SUFFIX = r"(?i)\.(?:md|txt|rst|adoc)$"
-DOC_NAME = r"(?i)(?:README|LICENSE|CHANGELOG|CONTRIBUTING|AUTHORS)"
+DOC_NAME = r"(?i)(?:README|LICENSE|CHANGELOG|AUTHORS|CONTRIBUTORS)"
 PRIORITY = {"RENAME_BLOCK": 4, "MODIFY_BLOCK": 3, "CREATE_BLOCK": 2, "DELETE_BLOCK": 1}
 
 
@@ -22,7 +22,7 @@ def tier_zero(changed_lines: Column, paths: Column) -> Column:
     comment = F.forall(body, lambda x: (x == "") | x.rlike(r"^(?://|#|\*|/\*|--)"))
     few = (F.size(changed_lines) < 10) & (F.size(paths) <= 3)
     rule = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.lit(c).alias("confidence"))
-    return F.when(blank, rule("whitespace", 0.95)).when(comment, rule("comment", 0.90)).when(docs_only(paths), rule("docs", 0.85)).when(few, rule("small", 0.70)).otherwise(rule("complex", 0.80))
+    return F.when(blank, rule("whitespace", 0.95)).when(comment, rule("comment", 0.90)).when(docs_only(paths), rule("documentation", 0.85)).when(few, rule("small_change", 0.70)).otherwise(rule("complex", 0.80))
 
 
 def merge_events(events: DataFrame) -> DataFrame:

@@ -391,7 +391,7 @@ def stream_sessions(s, d):
 
 
 @query("""WITH m AS (SELECT id, list_filter(string_split(coalesce(body, ''), chr(10)), lambda x: length(trim(x)) >= 0) AS l FROM github_issues)
-SELECT id, CASE WHEN len(list_filter(l, lambda x: trim(x) <> '')) = 0 THEN 'whitespace' WHEN len(list_filter(l, lambda x: NOT (trim(x) = '' OR regexp_matches(trim(x), '^(?://|#|\\*|/\\*|--)')))) = 0 THEN 'comment' WHEN len(l) < 10 THEN 'small' ELSE 'complex' END AS kind FROM m""")
+SELECT id, CASE WHEN len(list_filter(l, lambda x: trim(x) <> '')) = 0 THEN 'whitespace' WHEN len(list_filter(l, lambda x: NOT (trim(x) = '' OR regexp_matches(trim(x), '^(?://|#|\\*|/\\*|--)')))) = 0 THEN 'comment' WHEN len(l) < 10 THEN 'small_change' ELSE 'complex' END AS kind FROM m""")
 def review_tier_zero(s, d):
     t = table(s, d, "github_issues", "id", "body")
     return t.select("id", review.tier_zero(F.split(F.coalesce("body", F.lit("")), "\n"), F.array(F.lit("src/a.py"))).getField("kind").alias("kind"))
