@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeprism.functions import diff, text
-from changeprism.operators import coupling, incidents, linking, ownership, review, risk, tables
+from changeprism.operators import coupling, incidents, linking, ownership, review, risk, summary, tables
 from changeprism.session import table
 from changeprism.sources.gitlog import commit_files
 from changeprism.streaming import events as streams
@@ -468,3 +468,58 @@ def link_quality_score(s, d):
     cover = F.least(F.lit(100.0), F.coalesce("linked", F.lit(0)) * 100.0 / F.col("closed"))
     score = linking.clqs([cover, F.coalesce("conf", F.lit(0.0)) * 100.0, F.lit(50.0), F.lit(50.0), F.lit(50.0)])
     return i.join(l, "repo_id", "left").select("repo_id", score.alias("raw")).select("repo_id", F.round("raw", 6).alias("score"), linking.grade(F.col("raw")).alias("grade"))
+
+
+@query(_BLOCKS + ", z AS (SELECT block, CASE WHEN block % 7 = 0 THEN 'class' ELSE 'function' END AS kind, incidents, couplings * avg_rate AS rate_sum, staleness_days FROM k WHERE incidents >= 1) SELECT block, kind, incidents, round(incidents * 10e0 + coalesce(rate_sum, 0) * 2e0 + least(staleness_days / 30e0, 3e0) + CASE WHEN kind = 'class' THEN 2e0 ELSE 0e0 END, 6) AS risk_score FROM z ORDER BY risk_score DESC, block LIMIT 10")
+def risk_summary(s, d):
+    b = _blocks(s, d).select("block", F.when(F.col("block") % 7 == 0, "class").otherwise("function").alias("kind"), "incidents", (F.col("couplings") * F.col("avg_rate")).alias("rate_sum"), "staleness_days")
+    return summary.risk_summary(b, min_incidents=1).select("block", "kind", "incidents", "risk_score")
+
+
+@query(_CH + ", " + _HITS + ", c AS (SELECT DISTINCT block, sha, t_at FROM ch) SELECT c.block, c.sha, list_sort(list(DISTINCT h.issue) FILTER (h.issue IS NOT NULL)) AS issues FROM c JOIN h ON h.block = c.block AND abs(epoch_us(c.t_at) - epoch_us(h.t_at)) <= 7 * 86400000000 GROUP BY 1, 2")
+def incident_unit_history(s, d):
+    c = _changes(s, d).select("block", "sha", "at").distinct()
+    return summary.unit_history(c, _hits(s, d)).where(F.size("issues") > 0).select("block", "sha", "issues")
+
+
+@query(_CH + ", m AS (SELECT DISTINCT sha FROM ch WHERE block IN (1, 2, 3)), n AS (SELECT block AS other, count(DISTINCT sha) AS n FROM ch WHERE block NOT IN (1, 2, 3) AND sha IN (SELECT sha FROM m) GROUP BY 1) SELECT other, n, round(n / (SELECT count(*) FROM m)::DOUBLE, 6) AS frequency FROM n WHERE n >= 3 OR n / (SELECT count(*) FROM m)::DOUBLE >= 3e-1 ORDER BY n DESC, other LIMIT 10")
+def coupling_partners_of(s, d):
+    return summary.partners(_changes(s, d), [1, 2, 3]).select("other", "n", *r6("frequency"))
+
+
+@query("""WITH i AS (SELECT repo_id, CASE WHEN contains(labels, 'critical') THEN 'critical' WHEN contains(labels, 'p1') THEN 'high' ELSE 'low' END AS severity, created_at AS c, closed_at AS r FROM github_issues WHERE created_at IS NOT NULL)
+SELECT repo_id, count(*) AS total, count(*) FILTER (epoch_us(TIMESTAMP '2024-06-01') - epoch_us(c) <= 30 * 86400000000) AS last_30, count(*) FILTER (epoch_us(TIMESTAMP '2024-06-01') - epoch_us(c) <= 90 * 86400000000) AS last_90,
+count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, round(avg((epoch_us(r) - epoch_us(c)) / 1e6), 3) AS mean_seconds FROM i GROUP BY 1""")
+def incident_file_statistics(s, d):
+    t = table(s, d, "github_issues", "repo_id", "labels", "created_at", "closed_at").where("created_at IS NOT NULL")
+    sev = F.when(F.col("labels").contains("critical"), "critical").when(F.col("labels").contains("p1"), "high").otherwise("low")
+    i = t.select("repo_id", sev.alias("severity"), F.col("created_at").alias("at"), F.col("closed_at").alias("resolved_at"))
+    return summary.file_statistics(i, "repo_id", as_of("2024-06-01 00:00:00")).select("repo_id", "total", "last_30", "last_90", "critical", "high", F.round("mean_seconds", 3).alias("mean_seconds"))
+
+
+@query("""WITH k AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS type FROM part WHERE p_partkey % 2 = 0), w AS (SELECT DISTINCT p_name AS name, p_brand AS brand, p_type AS type FROM part),
+a AS (SELECT name, brand, type, min(id) AS id FROM k GROUP BY 1, 2, 3), b AS (SELECT brand, type, min(id) AS id FROM k GROUP BY 1, 2), c AS (SELECT brand, min(id) AS id FROM k GROUP BY 1)
+SELECT w.name, w.brand, w.type, coalesce(a.id, b.id, c.id)::VARCHAR AS id, CASE WHEN a.id IS NOT NULL THEN 0 WHEN b.id IS NOT NULL THEN 1 WHEN c.id IS NOT NULL THEN 2 END AS tier FROM w LEFT JOIN a USING (name, brand, type) LEFT JOIN b ON b.brand = w.brand AND b.type = w.type LEFT JOIN c ON c.brand = w.brand""")
+def graph_match_by_tiers(s, d):
+    t = table(s, d, "part", "p_partkey", "p_name", "p_brand", "p_type").toDF("id", "name", "brand", "type")
+    return summary.match_by_tiers(t.select("name", "brand", "type").distinct(), t.where("id % 2 = 0"), [["name", "brand", "type"], ["brand", "type"], ["brand"]], "id", "new_function")
+
+
+@query("""WITH x AS (SELECT issue_number * 1000 + repo_id AS issue, pr_number AS candidate, final_confidence AS score FROM github_issue_pr_links WHERE pr_number IS NOT NULL AND issue_number IS NOT NULL AND final_confidence IS NOT NULL), y AS (SELECT issue, candidate, max(score) AS score FROM x GROUP BY 1, 2),
+r AS (SELECT *, max(score) OVER (PARTITION BY issue) AS best, row_number() OVER w AS rank, max(score) OVER (PARTITION BY issue) - lead(score) OVER w AS gap FROM y WINDOW w AS (PARTITION BY issue ORDER BY score DESC, candidate))
+SELECT issue, candidate, rank::INT AS rank, round(least(85e-2, 5e-1 + 35e-2 * score), 6) AS confidence, CASE WHEN rank > 1 OR coalesce(gap, 1) < 3e-2 THEN 'low' ELSE 'medium' END AS quality FROM r WHERE score >= greatest(65e-2, best - 1e-1) AND rank <= 3""")
+def link_selection(s, d):
+    t = table(s, d, "github_issue_pr_links", "repo_id", "issue_number", "pr_number", "final_confidence").where("pr_number IS NOT NULL AND issue_number IS NOT NULL AND final_confidence IS NOT NULL")
+    y = t.groupBy((F.col("issue_number") * 1000 + F.col("repo_id")).alias("issue"), F.col("pr_number").alias("candidate")).agg(F.max("final_confidence").alias("score"))
+    return summary.select_links(y).select("issue", "candidate", "rank", *r6("confidence"), "quality")
+
+
+@query("SELECT o_orderpriority AS kind, round(quantile_cont(o_totalprice, 0.5), 6) AS median, count(*) AS n FROM orders GROUP BY 1")
+def scan_medians(s, d):
+    return table(s, d, "orders", "o_orderpriority", "o_totalprice").groupBy(F.col("o_orderpriority").alias("kind")).agg(F.round(F.percentile("o_totalprice", F.lit(0.5)), 6).alias("median"), F.count("*").alias("n"))
+
+
+@query("SELECT source, doc_kind, count(*) AS documents, sum(length(text))::BIGINT AS chars FROM documents WHERE text IS NOT NULL GROUP BY 1, 2")
+def scan_documents(s, d):
+    t = table(s, d, "documents", "source", "doc_kind", "text").where("text IS NOT NULL")
+    return t.groupBy("source", "doc_kind").agg(F.count("*").alias("documents"), F.sum(F.length("text").cast("bigint")).alias("chars"))
