@@ -2,15 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from json import dumps, loads
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def file_objects(value) -> Iterator[dict]:
+    """Every object with a filename in a JSON value, under any key, in arrays or alone; strings of JSON are read through."""
+    if isinstance(value, str):
+        if value.lstrip()[:1] not in ("{", "[", '"'):
+            return
+        try:
+            value = loads(value)
+        except (ValueError, RecursionError):
+            return
+        yield from file_objects(value)
+    elif isinstance(value, dict):
+        if value.get("filename") is not None:
+            yield value
+        for k, x in value.items():
+            if k != "patch":
+                yield from file_objects(x)
+    elif isinstance(value, list):
+        for x in value:
+            yield from file_objects(x)
+
+
+def _text(x) -> str | None:
+    return None if x is None else (x if isinstance(x, str) else dumps(x)).encode("utf-8", "replace").decode()
+
+
+def _int(x) -> int | None:
+    return x if type(x) is int and -(2**31) <= x < 2**31 else None
+
+
 def commit_files(commits: DataFrame, json: str = "raw_data") -> DataFrame:
-    """(repo_id, sha, filename, status, additions, deletions) of the files array of each commit's JSON."""
-    kind = "files array<struct<filename string, status string, additions int, deletions int, patch string>>"
-    f = commits.select("repo_id", "sha", F.explode(F.from_json(json, f"struct<{kind}>").getField("files")).alias("f"))
-    return f.select("repo_id", "sha", "f.filename", "f.status", "f.additions", "f.deletions", "f.patch").where("filename IS NOT NULL")
+    """(repo_id, sha, filename, status, additions, deletions, patch) of each file object of each commit's JSON.
+
+    The JSON may be a string of JSON, and its file objects may lie under any key. Incomplete JSON gives no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, files = [], []
+            for i, raw in enumerate(batch.column("raw").to_pylist()):
+                try:
+                    own = list(file_objects(raw.lstrip("\ufeff")))
+                except RecursionError:
+                    continue
+                at += [i] * len(own)
+                files += own
+            rows = pa.array(at, pa.int64())
+            texts = {k: pa.array([_text(f.get(k)) for f in files], pa.string()) for k in ("filename", "status", "patch")}
+            counts = {k: pa.array([_int(f.get(k)) for f in files], pa.int32()) for k in ("additions", "deletions")}
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("repo_id").take(rows), batch.column("sha").take(rows), texts["filename"], texts["status"], counts["additions"], counts["deletions"], texts["patch"]],
+                ["repo_id", "sha", "filename", "status", "additions", "deletions", "patch"],
+            )
+
+    raw = F.col(json).cast("string")
+    # a key may be written with escapes
+    some = commits.select("repo_id", "sha", raw.alias("raw")).where(F.col("raw").contains("filename") | F.col("raw").contains("\\u"))
+    kinds = {f.name: f.dataType.simpleString() for f in some.schema.fields}
+    return some.mapInArrow(run, f"repo_id {kinds['repo_id']}, sha {kinds['sha']}, filename string, status string, additions int, deletions int, patch string")
 
 
 def git_log(spark: SparkSession, path: str) -> DataFrame:

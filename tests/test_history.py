@@ -1,6 +1,7 @@
 """Small cases with known results for the change-history operators."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,25 @@ def test_git_log(spark, tmp_path):
     assert got == [("s1", "first|part", 1, False), ("s2", "second", 0, True)]
 
 
+def test_commit_files_of_every_shape(spark):
+    f = lambda name, **more: {"filename": name, "status": "modified", "additions": 2, "deletions": 1, "patch": "@@ -1,2 +3 @@\n+x"} | more
+    s = json.dumps
+    shapes = {
+        "root": (s({"files": [f("a"), f("b")]}), "ab"), "key": (s({"changed_files": [f("a")]}), "a"), "deep": (s({"payload": {"files": [f("a")]}, "version": 2}), "a"), "both": (s({"payload": {"changed_files": [f("a")]}}), "a"),
+        "lone": (s({"files": f("a")}), "a"), "text": (s(s({"files": [f("a")]})), "a"), "twice": (s(s(s({"payload": {"files": f("a")}}))), "a"), "inner": (s({"payload": s({"files": [f("a")]})}), "a"), "items": (s({"files": [s(f("a"))]}), "a"),
+        "array": (s([f("a")]), "a"), "mark": ("\ufeff" + s({"files": [f("a")]}), "a"), "escaped": (s({"files": [f("a")]}).replace("filename", "file\\u006eame"), "a"), "patch": (s({"files": [f("a", patch=s(f("b")))]}), ""),
+        "odd": (s({"files": [f("a", additions=2**40, deletions="1", status=None), {"filename": None}, {"patch": "@@ -1 +1 @@"}, None, 3]}), "a"), "half": (s({"files": [f("\ud800")]}), "?"), "cut": (s({"files": [f("a")]})[:-1], ""), "blank": (" ", ""), "none": (None, ""),
+    }
+    rows = gitlog.commit_files(spark.createDataFrame([(1, k, v) for k, (v, _) in shapes.items()], "repo_id long, sha string, raw_data string"))
+    got = {}
+    for r in rows.select("*", F.explode(diff.hunks(F.col("patch"))).alias("h")).orderBy("filename").collect():
+        got[r.sha] = got.get(r.sha, "") + r.filename
+        assert tuple(r.h) == (1, 2, 3, 1) and r.repo_id == 1
+    assert got == {k: names for k, (_, names) in shapes.items() if names}
+    odd = [tuple(r) for r in rows.where("sha = 'odd'").select("filename", "status", "additions", "deletions").collect()]
+    assert odd == [("a", None, None, None)]
+
+
 def test_streams(spark, tmp_path):
     rows = [("u", 1, "MODIFY"), ("u", 2, "DELETE"), ("u", 3, "DELETE"), ("v", 1, "CREATE"), ("v", 2, "CREATE")]
     spark.createDataFrame(rows, "unit string, seq int, behavior string").write.parquet(str(tmp_path / "in"))
