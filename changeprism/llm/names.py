@@ -6,9 +6,12 @@ All other identities reach a profile through a prefix-filtered set-similarity jo
 token: grams are ordered by document frequency, only the rarest prefix is a join key (with a block that both sides
 share: the login, organisation, repository, or the name itself), a size filter drops hopeless pairs, and survivors are
 verified by a soft weighted token similarity in which each token weighs its inverse frequency and near-equal tokens
-count in part. The best verified profile wins if no other profile is as good; else the identity stands for itself.
+count in part. The best verified profile wins if no other profile is as good; else the identity stands for itself,
+under its address, its login or its name. An address that one person alone can have is a key: it leads to the only
+profile that has it, decides between profiles that are as good, and identities of one address are one.
 
-Defined results: null or empty names and addresses match by what is left; an identity without any token is nobody's;
+Defined results: null or empty names and addresses match by what is left; an identity without family name, login and
+address is nobody's; an address that many may have (no host, a local one or a machine's, no user part) counts with the name only;
 rows of one entity are linked in all repositories; a row is never linked to itself; repeated ids give one link.
 """
 
@@ -127,8 +130,15 @@ class Reader:
             return "", "", "", words
         return "", "", long[-1] if long else "", words
 
+    def address(self, email: str, local: str, kind: str, words: list[str]) -> str:
+        """What an address is known by: itself, with the name where many may have it; '' if there is neither."""
+        labels = email.rpartition("@")[2].split(".")
+        if local and kind in ("org", "free", "noreply") and not {labels[0], labels[-1], labels[-2]} & {"localhost", "localdomain", "local", "lan", "internal"}:
+            return email
+        return f"\t{email} {' '.join(words)}" if email and words else ""  # a blank that no trimmed address begins with
+
     def read(self, name: str | None, email: str | None, login: str | None) -> dict[str, str]:
-        email, login = fold(email).strip(), fold(login).strip().lstrip("@")
+        typed, email, login = (email or "").strip().lower(), fold(email).strip(), fold(login).strip().lstrip("@")
         org, kind = self.host(email)
         local = email.rpartition("@")[0]
         if kind == "noreply":
@@ -143,6 +153,7 @@ class Reader:
         if kind == "own":
             local, org = (f"{local}.{org}" if self.near(local) and not self.near(org) else local), ""
         base = local.partition("+")[0] if kind != "noreply" else local
+        address = self.address(typed, local, kind, words)
         shown = "".join(w for w in words if w not in LEGAL)
         # an account of an organisation
         tail = re.sub(r"[^a-z]", "", login)
@@ -171,7 +182,7 @@ class Reader:
         fam = f2 if f2 and (not family or kind in ("org", "free", "own") or one_error(f2, family)) else family
         if family and f2 and fam == f2 and kind == "org" and not given and not initial and not g2 and not i2:
             i2 = f2[:1] if f2[1:] == family else ""
-        out = {"given": g2 or given if given == "" or g2 == "" or g2 == given else given, "initial": (g2 or given or i2 or initial)[:1], "family": fam, "org": org or at_login, "login": login, "role": ""}
+        out = {"given": g2 or given if given == "" or g2 == "" or g2 == given else given, "initial": (g2 or given or i2 or initial)[:1], "family": fam, "org": org or at_login, "login": login, "role": "", "address": address}
         return out
 
 
@@ -200,7 +211,7 @@ def one_error(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
 
 
-_FIELDS = ("given", "initial", "family", "org", "login", "role")
+_FIELDS = ("given", "initial", "family", "org", "login", "role", "address")
 
 
 def identities(rows: DataFrame) -> DataFrame:
@@ -261,7 +272,7 @@ def resolve(people: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     ids = people.select("who", "repo_id", *(text(f).alias(f) for f in _FIELDS))
     roles = ids.where("role = '1'").select("who", "repo_id", F.concat(F.lit("O|"), F.col("org")).alias("entity"))
-    persons = ids.where("role = '' AND (family != '' OR login != '')")
+    persons = ids.where("role = '' AND (family != '' OR login != '' OR address != '')")
     # in one organisation a family name with an initial is completed by the only given name that fits
     firms = persons.where("org != '' AND family != '' AND given != ''").groupBy("org", "family", F.substring("given", 1, 1).alias("initial"))
     full = firms.agg(F.min("given").alias("lo"), F.max("given").alias("hi")).where("lo = hi").select("org", "family", "initial", F.col("lo").alias("whole"))
@@ -273,7 +284,7 @@ def resolve(people: DataFrame) -> DataFrame:
     persons = persons.withColumn("own", own)
     # a login belongs to one person
     by_login = persons.where("login != '' AND own IS NOT NULL").groupBy("login").agg(F.mode("own", deterministic=True).alias("by_login"))
-    persons = persons.join(by_login, "login", "left").withColumn("first", F.coalesce("own", "by_login", F.when((F.col("login") != "") & (F.col("family") != ""), F.concat(F.lit("L|"), F.col("login")))))
+    persons = persons.join(by_login, "login", "left").withColumn("first", F.coalesce("own", "by_login", F.when(F.col("login") != "", F.concat(F.lit("L|"), F.col("login")))))
     # an entity known by its login only is the one of an organisation that has the same name and no other login
     has = persons.where("first IS NOT NULL AND family != '' AND given != ''")
     logins = has.where(F.col("first").startswith("L|")).select(F.col("first").alias("by"), "family", "given", F.col("repo_id").alias("repo")).distinct()
@@ -287,10 +298,16 @@ def resolve(people: DataFrame) -> DataFrame:
         .where("n = 1 OR s = 1").select(F.col("by").alias("first"), "firm")
     )
     persons = persons.join(chosen, "first", "left").withColumn("first", F.coalesce("firm", "first")).drop("firm")
+    # an address leads to the only entity that has it; those of several are kept for ties
+    alone_has = (F.col("address") != "") & ~F.col("address").startswith("\t")
+    holders = persons.where(F.col("first").isNotNull() & alone_has).select("address", F.col("first").alias("entity")).distinct()
+    sole = holders.groupBy("address").agg(F.min("entity").alias("holder"), F.count("*").alias("n")).where("n = 1").drop("n")
+    persons = persons.join(sole, "address", "left").withColumn("first", F.coalesce("first", "holder")).drop("holder")
     persons = cut_lineage(persons)
     sure = persons.where("first IS NOT NULL").select("who", "repo_id", F.col("first").alias("entity"))
     profiles = persons.where("first IS NOT NULL AND family != ''").select(F.col("first").alias("entity"), "family", "given", F.col("initial").alias("first_letter"), "repo_id").distinct()
-    loose = persons.where("first IS NULL AND family != ''")
+    unsure = persons.where("first IS NULL")
+    loose = unsure.where("family != ''")
     # candidates share the repository, or the whole name anywhere
     near = similar_tokens(
         loose.select(F.col("repo_id").cast("string").alias("block"), F.col("family").alias("token")).where("block IS NOT NULL"),
@@ -322,17 +339,24 @@ def resolve(people: DataFrame) -> DataFrame:
         .groupBy("who", "repo_id", "family", "given", "entity")
         .agg(F.max("score").alias("score"), F.max("local").alias("local"))
     )
-    w = Window.partitionBy("who", "repo_id").orderBy(F.desc("local"), F.desc("score"), "entity")
-    rival = F.lead(F.struct("local", "score")).over(w)
-    best = scored.select("who", "repo_id", "entity", "local", "score", F.row_number().over(w).alias("at"), rival.alias("rival")).where("at = 1")
-    best = best.where(F.col("rival").isNull() | (F.col("rival.local") < F.col("local")) | (F.col("rival.score") < F.col("score") - 0.02)).select("who", "repo_id", "entity")
+    shared = persons.where(F.col("first").isNotNull() & alone_has).select("address", F.col("first").alias("entity")).distinct().withColumn("holds", F.lit(1))
+    scored = scored.join(loose.select("who", "address").distinct(), "who").join(shared, ["address", "entity"], "left").withColumn("holds", F.coalesce("holds", F.lit(0)))
+    w = Window.partitionBy("who", "repo_id").orderBy(F.desc("holds"), F.desc("local"), F.desc("score"), "entity")
+    rival = F.lead(F.struct("holds", "local", "score")).over(w)
+    best = scored.select("who", "repo_id", "entity", "holds", "local", "score", F.row_number().over(w).alias("at"), rival.alias("rival")).where("at = 1")
+    best = best.where(F.col("rival").isNull() | (F.col("rival.holds") < F.col("holds")) | (F.col("rival.local") < F.col("local")) | (F.col("rival.score") < F.col("score") - 0.02)).select("who", "repo_id", "entity")
     alone = (
         loose.where("given != ''")
         .join(best.select("who"), "who", "left_anti")
         .join(weights.select("family", "given").distinct(), ["family", "given"], "left_anti")
         .select("who", "repo_id", F.concat_ws("|", F.lit("N"), "family", "given").alias("entity"))
     )
-    return roles.unionByName(sure).unionByName(best).unionByName(alone)
+    # identities of one address are one: what most of them won, else the address itself
+    won = unsure.join(best.unionByName(alone).select("who", "entity").distinct(), "who", "left")
+    common = won.where(alone_has & F.col("entity").isNotNull()).groupBy("address").agg(F.mode("entity", deterministic=True).alias("common"))
+    itself = F.when(F.col("address") != "", F.concat(F.lit("E|"), F.col("address"))).when(F.col("family") != "", F.concat_ws("|", F.lit("M"), "family", "given", "initial"))
+    rest = won.join(common, "address", "left").select("who", "repo_id", F.coalesce("common", "entity", itself).alias("entity")).where("entity IS NOT NULL")
+    return roles.unionByName(sure).unionByName(rest)
 
 
 def linked(developers: DataFrame, commits: DataFrame) -> DataFrame:

@@ -54,3 +54,20 @@ def test_links(spark):
     assert {(1, 2), (1, 3), (2, 3), (1, 4), (8, 9)} <= dd and not {p for p in dd if {5, 6, 7} & set(p)}
     assert cd == {(10, 1), (10, 4), (14, 1), (14, 4)}
     assert linked(devs.limit(0), commits).count() == 0
+
+
+def test_unresolved_identities_stand_for_themselves(spark):
+    devs = spark.createDataFrame(
+        [
+            # two persons of one name; the free address belongs to neither for certain
+            (1, 1, "Robert Smithson", "robert.smithson@acmeworks.example", None), (2, 1, "Robert Smithson", "robert.smithson@otherworks.example", None), (3, 2, "Robert Smithson", "rsmithson7@mailhaven.example", None), (4, 3, "Bob Smithson", " RSmithson7@mailhaven.example", None),
+            (5, 4, "J. Smithers", "jsmithers9@mailhaven.example", None), (6, 5, "J. Smithers", "jsmithers9@mailhaven.example", None), (7, 6, None, None, "zq-x1"), (8, 7, None, None, "ZQ-x1 "),
+            (9, 4, None, "root@localhost", None), (10, 5, None, "root@localhost", None), (11, 8, "J. Wetherbee", None, None), (12, 9, "J. Wetherbee", None, None),
+            # two accounts of one name, one of them with the address
+            (13, 1, "Robert Kingsley", "kingsley1@mailhaven.example", "robking"), (14, 1, "Robert Kingsley", "kingsley2@mailhaven.example", "kingrob"), (15, 2, "Robert Kingsley", "kingsley2@mailhaven.example", None), (16, 4, None, None, None), (17, 5, None, "", ""),
+        ],
+        "id long, repo_id long, name string, email string, github_login string",
+    )
+    commits = spark.createDataFrame([(20, 3, "Robert Smithson", "nobody@localhost")], "id long, repo_id long, author_name string, author_email string")
+    dd = {(r.left_id, r.right_id) for r in linked(devs, commits).collect() if r.link_kind == "developer_developer"}
+    assert dd == {(3, 4), (5, 6), (7, 8), (11, 12), (14, 15)}
