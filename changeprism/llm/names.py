@@ -4,9 +4,10 @@ Every distinct identity (name, mail address, login, repository) is read into tok
 full form, organisation, login. Identities with an organisation's address or a login make the profiles of entities.
 All other identities reach a profile through a prefix-filtered set-similarity join on the q-grams of their family
 token: grams are ordered by document frequency, only the rarest prefix is a join key (with a block that both sides
-share: the login, organisation, repository, or the name itself), a size filter drops hopeless pairs, and survivors are
-verified by a soft weighted token similarity in which each token weighs its inverse frequency and near-equal tokens
-count in part. The best verified profile wins if no other profile is as good; else the identity stands for itself,
+share: the repository, or for names no address confirms the given name in any repository, where two grams of the
+prefix must agree), a size filter drops hopeless pairs, words within one error join by what is left without one letter, and survivors are verified by a
+soft weighted token similarity in which each token weighs its inverse relative frequency and near-equal tokens count
+in part; an exchange of neighbours is one error. The best verified profile wins if no other profile is as good; else the identity stands for itself,
 under its address, its login or its name. An address that one person alone can have is a key: it leads to the only
 profile that has it, decides between profiles that are as good, and identities of one address are one.
 
@@ -182,7 +183,7 @@ class Reader:
         fam = f2 if f2 and (not family or kind in ("org", "free", "own") or one_error(f2, family)) else family
         if family and f2 and fam == f2 and kind == "org" and not given and not initial and not g2 and not i2:
             i2 = f2[:1] if f2[1:] == family else ""
-        out = {"given": g2 or given if given == "" or g2 == "" or g2 == given else given, "initial": (g2 or given or i2 or initial)[:1], "family": fam, "org": org or at_login, "login": login, "role": "", "address": address}
+        out = {"given": g2 or given if given == "" or g2 == "" or g2 == given else given, "initial": (g2 or given or i2 or initial)[:1], "family": fam, "org": org or at_login, "login": login, "role": "", "address": address, "typed": "" if f2 and fam == f2 else "1"}
         return out
 
 
@@ -211,7 +212,7 @@ def one_error(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
 
 
-_FIELDS = ("given", "initial", "family", "org", "login", "role", "address")
+_FIELDS = ("given", "initial", "family", "org", "login", "role", "address", "typed")
 
 
 def identities(rows: DataFrame) -> DataFrame:
@@ -242,11 +243,12 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (Q - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(Q))))
 
 
-def similar_tokens(left: DataFrame, right: DataFrame, least: float = JACCARD) -> DataFrame:
+def similar_tokens(left: DataFrame, right: DataFrame, least: float = JACCARD, agree: int = 1) -> DataFrame:
     """(block, a, b): distinct tokens of ``left`` and ``right`` (block, token) of one block with q-gram Jaccard >= ``least``.
 
     Prefix filter: with grams in one global order, two sets of that similarity share a gram among the first
-    |s| - ceil(least |s|) + 1 of each; only those are join keys, rarest grams first.
+    |s| - ceil(least |s|) + 1 of each; only those are join keys, rarest grams first. With ``agree`` = 2 they share two
+    grams among one more of each, and the pairs of those are the keys, which are rarer.
     """
     sides = []
     for name, df in (("a", left), ("b", right)):
@@ -259,14 +261,37 @@ def similar_tokens(left: DataFrame, right: DataFrame, least: float = JACCARD) ->
         each = df.select("block", name, f"g{name}", F.explode(f"g{name}").alias("gram")).join(rank, "gram")
         w = Window.partitionBy("block", name).orderBy("n", "gram")
         size = F.size(f"g{name}")
-        keyed.append(
-            each.withColumn("at", F.row_number().over(w)).where(F.col("at") <= size - F.ceil(F.lit(least) * size) + 1).select("block", name, f"g{name}", "gram")
-        )
+        prefix = each.withColumn("at", F.row_number().over(w)).where(F.col("at") <= size - F.ceil(F.lit(least) * size) + agree).select("block", name, f"g{name}", "gram")
+        if agree == 2:
+            g = F.col("gs")
+            two = F.flatten(F.transform(g, lambda x: F.transform(F.filter(g, lambda y: y > x), lambda y: F.concat(x, y))))
+            prefix = prefix.groupBy("block", name, f"g{name}").agg(F.collect_set("gram").alias("gs")).select("block", name, f"g{name}", F.explode(two).alias("gram"))
+        keyed.append(prefix)
     both = F.size(F.array_intersect("ga", "gb"))
     pairs = keyed[0].join(keyed[1], ["block", "gram"]).where(F.least(F.size("ga"), F.size("gb")) >= F.lit(least) * F.greatest(F.size("ga"), F.size("gb")))
     return pairs.where(both >= F.lit(least) * (F.size("ga") + F.size("gb") - both)).select("block", "a", "b").distinct()
 
 
+def near_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(block, a, b): distinct tokens of ``left`` and ``right`` (block, token) of one block that one insertion, omission,
+    substitution or exchange of neighbours parts at most: two such words share a word that omits one letter or none."""
+    sides = []
+    for name, df in (("a", left), ("b", right)):
+        c = F.col(name)
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+        each = df.select("block", F.col("token").alias(name)).distinct()
+        sides.append(each.select("block", name, F.explode(F.array_distinct(F.concat(F.array(c), cut))).alias("key")))
+    return sides[0].join(sides[1], ["block", "key"]).where(errors(F.col("a"), F.col("b")) <= 1).select("block", "a", "b").distinct()
+
+
+def errors(a: Column, b: Column) -> Column:
+    """The Levenshtein distance; one exchange of neighbours is one error."""
+    steps = F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1)))
+    swapped = F.exists(steps, lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))) == b)
+    n = F.levenshtein(a, b)
+    return F.when((n == 2) & (F.length(a) == F.length(b)) & swapped, 1).otherwise(n)
+
+
 def resolve(people: DataFrame) -> DataFrame:
     """``people`` (from identities(), with who, repo_id) with the entity of each row: (who, repo_id, entity)."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -308,13 +333,18 @@ def resolve(people: DataFrame) -> DataFrame:
     profiles = persons.where("first IS NOT NULL AND family != ''").select(F.col("first").alias("entity"), "family", "given", F.col("initial").alias("first_letter"), "repo_id").distinct()
     unsure = persons.where("first IS NULL")
     loose = unsure.where("family != ''")
-    # candidates share the repository, or the whole name anywhere
-    near = similar_tokens(
-        loose.select(F.col("repo_id").cast("string").alias("block"), F.col("family").alias("token")).where("block IS NOT NULL"),
-        profiles.select(F.col("repo_id").cast("string").alias("block"), F.col("family").alias("token")).where("block IS NOT NULL"),
-    )
+    # candidates share the repository; or the given name anywhere, if no address spells the family name (what an
+    # address spells too is no typing error, and elsewhere there are people with names as near as that)
+    by_hand = loose.where("typed = '1' AND given != ''")
+    def tokens(df: DataFrame, block: str) -> DataFrame:
+        return df.select(F.col(block).cast("string").alias("block"), F.col("family").alias("token")).where("block IS NOT NULL AND block != ''")
+
+    near = similar_tokens(tokens(loose, "repo_id"), tokens(profiles, "repo_id")).union(near_tokens(tokens(loose, "repo_id"), tokens(profiles, "repo_id"))).distinct()
+    far = similar_tokens(tokens(by_hand, "given"), tokens(profiles, "given"), agree=2).union(near_tokens(tokens(by_hand, "given"), tokens(profiles, "given"))).distinct()
     weights = profiles.select("entity", "family", "given").distinct()
-    rare = weights.groupBy("family").agg(F.log(1.0 + 1000.0 / F.count("*")).alias("weight"))
+    # by relative frequency, so that the thresholds hold at every size; one of 1000 is as rare as can be told
+    total = weights.agg(F.greatest(F.count("*"), F.lit(1000)).alias("total"))
+    rare = weights.groupBy("family").agg(F.count("*").alias("n")).crossJoin(total).select("family", F.log(1.0 + F.least(F.col("total") / F.col("n"), F.lit(1000.0))).alias("weight"))
     p = profiles.select(F.col("repo_id").cast("string").alias("block"), F.col("family").alias("b"), F.col("given").alias("p_given"), F.col("first_letter").alias("p_initial"), "entity")
     local = (
         loose.withColumn("block", F.col("repo_id").cast("string"))
@@ -322,10 +352,16 @@ def resolve(people: DataFrame) -> DataFrame:
         .join(p, ["block", "b"])
         .select("who", "repo_id", "family", "b", "given", "initial", "p_given", "p_initial", "entity", F.lit(1).alias("local"))
     )
-    whole = weights.select(F.col("family"), F.col("given"), F.col("entity"))
-    same = loose.where("given != ''").join(whole, ["family", "given"]).select("who", "repo_id", "family", F.col("family").alias("b"), "given", "initial", F.col("given").alias("p_given"), F.substring("given", 1, 1).alias("p_initial"), "entity", F.lit(0).alias("local"))
+    whole = weights.select(F.col("family").alias("b"), F.col("given"), F.col("entity"))
+    spelt = loose.where("given != ''").select("who", "repo_id", "family", "given", "initial", F.col("family").alias("b"))
+    like = by_hand.select("who", "repo_id", "family", "given", "initial").join(far.where("a != b").select(F.col("a").alias("family"), F.col("block").alias("given"), "b"), ["family", "given"])
+    same = (
+        spelt.unionByName(like)
+        .join(whole, ["b", "given"])
+        .select("who", "repo_id", "family", "b", "given", "initial", F.col("given").alias("p_given"), F.substring("given", 1, 1).alias("p_initial"), "entity", F.lit(0).alias("local"))
+    )
     # soft weighted similarity: the family token weighs its rarity, the given token a common word's weight
-    alike = 1.0 - F.levenshtein("family", "b") / F.greatest(F.length("family"), F.length("b"))
+    alike = 1.0 - errors(F.col("family"), F.col("b")) / F.greatest(F.length("family"), F.length("b"))
     given_alike = (
         F.when((F.col("given") != "") & (F.col("p_given") != ""), F.when(F.col("given") == F.col("p_given"), 1.0).otherwise(0.0))
         .when((F.col("initial") != "") & (F.col("p_initial") != ""), F.when(F.col("initial") == F.col("p_initial"), 0.9).otherwise(0.0))
@@ -339,6 +375,7 @@ def resolve(people: DataFrame) -> DataFrame:
         .groupBy("who", "repo_id", "family", "given", "entity")
         .agg(F.max("score").alias("score"), F.max("local").alias("local"))
     )
+    scored = cut_lineage(scored)
     shared = persons.where(F.col("first").isNotNull() & alone_has).select("address", F.col("first").alias("entity")).distinct().withColumn("holds", F.lit(1))
     scored = scored.join(loose.select("who", "address").distinct(), "who").join(shared, ["address", "entity"], "left").withColumn("holds", F.coalesce("holds", F.lit(0)))
     w = Window.partitionBy("who", "repo_id").orderBy(F.desc("holds"), F.desc("local"), F.desc("score"), "entity")

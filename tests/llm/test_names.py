@@ -2,7 +2,9 @@
 
 import random
 
-from changeprism.llm.names import JACCARD, Q, Reader, fold, linked, one_error, similar_tokens
+from pyspark.sql import functions as F
+
+from changeprism.llm.names import JACCARD, Q, Reader, errors, fold, linked, near_tokens, one_error, similar_tokens
 
 
 def test_reading():
@@ -71,3 +73,27 @@ def test_unresolved_identities_stand_for_themselves(spark):
     commits = spark.createDataFrame([(20, 3, "Robert Smithson", "nobody@localhost")], "id long, repo_id long, author_name string, author_email string")
     dd = {(r.left_id, r.right_id) for r in linked(devs, commits).collect() if r.link_kind == "developer_developer"}
     assert dd == {(3, 4), (5, 6), (7, 8), (11, 12), (14, 15)}
+
+
+def test_pairs_of_grams_and_single_errors_equal_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(2, 7)))
+    left, right = [(str(i % 3), word()) for i in range(150)], [(str(i % 3), word()) for i in range(150)]
+    a, b = (spark.createDataFrame(x, "block string, token string") for x in (left, right))
+    same = [(k, x, y) for k, x in left for j, y in right if k == j]
+    assert {tuple(r) for r in similar_tokens(a, b, agree=2).collect()} == {p for p in same if len(grams(p[1]) & grams(p[2])) >= JACCARD * len(grams(p[1]) | grams(p[2]))}
+    assert {tuple(r) for r in near_tokens(a, b).collect()} == {p for p in same if one_error(p[1], p[2])}
+    pairs = spark.createDataFrame([("abcd", "abdc"), ("abcd", "badc"), ("abcd", "abcd"), ("lopez", "lpoez"), ("ab", "xy")], "a string, b string")
+    assert [r[0] for r in pairs.select(errors(F.col("a"), F.col("b"))).collect()] == [1, 3, 0, 1, 2]
+
+
+def test_typing_errors_in_any_repository(spark):
+    devs = spark.createDataFrame(
+        [
+            (1, 1, "Robert Smithson", "robert.smithson@acmeworks.example", None), (2, 2, "Robert Smihtson", None, None), (3, 3, "Bob Smithsn", None, None), (4, 4, "Michael Smihtson", None, None),
+            (5, 5, "Michael Barlowe", "michael.barlowe@acmeworks.example", None), (6, 6, "Michael Crandall", "michael.crandall@acmeworks.example", None),
+        ],
+        "id long, repo_id long, name string, email string, github_login string",
+    )
+    commits = spark.createDataFrame([(20, 5, "Mike Bralowe", "x@localhost")], "id long, repo_id long, author_name string, author_email string")
+    assert {tuple(r)[1:] for r in linked(devs, commits).collect()} == {(1, 2), (1, 3), (2, 3), (20, 5)}
