@@ -2,9 +2,12 @@
 
 Spans are found by type in an order in which earlier ones shield later ones (addresses of mail, identity numbers,
 phones, street addresses, names). A surrogate is a keyed bijection of the value's own symbols: digits go to digits,
-vowels and consonants of a script to such letters in the same case, given names to given names of the same gender, so
-format, script and gender stay, equal values stay equal everywhere (coreference) and different values stay different
-(no two inputs share an output; a surrogate that equals its own value is permuted again).
+vowels and consonants of a script to such letters in the same case (letters of other scripts to letters of their block),
+given names to given names of the same gender, words of street names to words of their form, so format, script, accents
+and gender stay, equal values stay equal everywhere (coreference) and different values stay different. The bijection
+has no fixed points, and each surrogate is read back: one that does not give its value again is an error, so no two
+inputs share an output. Spellings of one given name that are not in the lists themselves count as one value; kinds of
+streets, particles, single letters, accents and the few letters without a counterpart (such as the German sharp s) stay.
 
 Defined results: null, empty and blank texts hold nothing; repeated rows repeat; ordinals count per text and type from 1.
 """
@@ -13,10 +16,12 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -223,7 +228,41 @@ class Finder:
 
 PLACEHOLDER = {EMAIL: "[EMAIL]", PHONE: "[PHONE]", IDENTITY: "[ID_NUMBER]", ADDRESS: "[ADDRESS]", NAME: "[PERSON]"}
 
-_VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
+#: Sets of letters that stand for each other.
+_LETTERS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+#: Words of an address that tell its form, folded (fixed values).
+_FORM = set(
+    """street st avenue ave road rd lane ln drive dr court ct boulevard blvd terrace ter place pl square sq way close crescent cres parkway pkwy circle cir trail highway hwy gardens grove row mews walk
+    nd rd th flat apt apartment unit suite bis rue av bd chemin impasse allée allee quai route cours passage villa sentier faubourg de du des la le les aux au ul ulica al aleja os calle avda avenida plaza pza paseo camino ronda
+    travesía carrer rua largo travessa praça via viale piazza corso del da do dos das las los el di no am an der auf dem im in zum zur unter den alte alter neue obere untere grosse kleine strasse str weg gasse platz ring damm ufer""".split()
+)
+_COMPOUND = re.compile(r"(?i)(?P<stem>.{2,}?-?)(?P<tail>straße|strasse|str|weg|gasse|allee|platz|ring|damm|ufer|steig|hof|chaussee|graben|markt|pfad|stieg)")
+
+
+@lru_cache(10_000)
+def _alphabet(low: str) -> str:
+    """The letters that may stand for a lower-case letter, itself included; '' if none."""
+    for s in _LETTERS:
+        if low in s:
+            return s
+    if len(low) != 1 or unicodedata.category(low) not in ("Ll", "Lo"):
+        return ""
+    k = ord(low)
+    block = range(0x4E00, 0xA000) if 0x4E00 <= k < 0xA000 else range(0x1100, 0x1113) if 0x1100 <= k < 0x1113 else range(0x1161, 0x1176) if 0x1161 <= k < 0x1176 else range(0x11A8, 0x11C3) if 0x11A8 <= k < 0x11C3 else range(k & ~127, (k & ~127) + 128)
+
+    def fits(c: str) -> bool:
+        up = c.upper()
+        return unicodedata.category(c) == unicodedata.category(low) and unicodedata.normalize("NFKD", c) == c and (len(up) == 1 and up != c and up.lower() == c if low.upper() != low else up == c)
+
+    own = "".join(c for c in map(chr, block) if fits(c) and not any(c in s for s in _LETTERS))
+    return own if low in own and len(own) > 2 else ""
+
+
+_WORD = re.compile(r"[0-9]+|(?:[^\W\d_][\u0300-\u036f]*)+")
+
+
+def _form(word: str) -> bool:
+    return unicodedata.normalize("NFC", word).casefold() in _FORM
 
 
 class Surrogates:
@@ -231,62 +270,97 @@ class Surrogates:
 
     def __init__(self, key: bytes, female: list[str] = FEMALE, male: list[str] = MALE):
         self.key = key
+        self.known: dict[tuple[str, str], str] = {}
         self.given = {"f": female, "m": male}
         self.gender = Finder(female, male).gender
 
     def _shift(self, tweak: str, n: int) -> int:
         return int.from_bytes(hmac.new(self.key, tweak.encode(), hashlib.sha256).digest()[:8], "big") % n
 
-    def _permute(self, value: str, kind: str) -> str:
-        """A bijection of the digits and letters of ``value`` among values of the same shape."""
-        slots = []
-        for i, c in enumerate(value):
-            low = c.lower()
-            sets = "0123456789" if c in "0123456789" else _VOWELS if low in _VOWELS else _CONSONANTS if low in _CONSONANTS else None
-            if sets is None and "а" <= low <= "я":
-                sets = "аеиоуыэюя" if low in "аеиоуыэюя" else "бвгджзйклмнпрстфхцчшщ"
-            if sets and low in sets:
-                slots.append((i, sets, c.isupper()))
-        shape = kind + "".join("." if any(i == k for k, _, _ in slots) else c for i, c in enumerate(value)) + "|" + "".join(s[0] for _, s, _ in slots)
-        x = [s.index(value[i].lower()) for i, s, _ in slots]
-        for turn, order in ((0, range(len(x))), (1, range(len(x) - 1, -1, -1)), (2, range(len(x)))):
+    def _turns(self, x: list[int], sizes: list[int], shape: str, back: bool) -> None:
+        """Three keyed turns over ``x``, or their inverse."""
+        n = len(x)
+        turns = [(0, range(n)), (1, range(n - 1, -1, -1)), (2, range(n))]
+        for turn, order in reversed(turns) if back else turns:
             done = ""
             for i in order:
-                x[i] = (x[i] + self._shift(f"{shape}#{turn}#{i}#{done}", len(slots[i][1]))) % len(slots[i][1])
-                done += f"{x[i]},"
+                shift = self._shift(f"{shape}#{turn}#{i}#{done}", sizes[i])
+                new = x[i] if back else (x[i] + shift) % sizes[i]
+                x[i] = (x[i] - shift) % sizes[i] if back else new
+                done += f"{new},"
+
+    def _permute(self, value: str, kind: str, back: bool = False) -> str:
+        """A bijection without fixed points of the digits and letters of ``value`` (decomposed) among values of the same
+        shape, or its inverse: a step that moves every value, seen through the keyed turns, so that all its cycles are
+        as long as the first alphabet."""
+        slots = [(i, s, c != c.lower()) for i, c in enumerate(value) if (s := _alphabet(c.lower()))]
+        if not slots:
+            return value
+        at = {i for i, _, _ in slots}
+        shape = kind + "".join("." if i in at else c for i, c in enumerate(value)) + "|" + "".join(s[0] for _, s, _ in slots)
+        x, sizes = [s.index(value[i].lower()) for i, s, _ in slots], [len(s) for _, s, _ in slots]
+        self._turns(x, sizes, shape, False)
+        steps = [k for k in range(1, sizes[0]) if math.gcd(k, sizes[0]) == 1] if sizes[0] < 100 else [1]
+        step = steps[self._shift(f"{shape}#step", len(steps))]
+        x[0] = (x[0] + (-step if back else step)) % sizes[0]
+        self._turns(x, sizes, shape, True)
         out = list(value)
         for (i, s, up), v in zip(slots, x, strict=True):
             out[i] = s[v].upper() if up else s[v]
         return "".join(out)
 
-    def _distinct(self, value: str, kind: str) -> str:
-        new = self._permute(value, kind)
-        return self._permute(new, kind) if new == value else new  # walking on keeps the mapping one to one but for the fixed points
+    def _distinct(self, value: str, kind: str, taken: Callable[[str], bool] = lambda s: False) -> str:
+        """The surrogate of ``value``; those that are ``taken`` are walked over, as they are no values of this kind."""
+        new = self.known.get((kind, value))
+        if new is None:
+            plain = unicodedata.normalize("NFD", value)
+            new = self._permute(plain, kind)
+            while taken(unicodedata.normalize("NFC", new)) and new != plain:
+                new = self._permute(new, kind)
+            new = unicodedata.normalize("NFC", new)
+            again = self._permute(unicodedata.normalize("NFD", new), kind, True)
+            while taken(unicodedata.normalize("NFC", again)):
+                again = self._permute(again, kind, True)
+            if again != plain:
+                raise ValueError(f"a surrogate of kind {kind} stands for two values")
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[kind, value] = new
+        return new
+
+    def _address(self, m: re.Match) -> str:
+        w = m[0]
+        if w[0].isdigit():
+            return self._distinct(w, "house")
+        if len(w) == 1 or _form(w):
+            return w
+        if c := _COMPOUND.fullmatch(w):
+            return self._distinct(c["stem"], "street") + c["tail"]
+        return self._distinct(w, "street", lambda s: _form(s) or _COMPOUND.fullmatch(s) is not None)
 
     def of(self, value: str, kind: str) -> str:
+        value = unicodedata.normalize("NFC", value)
         if kind == NAME:
             def word(m: re.Match) -> str:
                 w = m[0]
                 g = self.gender.get(_fold(w))
-                plain = "".join(c for c in unicodedata.normalize("NFKD", w) if not unicodedata.combining(c)).lower()
                 if g:
                     names = self.given[g]
-                    at = next(i for i, n in enumerate(names) if _fold(w) in _spellings(n))
+                    at = next((i for i, n in enumerate(names) if _fold(w) == _fold(n)), None)
+                    at = next(i for i, n in enumerate(names) if _fold(w) in _spellings(n)) if at is None else at
                     new = names[(at + 1 + self._shift("given" + g, len(names) - 1)) % len(names)]
-                elif len(w) == 1:
-                    return self._permute(w, "initial")
                 else:
-                    new = self._distinct(plain, "family")
+                    return self._distinct(w, "initial" if len(w) == 1 else "family", lambda s: _fold(s) in self.gender)
                 return new.upper() if w.isupper() else new.lower() if w.islower() else new[:1].upper() + new[1:]
 
-            return _TOKEN.sub(word, _UNESCAPE.sub(lambda m: chr(int(m[1], 16)), value))
+            return _TOKEN.sub(word, unicodedata.normalize("NFC", _UNESCAPE.sub(lambda m: chr(int(m[1], 16)), value)))
         if kind == EMAIL:
             m = re.search(_AT, value)
             user, rest = (value[: m.start()], value[m.start() :]) if m else (value, "")
             head, dot, tail = rest.rpartition(".")
             return self._distinct(user, "user") + (re.sub(rf"^({_AT})(.*)$", lambda x: x[1] + self._distinct(x[2], "host"), head, flags=re.S) + dot + tail if dot else rest)
         if kind == ADDRESS:
-            return re.sub(r"\d+", lambda m: self._distinct(m[0], "house"), value)
+            return _WORD.sub(self._address, value)
         return self._distinct(value, kind)
 
 

@@ -1,6 +1,7 @@
 """Personal information in many notations, look-alikes that are none, placeholders and surrogates."""
 
 import itertools
+import unicodedata
 
 import pytest
 
@@ -41,6 +42,46 @@ def test_surrogates_keep_form_and_distinctness():
     assert s.of("a@b.example", EMAIL) != Surrogates(b"other").of("a@b.example", EMAIL)
 
 
+def test_surrogates_replace_street_names():
+    s = Surrogates(b"k")
+    for text, hidden, kept in (
+        ("12 Elm Street", ("Elm", "12"), ("Street",)), ("12 ELM STREET", ("ELM",), ("STREET",)), ("Flat 40, 89 Larkspur Terrace", ("Larkspur", "40", "89"), ("Flat", "Terrace")), ("5 rue des Tanneurs", ("Tanneurs",), ("rue des",)),
+        ("ul. Lipowa 67/1", ("Lipowa",), ("ul. ", "/")), ("Avda. Las Moras 1", ("Moras",), ("Avda. Las ",)), ("Lindenweg 9b", ("Linden", "9"), ("weg", "b")), ("Birkenstr. 17a", ("Birken",), ("str. ",)), ("Große Straße 7", ("7",), ("Große Straße",)),
+    ):
+        new = s.of(text, ADDRESS)
+        assert len(new) == len(text) and not [h for h in hidden if h in new] and not [k for k in kept if k not in new], (text, new)
+    words = ["".join(p).capitalize() for p in itertools.product("lmrt", "aeo", "lmrw", "ae")] + ["Lo", "Row", "Way", "Boring", "Ring"]
+    out = [s.of(f"1 {w} Road", ADDRESS) for w in words]
+    assert len(set(out)) == len(words)
+
+
+def test_surrogates_have_no_fixed_points():
+    for key in range(40):
+        s = Surrogates(bytes([key]))
+        for values, kind in ((list("0123456789"), "house"), (list("aeiou"), "initial"), ([f"{n:02d}" for n in range(100)], "house")):
+            new = [s._distinct(v, kind) for v in values]
+            assert sorted(new) == sorted(values) and not [v for v, n in zip(values, new, strict=True) if v == n]
+
+
+def test_surrogates_keep_accents_and_scripts_apart():
+    s = Surrogates(b"k")
+    families = ["Müller", "Muller", "Mueller", "Müllér", "Søby", "Soby", "Wałęsa", "Walesa", "Παππάς", "Παππας", "王小明", "王小萌", "김민수", "Иванёв", "Иванев", "McDonald", "Mcdonald"]
+    new = [s.of(f, NAME) for f in families]
+    assert len(set(new)) == len(new) and not set(new) & set(families)
+    marks = lambda w: [unicodedata.combining(c) for c in unicodedata.normalize("NFD", w) if unicodedata.combining(c)]
+    cases = lambda w: [c.isupper() for c in unicodedata.normalize("NFD", w) if not unicodedata.combining(c)]
+    assert all(marks(a) == marks(b) and cases(a) == cases(b) for a, b in zip(families, new, strict=True))
+    assert s.of("ø", NAME) != "ø" and s.of("łø", NAME) != "łø" and s.of("Maria", NAME) != s.of("María", NAME)
+    assert s.of(unicodedata.normalize("NFD", "Müller"), NAME) == new[0]
+
+
+def test_a_collision_is_an_error(monkeypatch):
+    s = Surrogates(b"k")
+    monkeypatch.setattr(s, "_turns", lambda x, sizes, shape, back: x.__setitem__(0, 0))
+    with pytest.raises(ValueError, match="two values"):
+        [s.of(n, IDENTITY) for n in ("123", "923")]
+
+
 def test_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a@b.example, c@d.example a@b.example", "x"), (4, "w " * 100_000 + "a@b.example", "x"), (None, "a@b.example", "x")]
     df = spark.createDataFrame(rows, "id long, body string, ordinal string")
