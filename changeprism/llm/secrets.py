@@ -69,10 +69,14 @@ _PROSE = (
 )
 _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: Of a key without END: what is left of the first line, headers, and lines of base64; one shorter line may be the last.
+_KEY_REST = re.compile(r"(?:\\[nrt]|[A-Za-z0-9+/= \t])*")
+_KEY_HEAD = re.compile(r"\s*(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):.*)?\r?")
+_KEY_LINE = re.compile(r"[ \t]*[A-Za-z0-9+/]+={0,2}[ \t]*\r?")
 #: A text without any of these holds no credential.
 HINT = (
     r"(?i)pass|pwd|\bpw\b|secret|token|api[_.\-]?key|apikey|bearer|\bkey\b|_key|[a-z]Key|\.key|-key|credential|creds|auth|login|://[^\s/]*:[^\s]*@"
-    r"|AKIA|ASIA|gh[pousr]_|github_pat|glpat-|AIza|xox[abprs]-|SG\.|npm_|eyJ|[sr]k_live|pypi-|hf_|sk-|dop_v1|PRIVATE KEY|\s-u |(?i:identified|mysql|mariadb|connect\w*\()"
+    r"|AKIA|ASIA|gh[pousr]_|github_pat|glpat-|AIza|xox[abprs]-|SG\.|npm_|eyJ|[sr]k_(?:live|test)|pypi-|hf_|sk-|dop_v1|PRIVATE KEY|-u[ =]|--user[ =]|[_.\-]pw|\bcred|\bbasic\s|log[\s-]?in|(?i:identified|mysql|mariadb|connect\w*\()"
 )
 _HINT_RE = re.compile(HINT)
 
@@ -152,6 +156,23 @@ def _line_spans(line: str) -> list[tuple[int, int]]:
 _STRING = re.compile(rf"^\s*(?:[+.\\]\s*)?[bBfFrRuU]?{_QUOTED}")
 
 
+def _key_end(lines: list[str], starts: list[int], i: int, at: int, patch: bool) -> int:
+    """Where a key without END ends that begins in line ``i`` before ``at``."""
+    rest = _KEY_REST.match(lines[i], at).end()
+    limit, body = starts[i] + rest, False
+    if lines[i][rest:].strip():
+        return limit
+    for k in range(i + 1, len(lines)):
+        line = lines[k][1:] if patch and lines[k][:1] in "+- " else lines[k]
+        if _KEY_LINE.fullmatch(line) and (body or len(line.strip()) >= 16 or k == len(lines) - 1):
+            limit, body = starts[k] + len(lines[k]), True
+            if len(line.strip()) < 40:
+                break
+        elif body or not _KEY_HEAD.fullmatch(line):
+            break
+    return limit
+
+
 def spans(text: str | None, patch: bool = False) -> list[tuple[int, int, int]]:
     """(line number from 1, start, end) of the secret values in ``text``, by the line in which each begins."""
     if not text or not _HINT_RE.search(text):
@@ -170,7 +191,9 @@ def spans(text: str | None, patch: bool = False) -> list[tuple[int, int, int]]:
         if "PRIVATE KEY" in line and (m := _BEGIN.search(line)):
             k, a = i, starts[i] + m.end()
             end = _END.search(text, a)
-            limit = end.start() if end else len(text)
+            if end and _BEGIN.search(text, a, end.start()):
+                end = None  # the end of another key
+            limit = end.start() if end else _key_end(lines, starts, i, m.end(), patch)
             if (last := text.rfind("\n", a, limit)) >= 0 and end:
                 limit = last
             out.append((i + 1, a, limit))
