@@ -1,15 +1,17 @@
 """Variant spellings of people and organisations linked to one entity.
 
 Every distinct identity (name, mail address, login, repository) is read into tokens: family name, given name under its
-full form, organisation, login. Identities with an organisation's address or a login make the profiles of entities.
-All other identities reach a profile through a prefix-filtered set-similarity join on the q-grams of their family
-token: grams are ordered by document frequency, only the rarest prefix is a join key (with a block that both sides
-share: the repository, or for names no address confirms the given name in any repository, where two grams of the
-prefix must agree), a size filter drops hopeless pairs, words within one error join by what is left without one letter, and survivors are verified by a
-soft weighted token similarity in which each token weighs its inverse relative frequency and near-equal tokens count
-in part; an exchange of neighbours is one error. The best verified profile wins if no other profile is as good; else the identity stands for itself,
-under its address, its login or its name. An address that one person alone can have is a key: it leads to the only
-profile that has it, decides between profiles that are as good, and identities of one address are one.
+full form, organisation, login. Identities whose address spells the family name, or that have a login, are the
+references; their organisation, family and given name or their login name an entity. Every identity, references
+included, reaches an entity only through one prefix-filtered set-similarity join on the q-grams of its tokens, inside
+blocks that share a clue (organisation, login, address; for identities without any of them the repository or the given
+name): grams are ordered by document frequency, and pairs of the rarest grams are the join keys. What the join finds is
+verified by a soft weighted token similarity, in which each token weighs its inverse relative frequency, near-equal
+tokens count in part and an exchange of neighbours is one error. The best verified entity wins if no other is as good;
+else the identity stands for itself, under its address, its login or its name. An address that one person alone can have
+leads to the only entity that has it, decides between entities that are as good, and identities of one address are one.
+
+Hosts where anyone may have an address are found in the data: their people are at home in many other organisations.
 
 Defined results: null or empty names and addresses match by what is left; an identity without family name, login and
 address is nobody's; an address that many may have (no host, a local one or a machine's, no user part) counts with the name only;
@@ -28,21 +30,92 @@ from pyspark.sql import functions as F
 
 from changeprism.session import cut_lineage
 
-#: Given names with their short and foreign forms (fixed values, a parameter of identities()).
-GIVEN = """gabriel gabi gabe gab gabriele|alexander sasha alex xander lex sandro alec|margarete rita greta maggie margaret grete margot marga meg peggy gretchen|cordelia delia cordy cora
-aleksandra sandra lexi ola alexandra olka|theodora thea dora teddy teodora theo|dmitri dima dim mitya dmitry dmitrij|johanna hanni jo hanna johanne joanna hanne|mateusz mat matty mateo mati matthew matt
-edmund eddie ned ed ted eddy|wilhelmina willa billie mina minnie helma wilma|michael mike mick michi mikey micha mischa|benjamin benji benny ben benno|ignacio iggy nacho ignaz ignatius|francois fanch franck fran frans francis
-raphael raph rafa rafael raffi|jonathan jon nathan jonny johnny|agnieszka aga agi agnes agniesza|guenther gunni gunther gunter gunnar guenter|konstantin kostya costa kon konsti constantine konstantine|samuel sam sammy samu
-elisabeth liz beth lisa elizabeth elsa lisbeth betty eliza lizzie lisi|augustin gus august austin auggie gustl|nikolaus nico klaus nik nick nicholas niko claus nicolas|william bill liam will billy willy wim
-penelope pen penny nell poppy|zoe zo zozo zoey|guadalupe pita lupe lupita|anais ana annie nais anna|frederike rike fritzi freddy frieda frederika fred freddie riki|magdalena lena magda leni madeleine maggi|antonia tona nia toni tonia
-ottilie odi tilly otti otilie odile|bjoern bjarne bjorn bear|soeren soren sonny|leonard lenny leo len leon|yevgenia zhenya eugenia jenny evgenia genia evgeniya|christopher chris topher kit christoph|robert bert bob rob bobby robbie
-bartholomew barty tolly bart bartek|katharina kathi kate katja katharine kat kathy kathrin catherine katie katya|jozef jozek jozi joe josef joseph|vera vee verka veronika|maria mary mia marie mariam"""
-#: Hosts where anyone may have an address; a parameter of identities().
-FREE_HOSTS = ("mailhaven", "inboxly", "freepost", "postbox", "gmail", "googlemail", "outlook", "hotmail", "yahoo", "gmx", "web", "proton", "protonmail", "icloud", "mail")
+#: Full given names, each with forms in use (well-known English, German, French, Spanish, Polish, Russian and
+#: Scandinavian short forms and equivalents; a parameter of identities()).
+GIVEN = """
+agnieszka: aga agi agnes agniesza
+aleksandra: sandra ola alexandra olka lexi
+alexander: sasha alex xander lex sandro alec alejandro
+anais: ana annie nais anna ann anne
+andrew: andy drew andreas andre andrzej
+anthony: tony anton antoni antonio
+antonia: tona nia toni tonia
+augustin: gus august austin auggie gustl
+barbara: barb babs basia
+bartholomew: barty tolly bart bartek
+benjamin: benji benny ben benno
+bjoern: bjarne bjorn
+carolina: caro karolina caroline carol
+charles: charlie chuck karl carlos
+christina: tina kristina chrissy
+christopher: chris topher kit christoph
+cordelia: delia cordy cora
+daniel: dan danny
+david: dave davy
+deborah: debbie deb
+dmitri: dima dim mitya dmitry dmitrij
+dorothea: dot dottie dorothy
+edmund: eddie ned ed ted eddy
+elisabeth: liz beth lisa elizabeth elsa lisbeth betty eliza lizzie lisi
+francois: fanch franck fran frans francis frank francisco franz
+frederike: rike fritzi freddy frieda frederika fred freddie riki
+gabriel: gabi gabe gab gabriele
+george: georgie georg jorge jerzy
+gregory: greg gregor grzegorz
+guadalupe: pita lupe lupita
+guenther: gunni gunther gunter gunnar guenter
+henry: hank harry heinrich henri
+ignacio: iggy nacho ignaz ignatius
+james: jim jimmy jamie
+jennifer: jen jenn
+johanna: hanni jo hanna johanne joanna hanne
+john: jack johann juan ivan jan
+jonathan: jon nathan jonny johnny
+jozef: jozek jozi joe josef joseph jose pepe
+katharina: kathi kate katja katharine kat kathy kathrin catherine katie katya
+kenneth: ken kenny
+konstantin: kostya costa kon konsti constantine konstantine
+leonard: lenny leo len leon
+lawrence: larry laurent lars
+magdalena: lena magda leni madeleine maggi
+margarete: rita greta maggie margaret grete margot marga meg peggy gretchen
+maria: mary mia marie mariam
+mateusz: mat matty mateo mati matthew matt
+michael: mike mick michi mikey micha mischa miguel mikhail
+nikolaus: nico klaus nik nick nicholas niko claus nicolas
+ottilie: odi tilly otti otilie odile
+pamela: pam pammy
+patricia: pat patty tricia
+peter: pete pedro pierre piotr
+penelope: pen penny nell poppy
+philip: phil felipe philippe
+raphael: raph rafa rafael raffi
+rebecca: becky becca
+richard: dick rick richie ricardo
+robert: bert bob rob bobby robbie
+samuel: sam sammy samu
+soeren: soren sonny
+stephen: steve steven stefan esteban
+susan: sue susie suzanne
+theodora: thea dora teddy teodora theo
+thomas: tom tommy tomas tomasz
+timothy: tim timmy
+vera: vee verka veronika
+victoria: vicky tori
+walter: walt wally
+wilhelmina: willa billie mina minnie helma wilma
+william: bill liam will billy willy wim
+yevgenia: zhenya eugenia jenny evgenia genia evgeniya
+zoe: zo zozo zoey
+"""
+#: Public providers of mail boxes; others are found in the data. A parameter of identities().
+FREE_HOSTS = ("gmail", "googlemail", "outlook", "hotmail", "yahoo", "gmx", "web", "proton", "protonmail", "icloud", "mail")
+#: Other organisations of its people from which on a host is taken for a provider, and their least share (a power of its people).
+MANY_HOMES, HOMES_POWER = 5, 0.5
 ROLES = {"team", "dev", "devs", "engineering", "eng", "oss", "build", "code", "ops", "info", "admin", "bot", "ci", "release", "releases", "opensource", "github", "hq", "support", "it", "root", "hello", "contact"}
 LEGAL = {"inc", "ltd", "gmbh", "corp", "corporation", "llc", "ag", "sa", "co", "company", "systems", "software", "technologies", "technology", "tech", "laboratories", "labs", "lab", "consulting", "team", "the", "group", "solutions", "limited"}
-#: Q-gram length, least Jaccard similarity of the prefix filter, least soft weighted similarity.
-Q, JACCARD, SOFT = 2, 0.5, 0.86
+#: Q-gram length, least Jaccard similarity of the prefix filter, least soft weighted similarity, weight of a given name.
+Q, JACCARD, SOFT, GIVEN_WEIGHT = 2, 1 / 3, 0.86, 2.0
 
 
 def fold(s: str | None) -> str:
@@ -58,8 +131,8 @@ class Reader:
 
     def __init__(self, given: str = GIVEN, free_hosts: tuple[str, ...] = FREE_HOSTS):
         self.full: dict[str, str] = {}
-        for line in re.split(r"[|\n]", given):
-            names = line.split()
+        for line in given.strip().splitlines():
+            names = line.replace(":", " ").split()
             for n in names:
                 self.full.setdefault(n, names[0])
         self.known = sorted(self.full, key=len, reverse=True)
@@ -85,7 +158,7 @@ class Reader:
         own = labels[-2]
         if "-" in own and own.rpartition("-")[2] in ("laptop", "desktop", "pc", "mac", "macbook", "mbp", "imac", "home", "ws", "box", "notebook", "thinkpad"):
             return own.rpartition("-")[0], "own"  # a machine named after its owner
-        return ("", "free") if own in self.free or own in ("localdomain", "local", "localhost", "codehost") or labels[-1] in ("local", "lan", "internal", "localdomain") else (own, "org")
+        return ("", "free") if own in self.free or own in ("localdomain", "local", "localhost") or labels[-1] in ("local", "lan", "internal", "localdomain") else (own, "org")
 
     def local(self, local: str) -> tuple[str, str, str]:
         """(given or '', initial or '', family or '') of the user part of an address or of a login."""
@@ -163,8 +236,8 @@ class Reader:
         # 'nick-organisation' and 'organisation-suffix' logins
         pieces = re.split(r"[._\-]+", login)
         at_login = ""
-        if not org and len(pieces) == 2:
-            if pieces[1] in ROLES and not self.near(pieces[0]):
+        if len(pieces) == 2:
+            if not org and pieces[1] in ROLES and not self.near(pieces[0]):
                 return {"org": pieces[0], "role": "1", "login": login}
             if self.near(pieces[0]) and family and not one_error(pieces[1], family) and pieces[1] != family and len(pieces[1]) > 8:
                 at_login = pieces[1]
@@ -176,14 +249,16 @@ class Reader:
         if family and len(base) == len(family) + 1 and base.endswith(family):
             g2, i2, f2 = "", base[0], family  # an initial and the family name, whatever else may be read into it
         # the initial before or the letters after a family name in short user parts
+        guess = ""
         if f2 and not g2 and not i2 and not re.fullmatch(r"(?:ws|pc|host|desk)\d+", machine):
+            guess = "" if family else "1"
             f2, i2 = _shorten(f2, family)
         if not family and f2 and words and not given:
             given, initial = g2, i2
         fam = f2 if f2 and (not family or kind in ("org", "free", "own") or one_error(f2, family)) else family
         if family and f2 and fam == f2 and kind == "org" and not given and not initial and not g2 and not i2:
             i2 = f2[:1] if f2[1:] == family else ""
-        out = {"given": g2 or given if given == "" or g2 == "" or g2 == given else given, "initial": (g2 or given or i2 or initial)[:1], "family": fam, "org": org or at_login, "login": login, "role": "", "address": address, "typed": "" if f2 and fam == f2 else "1"}
+        out = {"given": g2 or given if given == "" or g2 == "" or g2 == given else given, "initial": (g2 or given or i2 or initial)[:1], "family": fam, "org": org or at_login, "work": at_login, "login": login, "role": "", "address": address, "typed": "" if f2 and fam == f2 else "1", "guess": guess if fam == f2 else ""}
         return out
 
 
@@ -212,7 +287,7 @@ def one_error(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
 
 
-_FIELDS = ("given", "initial", "family", "org", "login", "role", "address", "typed")
+_FIELDS = ("given", "initial", "family", "org", "work", "login", "role", "address", "typed", "guess")
 
 
 def identities(rows: DataFrame) -> DataFrame:
@@ -243,45 +318,28 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (Q - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(Q))))
 
 
-def similar_tokens(left: DataFrame, right: DataFrame, least: float = JACCARD, agree: int = 1) -> DataFrame:
-    """(block, a, b): distinct tokens of ``left`` and ``right`` (block, token) of one block with q-gram Jaccard >= ``least``.
+def similar_tokens(left: DataFrame, right: DataFrame, least: float = JACCARD) -> DataFrame:
+    """(block, a, b): distinct tokens of ``left`` and ``right`` (block, token) of one block with q-gram Jaccard >= ``least``,
+    which is a third at least.
 
-    Prefix filter: with grams in one global order, two sets of that similarity share a gram among the first
-    |s| - ceil(least |s|) + 1 of each; only those are join keys, rarest grams first. With ``agree`` = 2 they share two
-    grams among one more of each, and the pairs of those are the keys, which are rarer.
+    Prefix filter: with grams in one global order, two sets of that similarity that share two grams (all that are similar
+    do; a token has two at least) share two among the first |s| - ceil(least |s|) + 2 of each. The pairs of those, rarest
+    grams first, are the join keys; they are made once for each token of the vocabulary and not for each block.
     """
-    sides = []
-    for name, df in (("a", left), ("b", right)):
-        sides.append(df.select("block", F.col("token").alias(name)).distinct().withColumn(f"g{name}", _grams(F.col(name))))
-    grams = sides[0].select(F.explode("ga").alias("gram")).unionByName(sides[1].select(F.explode("gb").alias("gram")))
-    # at most |alphabet|**Q grams; the alphabet is that of folded names, so this is small and bounded
-    rank = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    keyed = []
-    for name, df in zip(("a", "b"), sides, strict=True):
-        each = df.select("block", name, f"g{name}", F.explode(f"g{name}").alias("gram")).join(rank, "gram")
-        w = Window.partitionBy("block", name).orderBy("n", "gram")
-        size = F.size(f"g{name}")
-        prefix = each.withColumn("at", F.row_number().over(w)).where(F.col("at") <= size - F.ceil(F.lit(least) * size) + agree).select("block", name, f"g{name}", "gram")
-        if agree == 2:
-            g = F.col("gs")
-            two = F.flatten(F.transform(g, lambda x: F.transform(F.filter(g, lambda y: y > x), lambda y: F.concat(x, y))))
-            prefix = prefix.groupBy("block", name, f"g{name}").agg(F.collect_set("gram").alias("gs")).select("block", name, f"g{name}", F.explode(two).alias("gram"))
-        keyed.append(prefix)
-    both = F.size(F.array_intersect("ga", "gb"))
-    pairs = keyed[0].join(keyed[1], ["block", "gram"]).where(F.least(F.size("ga"), F.size("gb")) >= F.lit(least) * F.greatest(F.size("ga"), F.size("gb")))
-    return pairs.where(both >= F.lit(least) * (F.size("ga") + F.size("gb") - both)).select("block", "a", "b").distinct()
-
-
-def near_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(block, a, b): distinct tokens of ``left`` and ``right`` (block, token) of one block that one insertion, omission,
-    substitution or exchange of neighbours parts at most: two such words share a word that omits one letter or none."""
-    sides = []
-    for name, df in (("a", left), ("b", right)):
-        c = F.col(name)
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
-        each = df.select("block", F.col("token").alias(name)).distinct()
-        sides.append(each.select("block", name, F.explode(F.array_distinct(F.concat(F.array(c), cut))).alias("key")))
-    return sides[0].join(sides[1], ["block", "key"]).where(errors(F.col("a"), F.col("b")) <= 1).select("block", "a", "b").distinct()
+    sides = [df.select("block", "token").distinct() for df in (left, right)]
+    words = sides[0].select("token").unionByName(sides[1].select("token")).distinct().withColumn("gram", F.explode(_grams(F.col("token"))))
+    # at most |alphabet|**Q rows
+    rank = words.groupBy("gram").agg(F.count("*").alias("n"))
+    ranked = words.join(rank, "gram").groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"]).alias("g"))
+    size = F.size("g")
+    prefix = F.slice("g", F.lit(1), (size - F.ceil(F.lit(least) * size) + 2).cast("int"))
+    pairs = F.flatten(F.transform(F.col("p"), lambda x: F.transform(F.filter(F.col("p"), lambda y: y > x), lambda y: F.concat(x, y))))
+    vocabulary = ranked.select("token", size.alias("size"), prefix.alias("p")).select("token", "size", pairs.alias("keys"))
+    keyed = [df.join(vocabulary, "token").select("block", F.col("token").alias(n), F.col("size").alias(f"s{n}"), F.explode("keys").alias("key")) for n, df in zip(("a", "b"), sides, strict=True)]
+    fit = F.least("sa", "sb") >= F.lit(least) * F.greatest("sa", "sb")
+    found = keyed[0].join(keyed[1], ["block", "key"]).where(fit).select("block", "a", "b", "sa", "sb").distinct()
+    both = F.size(F.array_intersect(_grams(F.col("a")), _grams(F.col("b"))))
+    return found.where((F.col("a") == F.col("b")) | (both >= F.lit(least) * (F.col("sa") + F.col("sb") - both))).select("block", "a", "b")
 
 
 def errors(a: Column, b: Column) -> Column:
@@ -292,125 +350,155 @@ def errors(a: Column, b: Column) -> Column:
     return F.when((n == 2) & (F.length(a) == F.length(b)) & swapped, 1).otherwise(n)
 
 
-def resolve(people: DataFrame) -> DataFrame:
-    """``people`` (from identities(), with who, repo_id) with the entity of each row: (who, repo_id, entity)."""
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    ids = people.select("who", "repo_id", *(text(f).alias(f) for f in _FIELDS))
-    roles = ids.where("role = '1'").select("who", "repo_id", F.concat(F.lit("O|"), F.col("org")).alias("entity"))
-    persons = ids.where("role = '' AND (family != '' OR login != '' OR address != '')")
-    # in one organisation a family name with an initial is completed by the only given name that fits
-    firms = persons.where("org != '' AND family != '' AND given != ''").groupBy("org", "family", F.substring("given", 1, 1).alias("initial"))
-    full = firms.agg(F.min("given").alias("lo"), F.max("given").alias("hi")).where("lo = hi").select("org", "family", "initial", F.col("lo").alias("whole"))
-    persons = persons.join(full, ["org", "family", "initial"], "left").withColumn("given", F.when(F.col("given") == "", text("whole")).otherwise(F.col("given"))).drop("whole")
-    only = persons.where("org != '' AND family != '' AND given != ''").groupBy("org", "family").agg(F.min("given").alias("lo"), F.max("given").alias("hi"))
-    only = only.where("lo = hi").select("org", "family", F.col("lo").alias("whole"), F.lit("").alias("given"), F.lit("").alias("initial"))
-    persons = persons.join(only, ["org", "family", "given", "initial"], "left").withColumn("given", F.coalesce("whole", "given")).drop("whole")
+def shared_hosts(ids: DataFrame) -> DataFrame:
+    """(org): hosts whose people are at home in many other organisations; a person's home is the smallest of the hosts used."""
+    seen = ids.where("role = '' AND org != '' AND family != '' AND given != ''").select("given", "family", "org").distinct()
+    sized = seen.join(seen.groupBy("org").agg(F.count("*").alias("people")), "org")
+    home = sized.groupBy("given", "family").agg(F.min(F.struct("people", "org")).alias("home"))
+    away = F.when(F.col("home.org") != F.col("org"), F.col("home.org"))
+    hosts = sized.join(home, ["given", "family"]).groupBy("org").agg(F.countDistinct(away).alias("homes"), F.max("people").alias("people"))
+    return hosts.where(F.col("homes") >= F.greatest(F.lit(float(MANY_HOMES)), F.pow("people", F.lit(HOMES_POWER)))).select("org")
+
+
+def _weight(n: Column, total: Column) -> Column:
+    """Inverse relative frequency, so that thresholds hold at every size; one of 1000 is as rare as can be told."""
+    return F.log(1.0 + F.least(total / n, F.lit(1000.0)))
+
+
+def _keyed(people: DataFrame) -> DataFrame:
+    """Persons with the key ``first`` of the entity that their own tokens name; null where they name none."""
+    persons = people.where("role = '' AND (family != '' OR login != '' OR address != '')")
+    # in one organisation a family name is completed by the only given name that fits (its initial, if there is one)
+    firms = persons.where("org != '' AND family != '' AND given != ''").groupBy("org", "family", F.substring("given", 1, 1).alias("letter")).agg(F.min("given").alias("lo"), F.max("given").alias("hi"))
+    entries = F.filter(F.collect_list(F.when(F.col("lo") == F.col("hi"), F.struct("letter", "lo"))), lambda x: x.isNotNull())  # one for each letter at most
+    firms = firms.groupBy("org", "family").agg(F.map_from_entries(entries).alias("whole"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    only = F.when(F.col("initial") != "", F.try_element_at("whole", F.col("initial"))).when(F.col("lo") == F.col("hi"), F.col("lo"))
+    persons = persons.join(firms, ["org", "family"], "left").withColumn("given", F.when(F.col("given") == "", F.coalesce(only, F.lit(""))).otherwise(F.col("given"))).drop("whole", "lo", "hi")
     own = F.when((F.col("org") != "") & (F.col("family") != ""), F.concat_ws("|", F.lit("P"), "family", F.when(F.col("given") != "", F.col("given")).otherwise(F.col("initial")), "org"))
     persons = persons.withColumn("own", own)
     # a login belongs to one person
     by_login = persons.where("login != '' AND own IS NOT NULL").groupBy("login").agg(F.mode("own", deterministic=True).alias("by_login"))
     persons = persons.join(by_login, "login", "left").withColumn("first", F.coalesce("own", "by_login", F.when(F.col("login") != "", F.concat(F.lit("L|"), F.col("login")))))
     # an entity known by its login only is the one of an organisation that has the same name and no other login
-    has = persons.where("first IS NOT NULL AND family != '' AND given != ''")
-    logins = has.where(F.col("first").startswith("L|")).select(F.col("first").alias("by"), "family", "given", F.col("repo_id").alias("repo")).distinct()
-    firms_of = has.where(F.col("first").startswith("P|")).groupBy(F.col("first").alias("firm"), "family", "given").agg(F.max("login").alias("taken"), F.collect_set("repo_id").alias("repos"))
-    cand = (
-        logins.join(firms_of.where("taken = ''"), ["family", "given"])
-        .groupBy("by", "firm").agg(F.max(F.array_contains("repos", F.col("repo")).cast("int")).alias("same"))
-    )
+    has = persons.where("first IS NOT NULL AND family != '' AND given != ''").select("first", "family", "given", "login", "repo_id")
+    logins = has.where(F.col("first").startswith("L|")).select(F.col("first").alias("by"), "family", "given", "repo_id").distinct()
+    firm = has.where(F.col("first").startswith("P|"))
+    free = firm.groupBy(F.col("first").alias("firm"), "family", "given").agg(F.max("login").alias("taken")).where("taken = ''").drop("taken")
+    near = logins.join(firm.select(F.col("first").alias("firm"), "family", "given", "repo_id").distinct(), ["family", "given", "repo_id"]).select("by", "firm").distinct().withColumn("same", F.lit(1))
+    cand = logins.select("by", "family", "given").distinct().join(free, ["family", "given"]).select("by", "firm").distinct().join(near, ["by", "firm"], "left").withColumn("same", F.coalesce("same", F.lit(0)))
     chosen = (
         cand.groupBy("by").agg(F.count("*").alias("n"), F.sum("same").alias("s"), F.max_by("firm", F.struct("same", "firm")).alias("firm"))
         .where("n = 1 OR s = 1").select(F.col("by").alias("first"), "firm")
     )
-    persons = persons.join(chosen, "first", "left").withColumn("first", F.coalesce("firm", "first")).drop("firm")
+    persons = persons.join(chosen, "first", "left").withColumn("first", F.coalesce("firm", "first")).drop("firm", "by_login")
     # an address leads to the only entity that has it; those of several are kept for ties
-    alone_has = (F.col("address") != "") & ~F.col("address").startswith("\t")
-    holders = persons.where(F.col("first").isNotNull() & alone_has).select("address", F.col("first").alias("entity")).distinct()
+    holders = persons.where(F.col("first").isNotNull() & _alone()).select("address", F.col("first").alias("entity")).distinct()
     sole = holders.groupBy("address").agg(F.min("entity").alias("holder"), F.count("*").alias("n")).where("n = 1").drop("n")
-    persons = persons.join(sole, "address", "left").withColumn("first", F.coalesce("first", "holder")).drop("holder")
-    persons = cut_lineage(persons)
-    sure = persons.where("first IS NOT NULL").select("who", "repo_id", F.col("first").alias("entity"))
-    profiles = persons.where("first IS NOT NULL AND family != ''").select(F.col("first").alias("entity"), "family", "given", F.col("initial").alias("first_letter"), "repo_id").distinct()
-    unsure = persons.where("first IS NULL")
-    loose = unsure.where("family != ''")
-    # candidates share the repository; or the given name anywhere, if no address spells the family name (what an
-    # address spells too is no typing error, and elsewhere there are people with names as near as that)
-    by_hand = loose.where("typed = '1' AND given != ''")
-    def tokens(df: DataFrame, block: str) -> DataFrame:
-        return df.select(F.col(block).cast("string").alias("block"), F.col("family").alias("token")).where("block IS NOT NULL AND block != ''")
-
-    near = similar_tokens(tokens(loose, "repo_id"), tokens(profiles, "repo_id")).union(near_tokens(tokens(loose, "repo_id"), tokens(profiles, "repo_id"))).distinct()
-    far = similar_tokens(tokens(by_hand, "given"), tokens(profiles, "given"), agree=2).union(near_tokens(tokens(by_hand, "given"), tokens(profiles, "given"))).distinct()
-    weights = profiles.select("entity", "family", "given").distinct()
-    # by relative frequency, so that the thresholds hold at every size; one of 1000 is as rare as can be told
-    total = weights.agg(F.greatest(F.count("*"), F.lit(1000)).alias("total"))
-    rare = weights.groupBy("family").agg(F.count("*").alias("n")).crossJoin(total).select("family", F.log(1.0 + F.least(F.col("total") / F.col("n"), F.lit(1000.0))).alias("weight"))
-    p = profiles.select(F.col("repo_id").cast("string").alias("block"), F.col("family").alias("b"), F.col("given").alias("p_given"), F.col("first_letter").alias("p_initial"), "entity")
-    local = (
-        loose.withColumn("block", F.col("repo_id").cast("string"))
-        .join(near.withColumnRenamed("a", "family"), ["block", "family"])
-        .join(p, ["block", "b"])
-        .select("who", "repo_id", "family", "b", "given", "initial", "p_given", "p_initial", "entity", F.lit(1).alias("local"))
-    )
-    whole = weights.select(F.col("family").alias("b"), F.col("given"), F.col("entity"))
-    spelt = loose.where("given != ''").select("who", "repo_id", "family", "given", "initial", F.col("family").alias("b"))
-    like = by_hand.select("who", "repo_id", "family", "given", "initial").join(far.where("a != b").select(F.col("a").alias("family"), F.col("block").alias("given"), "b"), ["family", "given"])
-    same = (
-        spelt.unionByName(like)
-        .join(whole, ["b", "given"])
-        .select("who", "repo_id", "family", "b", "given", "initial", F.col("given").alias("p_given"), F.substring("given", 1, 1).alias("p_initial"), "entity", F.lit(0).alias("local"))
+    return persons.join(sole, "address", "left").withColumn("first", F.coalesce("first", "holder")).drop("holder")
+
+
+def _alone() -> Column:
+    """Whether one person alone can have the address."""
+    return (F.col("address") != "") & ~F.col("address").startswith("\t")
+
+
+def _tokens(loose: bool) -> Column:
+    """array<struct<block, token, clue>>: what an identity is looked up by. The clue is what both sides share besides."""
+    some = lambda on, kind, block, token: F.when(on, F.struct(F.concat(F.lit(kind), block).alias("block"), token.alias("token"), F.lit(kind).alias("clue")))
+    family, login = F.col("family"), F.col("login")
+    each = [
+        some((F.col("org") != "") & (family != ""), "o", F.col("org"), family),
+        some(login != "", "l", login, login),
+        some(_alone(), "a", F.col("address"), F.col("address")),
+    ]
+    if loose:
+        repository = F.col("own").isNull() & (family != "")
+        # the given name in any repository: only what no address spells may be a typing error there
+        each += [some(repository & F.col("repo_id").isNotNull(), "r", F.col("repo_id").cast("string"), family), some(repository & (F.col("given") != ""), "g", F.col("given"), family)]
+    else:
+        each += [some(family != "", "r", F.coalesce(F.col("repo_id").cast("string"), F.lit("")), family), some((family != "") & (F.col("given") != ""), "g", F.col("given"), family)]
+    return F.filter(F.array(*each), lambda x: x.isNotNull())
+
+
+def resolve(people: DataFrame) -> DataFrame:
+    """``people`` (from identities(), with who, repo_id) with the entity of each row: (who, repo_id, entity)."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    ids = people.select("who", "repo_id", *(text(f).alias(f) for f in _FIELDS))
+    ids = ids.join(shared_hosts(ids).withColumn("shared", F.lit(True)), "org", "left").withColumn("org", F.when(F.col("shared"), F.col("work")).otherwise(F.col("org"))).drop("shared", "work")
+    roles = ids.where("role = '1'").select("who", "repo_id", F.concat(F.lit("O|"), F.col("org")).alias("entity"))
+    persons = cut_lineage(_keyed(ids))
+    references = persons.where("first IS NOT NULL AND (typed = '' OR family = '')")
+    right = references.select(F.explode(_tokens(False)).alias("t"), F.col("first").alias("entity"), "family", "given", "initial").select("t.*", "entity", F.col("family").alias("p_family"), F.col("given").alias("p_given"), F.col("initial").alias("p_initial")).distinct()
+    left = persons.select("who", "repo_id", "first", "own", "family", "given", "initial", "typed", "guess", F.explode(_tokens(True)).alias("t")).select("*", "t.*").drop("t")
+    found = similar_tokens(left, right)
+    # by how many references a clue or a family name is shared
+    total = references.agg(F.greatest(F.count("*"), F.lit(1000)).alias("total"))  # one row
+    clues = right.where("clue IN ('o', 'l', 'a')").groupBy("block").agg(F.countDistinct("entity").alias("n")).crossJoin(total).select("block", _weight(F.col("n"), F.col("total")).alias("clue_weight"))
+    rare = right.where("clue != 'a' AND p_family != ''").groupBy("p_family").agg(F.countDistinct("entity").alias("n")).crossJoin(total).select("p_family", _weight(F.col("n"), F.col("total")).alias("weight"))
+    pairs = (
+        left.join(found.withColumnRenamed("a", "token"), ["block", "token"])
+        .where("clue != 'g' OR token = b OR typed = '1'")
+        .join(right.drop("clue").withColumnRenamed("token", "b"), ["block", "b"])
+        .join(clues, "block", "left").join(rare, "p_family", "left")
     )
-    # soft weighted similarity: the family token weighs its rarity, the given token a common word's weight
-    alike = 1.0 - errors(F.col("family"), F.col("b")) / F.greatest(F.length("family"), F.length("b"))
+    spelt = (F.col("family") != "") & (F.col("p_family") != "") & (F.col("guess") == "")
+    weight = F.when(spelt, F.coalesce("weight", F.lit(0.0))).otherwise(0.0)
+    alike = 1.0 - errors(F.col("family"), F.col("p_family")) / F.greatest(F.length("family"), F.length("p_family"), F.lit(1))
     given_alike = (
         F.when((F.col("given") != "") & (F.col("p_given") != ""), F.when(F.col("given") == F.col("p_given"), 1.0).otherwise(0.0))
         .when((F.col("initial") != "") & (F.col("p_initial") != ""), F.when(F.col("initial") == F.col("p_initial"), 0.9).otherwise(0.0))
         .otherwise(0.8)
     )
+    clue = F.coalesce("clue_weight", F.lit(0.0))
     scored = (
-        local.unionByName(same)
-        .join(rare.withColumnRenamed("family", "b"), "b")
-        .withColumn("score", (F.col("weight") * alike + 2.0 * given_alike) / (F.col("weight") + 2.0))
-        .where((F.col("score") >= SOFT) & (given_alike > 0))
-        .groupBy("who", "repo_id", "family", "given", "entity")
-        .agg(F.max("score").alias("score"), F.max("local").alias("local"))
-    )
-    scored = cut_lineage(scored)
-    shared = persons.where(F.col("first").isNotNull() & alone_has).select("address", F.col("first").alias("entity")).distinct().withColumn("holds", F.lit(1))
-    scored = scored.join(loose.select("who", "address").distinct(), "who").join(shared, ["address", "entity"], "left").withColumn("holds", F.coalesce("holds", F.lit(0)))
-    w = Window.partitionBy("who", "repo_id").orderBy(F.desc("holds"), F.desc("local"), F.desc("score"), "entity")
-    rival = F.lead(F.struct("holds", "local", "score")).over(w)
-    best = scored.select("who", "repo_id", "entity", "holds", "local", "score", F.row_number().over(w).alias("at"), rival.alias("rival")).where("at = 1")
-    best = best.where(F.col("rival").isNull() | (F.col("rival.holds") < F.col("holds")) | (F.col("rival.local") < F.col("local")) | (F.col("rival.score") < F.col("score") - 0.02)).select("who", "repo_id", "entity")
-    alone = (
-        loose.where("given != ''")
-        .join(best.select("who"), "who", "left_anti")
-        .join(weights.select("family", "given").distinct(), ["family", "given"], "left_anti")
-        .select("who", "repo_id", F.concat_ws("|", F.lit("N"), "family", "given").alias("entity"))
-    )
+        pairs.withColumn("score", (weight * alike + GIVEN_WEIGHT * given_alike + clue) / (weight + GIVEN_WEIGHT + clue))
+        .where((F.col("score") >= SOFT) & ((given_alike > 0) | F.col("clue").isin("l", "a")))
+        .groupBy("who", "repo_id", "entity")
+        .agg(
+            F.max(F.coalesce(F.col("first") == F.col("entity"), F.lit(False))).alias("mine"),
+            F.max((F.col("clue") == "a").cast("int")).alias("holds"), F.max(F.col("clue").isin("o", "l", "r").cast("int")).alias("local"), F.max("score").alias("score"),
+        )
+    )
+    w = Window.partitionBy("who", "repo_id").orderBy(F.desc("mine"), F.desc("holds"), F.desc("local"), F.desc("score"), "entity")
+    rival = F.lead(F.struct("mine", "holds", "local", "score")).over(w)
+    best = scored.select("who", "repo_id", "entity", "mine", "holds", "local", "score", F.row_number().over(w).alias("at"), rival.alias("rival")).where("at = 1")
+    best = best.where("mine OR rival IS NULL OR rival.holds < holds OR rival.local < local OR rival.score < score - 0.02").select(F.col("who").alias("w"), F.col("repo_id").alias("r"), "entity")
+    won = persons.join(best, (F.col("who") == F.col("w")) & F.col("repo_id").eqNullSafe(F.col("r")), "left")
     # identities of one address are one: what most of them won, else the address itself
-    won = unsure.join(best.unionByName(alone).select("who", "entity").distinct(), "who", "left")
-    common = won.where(alone_has & F.col("entity").isNotNull()).groupBy("address").agg(F.mode("entity", deterministic=True).alias("common"))
-    itself = F.when(F.col("address") != "", F.concat(F.lit("E|"), F.col("address"))).when(F.col("family") != "", F.concat_ws("|", F.lit("M"), "family", "given", "initial"))
-    rest = won.join(common, "address", "left").select("who", "repo_id", F.coalesce("common", "entity", itself).alias("entity")).where("entity IS NOT NULL")
-    return roles.unionByName(sure).unionByName(rest)
+    by = Window.partitionBy("address")
+    common = F.when(_alone() & F.col("own").isNull(), F.mode("entity", deterministic=True).over(by))
+    itself = (
+        F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("login") != "", F.concat(F.lit("L|"), F.col("login")))
+        .when((F.col("family") != "") & (F.col("given") != "") & ~_alone(), F.concat_ws("|", F.lit("N"), "family", "given"))
+        .when(F.col("address") != "", F.concat(F.lit("E|"), F.col("address"))).when(F.col("family") != "", F.concat_ws("|", F.lit("M"), "family", "given", "initial"))
+    )
+    rest = won.select("who", "repo_id", F.coalesce(common, "entity", itself).alias("entity")).where("entity IS NOT NULL")
+    return roles.unionByName(rest)
 
 
-def linked(developers: DataFrame, commits: DataFrame) -> DataFrame:
-    """(link_kind, left_id, right_id): rows of one person or organisation, as defined in the test data."""
+def members(developers: DataFrame, commits: DataFrame) -> DataFrame:
+    """(side, id, repo_id, entity): the person or organisation of each developers row (side d), and of each commits row (c)
+    whose address is no developer's in its repository."""
     clean = lambda c: F.lower(F.trim(F.col(c)))
     devs = developers.select(F.concat(F.lit("d"), F.col("id")).alias("who"), "id", "repo_id", "name", "email", F.col("github_login").alias("login"))
     known = devs.select("repo_id", clean("email").alias("email")).distinct()
     c = commits.select("id", "repo_id", F.col("author_name").alias("name"), clean("author_email").alias("email"))
     strange = c.join(known, ["repo_id", "email"], "left_anti").where("repo_id IS NOT NULL")
-    keyed = strange.withColumn("who", F.concat(F.lit("c"), F.xxhash64("repo_id", "name", "email")))
-    unique = keyed.groupBy("who").agg(F.first("repo_id").alias("repo_id"), F.first("name").alias("name"), F.first("email").alias("email")).withColumn("login", F.lit(None).cast("string"))
-    people = identities(devs.drop("id").unionByName(unique.select("who", "repo_id", "name", "email", "login")))
+    # nulls are left out of the text under their names, so identities that differ have texts that differ
+    keyed = strange.withColumn("who", F.concat(F.lit("c"), F.sha2(F.to_json(F.struct("repo_id", "name", "email")), 256)))
+    unique = keyed.select("who", "repo_id", "name", "email").distinct().withColumn("login", F.lit(None).cast("string"))
+    people = identities(devs.select("who", "repo_id", "name", "email", "login").distinct().unionByName(unique))
     entity = resolve(cut_lineage(people)).select("who", "entity").distinct()
-    entity = cut_lineage(entity)
-    d = devs.select("who", "id", "repo_id").join(entity, "who").select("id", "repo_id", "entity").distinct()
+    rows = devs.select(F.lit("d").alias("side"), "who", "id", "repo_id").unionByName(keyed.select(F.lit("c").alias("side"), "who", "id", "repo_id"))
+    return rows.join(entity, "who").select("side", "id", "repo_id", "entity")
+
+
+def linked(developers: DataFrame, commits: DataFrame) -> DataFrame:
+    """(link_kind, left_id, right_id): rows of one person or organisation, as defined in the test data."""
+    m = cut_lineage(members(developers, commits))
+    d = m.where("side = 'd'").select("id", "repo_id", "entity").distinct()
     a, b = d.select("entity", F.col("id").alias("left_id")), d.select("entity", F.col("id").alias("right_id"))
     pairs = a.join(b, "entity").where("left_id < right_id").select(F.lit("developer_developer").alias("link_kind"), "left_id", "right_id")
-    rows = keyed.select("who", "repo_id", F.col("id").alias("left_id")).join(entity, "who")
+    rows = m.where("side = 'c'").select(F.col("id").alias("left_id"), "repo_id", "entity")
     to = rows.join(d.withColumnRenamed("id", "right_id"), ["repo_id", "entity"]).select(F.lit("commit_developer").alias("link_kind"), "left_id", "right_id")
     return pairs.unionByName(to).distinct()

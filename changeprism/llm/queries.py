@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from changeprism.llm.leakage import leaked_items
 from changeprism.llm.mojibake import garbled_texts
-from changeprism.llm.names import linked
+from changeprism.llm.names import linked, members
 from changeprism.llm.nearest import issues_to_merges
 from changeprism.llm.pii import occurrences, replaced
 from changeprism.llm.secrets import credential_lines, redacted_texts
@@ -75,6 +76,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The person or organisation of each row, with the number of developers rows of it."""
+    m = members(
+        table(spark, sf_dir, "github_developers", "id", "repo_id", "name", "email", "github_login"),
+        table(spark, sf_dir, "github_commits", "id", "repo_id", "author_name", "author_email"),
+    )
+    rows = m.groupBy("entity").agg(F.count_if(F.col("side") == "d").alias("developers"))
+    return m.join(rows, "entity").select(F.when(F.col("side") == "d", "github_developers").otherwise("github_commits").alias("table_name"), F.col("id").alias("record_id"), "entity", "developers")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return encode(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -124,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
     "p6_found": p6_found,
+    "p6_members": p6_members,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p8_found": p8_found,
