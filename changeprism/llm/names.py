@@ -115,7 +115,7 @@ MANY_HOMES, HOMES_POWER = 5, 0.5
 ROLES = {"team", "dev", "devs", "engineering", "eng", "oss", "build", "code", "ops", "info", "admin", "bot", "ci", "release", "releases", "opensource", "github", "hq", "support", "it", "root", "hello", "contact"}
 LEGAL = {"inc", "ltd", "gmbh", "corp", "corporation", "llc", "ag", "sa", "co", "company", "systems", "software", "technologies", "technology", "tech", "laboratories", "labs", "lab", "consulting", "team", "the", "group", "solutions", "limited"}
 #: Q-gram length, least Jaccard similarity of the prefix filter, least soft weighted similarity, weight of a given name.
-Q, JACCARD, SOFT, GIVEN_WEIGHT = 2, 1 / 3, 0.86, 2.0
+Q, JACCARD, SOFT, GIVEN_WEIGHT = 2, 0.4, 0.86, 2.0
 
 
 def fold(s: str | None) -> str:
@@ -368,17 +368,19 @@ def _weight(n: Column, total: Column) -> Column:
 def _keyed(people: DataFrame) -> DataFrame:
     """Persons with the key ``first`` of the entity that their own tokens name; null where they name none."""
     persons = people.where("role = '' AND (family != '' OR login != '' OR address != '')")
-    # in one organisation a family name is completed by the only given name that fits (its initial, if there is one)
-    firms = persons.where("org != '' AND family != '' AND given != ''").groupBy("org", "family", F.substring("given", 1, 1).alias("letter")).agg(F.min("given").alias("lo"), F.max("given").alias("hi"))
-    entries = F.filter(F.collect_list(F.when(F.col("lo") == F.col("hi"), F.struct("letter", "lo"))), lambda x: x.isNotNull())  # one for each letter at most
-    firms = firms.groupBy("org", "family").agg(F.map_from_entries(entries).alias("whole"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    only = F.when(F.col("initial") != "", F.try_element_at("whole", F.col("initial"))).when(F.col("lo") == F.col("hi"), F.col("lo"))
-    persons = persons.join(firms, ["org", "family"], "left").withColumn("given", F.when(F.col("given") == "", F.coalesce(only, F.lit(""))).otherwise(F.col("given"))).drop("whole", "lo", "hi")
+    # in one organisation a family name is completed by the only given name that fits (its initial, if there is one);
+    # rows without both are groups of their own
+    firm = [F.when((F.col("org") != "") & (F.col("family") != ""), F.col("org")).otherwise(F.concat(F.lit("\t"), "who")), F.col("family")]
+    spelt, letter = F.when(F.col("given") != "", F.col("given")), F.coalesce(F.when(F.col("given") != "", F.substring("given", 1, 1)), F.col("initial"))
+    whole, part = Window.partitionBy(*firm), Window.partitionBy(*firm, letter)
+    only = lambda w: F.when(F.min(spelt).over(w) == F.max(spelt).over(w), F.min(spelt).over(w))
+    persons = persons.withColumn("given", F.coalesce(spelt, F.when(F.col("initial") != "", only(part)).otherwise(only(whole)), F.lit("")))
     own = F.when((F.col("org") != "") & (F.col("family") != ""), F.concat_ws("|", F.lit("P"), "family", F.when(F.col("given") != "", F.col("given")).otherwise(F.col("initial")), "org"))
     persons = persons.withColumn("own", own)
     # a login belongs to one person
     by_login = persons.where("login != '' AND own IS NOT NULL").groupBy("login").agg(F.mode("own", deterministic=True).alias("by_login"))
     persons = persons.join(by_login, "login", "left").withColumn("first", F.coalesce("own", "by_login", F.when(F.col("login") != "", F.concat(F.lit("L|"), F.col("login")))))
+    persons = cut_lineage(persons.drop("by_login"))
     # an entity known by its login only is the one of an organisation that has the same name and no other login
     has = persons.where("first IS NOT NULL AND family != '' AND given != ''").select("first", "family", "given", "login", "repo_id")
     logins = has.where(F.col("first").startswith("L|")).select(F.col("first").alias("by"), "family", "given", "repo_id").distinct()
@@ -390,7 +392,7 @@ def _keyed(people: DataFrame) -> DataFrame:
         cand.groupBy("by").agg(F.count("*").alias("n"), F.sum("same").alias("s"), F.max_by("firm", F.struct("same", "firm")).alias("firm"))
         .where("n = 1 OR s = 1").select(F.col("by").alias("first"), "firm")
     )
-    persons = persons.join(chosen, "first", "left").withColumn("first", F.coalesce("firm", "first")).drop("firm", "by_login")
+    persons = persons.join(chosen, "first", "left").withColumn("first", F.coalesce("firm", "first")).drop("firm")
     # an address leads to the only entity that has it; those of several are kept for ties
     holders = persons.where(F.col("first").isNotNull() & _alone()).select("address", F.col("first").alias("entity")).distinct()
     sole = holders.groupBy("address").agg(F.min("entity").alias("holder"), F.count("*").alias("n")).where("n = 1").drop("n")
@@ -430,14 +432,17 @@ def resolve(people: DataFrame) -> DataFrame:
     references = persons.where("first IS NOT NULL AND (typed = '' OR family = '')")
     right = references.select(F.explode(_tokens(False)).alias("t"), F.col("first").alias("entity"), "family", "given", "initial").select("t.*", "entity", F.col("family").alias("p_family"), F.col("given").alias("p_given"), F.col("initial").alias("p_initial")).distinct()
     left = persons.select("who", "repo_id", "first", "own", "family", "given", "initial", "typed", "guess", F.explode(_tokens(True)).alias("t")).select("*", "t.*").drop("t")
-    found = similar_tokens(left, right)
+    # what an address spells, logins and addresses are no typing errors: there only the same grams will do (one key each)
+    by_hand = (F.col("typed") == "1") & F.col("clue").isin("o", "r", "g")
+    near = left.where(by_hand)
+    some = right.where(F.col("clue").isin("o", "r", "g")).join(near.select("block").distinct(), "block", "left_semi")
+    found = similar_tokens(left.where(~by_hand), right, 1.0).unionByName(similar_tokens(near, some))
     # by how many references a clue or a family name is shared
     total = references.agg(F.greatest(F.count("*"), F.lit(1000)).alias("total"))  # one row
     clues = right.where("clue IN ('o', 'l', 'a')").groupBy("block").agg(F.countDistinct("entity").alias("n")).crossJoin(total).select("block", _weight(F.col("n"), F.col("total")).alias("clue_weight"))
     rare = right.where("clue != 'a' AND p_family != ''").groupBy("p_family").agg(F.countDistinct("entity").alias("n")).crossJoin(total).select("p_family", _weight(F.col("n"), F.col("total")).alias("weight"))
     pairs = (
         left.join(found.withColumnRenamed("a", "token"), ["block", "token"])
-        .where("clue != 'g' OR token = b OR typed = '1'")
         .join(right.drop("clue").withColumnRenamed("token", "b"), ["block", "b"])
         .join(clues, "block", "left").join(rare, "p_family", "left")
     )
