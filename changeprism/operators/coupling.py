@@ -1,39 +1,50 @@
 """Co-change coupling of code units over a rolling window.
 
-``changes`` is (sha, block, at): one row for each change of a unit in a commit. Pairs come from the distinct
-(sha, block) rows joined on the commit, so the work is the sum of squared commit sizes; ``max_blocks`` leaves out mega
-commits when it is given (off by default, as results would differ).
+``changes`` is (sha, block, at), with the columns of ``by`` (a repository, say) before them if there are any: one row for
+each change of a unit in a commit. Pairs come from the distinct (sha, block) rows joined on the commit, so the work is the
+sum of squared commit sizes. The units of a commit with more than ``SPLIT`` of them are dealt into groups, and the pairs
+of each two groups are a key of their own, so that no task makes all pairs of one commit; the result is the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Units of a commit from which on its pairs are spread over tasks.
+SPLIT = 500
+
+
+def commit_pairs(once: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, sha, a, b, at) of the units a < b of each commit of distinct (by, sha, block, at)."""
+    key = [*by, "sha"]
+    large = once.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select(*key, F.ceil(F.col("n") / SPLIT).cast("int").alias("k"))
+    rows = once.join(large, key, "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("block"), F.col("k")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    a = rows.select(*key, F.col("block").alias("a"), "at", F.col("i"), every.alias("j"))
+    b = rows.select(*key, F.col("block").alias("b"), every.alias("i"), F.col("i").alias("j"))
+    return a.join(b, [*key, "i", "j"]).where("a < b").select(*key, "a", "b", "at")
+
 
 def in_window(at: str, as_of: Column, days: int) -> Column:
     return F.col(at) >= as_of - F.expr(f"INTERVAL {days} DAYS")
 
 
-def cochange_pairs(changes: DataFrame, as_of: Column, days: int = 365, min_count: int = 10, min_rate: float = 0.95, incidents: DataFrame | None = None, max_blocks: int | None = None) -> DataFrame:
-    """(a, b, n, total_a, rate, last_at, last_sha) of units that change together, a < b.
+def cochange_pairs(changes: DataFrame, as_of: Column, days: int = 365, min_count: int = 10, min_rate: float = 0.95, incidents: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, a, b, n, total_a, rate, last_at, last_sha) of units that change together, a < b.
 
-    The rate is distinct shared commits over all change rows of a. ``incidents`` (block) keeps pairs of which both
+    The rate is distinct shared commits over all change rows of a. ``incidents`` (by, block) keeps pairs of which both
     had an incident.
     """
-    seen = changes.where(in_window("at", as_of, days)).select("sha", "block", "at")
-    once = seen.groupBy("sha", "block").agg(F.max("at").alias("at"))
-    if max_blocks is not None:
-        once = once.join(once.groupBy("sha").count().where(F.col("count") <= max_blocks).select("sha"), "sha", "left_semi")
-    a = once.select("sha", F.col("block").alias("a"), "at")
-    b = once.select("sha", F.col("block").alias("b"))
-    pairs = a.join(b, "sha").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("at").alias("last_at"), F.max("sha").alias("last_sha")).where(F.col("n") >= min_count)
-    totals = seen.groupBy(F.col("block").alias("a")).agg(F.count("*").alias("total_a"))
-    out = pairs.join(totals, "a").withColumn("rate", F.col("n") / F.col("total_a")).where(F.col("rate") >= min_rate)
+    seen = changes.where(in_window("at", as_of, days)).select(*by, "sha", "block", "at")
+    once = seen.groupBy(*by, "sha", "block").agg(F.max("at").alias("at"))
+    pairs = commit_pairs(once, by).groupBy(*by, "a", "b").agg(F.count("*").alias("n"), F.max("at").alias("last_at"), F.max("sha").alias("last_sha")).where(F.col("n") >= min_count)
+    totals = seen.groupBy(*by, F.col("block").alias("a")).agg(F.count("*").alias("total_a"))
+    out = pairs.join(totals, [*by, "a"]).withColumn("rate", F.col("n") / F.col("total_a")).where(F.col("rate") >= min_rate)
     if incidents is not None:
         for side in ("a", "b"):
-            out = out.join(incidents.select(F.col("block").alias(side)).distinct(), side, "left_semi")
-    return out.select("a", "b", "n", "total_a", "rate", "last_at", "last_sha")
+            out = out.join(incidents.select(*by, F.col("block").alias(side)).distinct(), [*by, side], "left_semi")
+    return out.select(*by, "a", "b", "n", "total_a", "rate", "last_at", "last_sha")
 
 
 def both_directions(pairs: DataFrame) -> DataFrame:
@@ -56,8 +67,6 @@ def coupling_statistics(pairs: DataFrame) -> DataFrame:
 
 def coupled_with(pairs: DataFrame, min_rate: float, k: int) -> DataFrame:
     """The k units most coupled to each unit."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("block").orderBy(F.desc("rate"), "other")
     return both_directions(pairs).where(F.col("rate") >= min_rate).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -67,6 +76,6 @@ def file_cochange(changes: DataFrame, min_frequency: float) -> DataFrame:
     once = changes.select("sha", "block").distinct()
     multi = once.join(once.groupBy("sha").count().where("count >= 2").select("sha"), "sha", "left_semi")
     n = multi.groupBy("block").agg(F.count("*").alias("n"))
-    pairs = multi.select("sha", F.col("block").alias("a")).join(multi.select("sha", F.col("block").alias("b")), "sha").where("a < b").groupBy("a", "b").agg(F.count("*").alias("co_changes"))
+    pairs = commit_pairs(multi.withColumn("at", F.lit(None).cast("timestamp"))).groupBy("a", "b").agg(F.count("*").alias("co_changes"))
     out = pairs.join(n.select(F.col("block").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("block").alias("b"), F.col("n").alias("nb")), "b")
     return out.withColumn("frequency", F.col("co_changes") / F.greatest("na", "nb")).where(F.col("frequency") >= min_frequency).select("a", "b", "co_changes", "frequency")

@@ -30,12 +30,11 @@ def incident_statistics(links: DataFrame) -> DataFrame:
 
 
 def incident_type(labels: Column) -> Column:
-    """The first label that speaks of a bug, security or critical state, else the first label, else unknown."""
-    low = F.transform(labels, lambda x: F.lower(x))
-    hit = F.filter(low, lambda x: x.contains("bug") | x.contains("security") | x.contains("critical"))
-    found = F.get(hit, F.lit(0))
+    """The first label that speaks of a bug, security or critical state, else the first label as it is written, else unknown."""
+    hit = F.filter(labels, lambda x: F.lower(x).rlike("bug|security|critical"))
+    found = F.lower(F.get(hit, F.lit(0)))
     kind = F.when(found.contains("bug"), "bug").when(found.contains("security"), "security").when(found.contains("critical"), "critical")
-    return F.coalesce(kind, F.get(low, F.lit(0)), F.lit("unknown"))
+    return F.coalesce(kind, F.get(labels, F.lit(0)), F.lit("unknown"))
 
 
 def repair_hours(issues: DataFrame, by: str) -> DataFrame:

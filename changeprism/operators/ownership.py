@@ -1,4 +1,5 @@
-"""Authors, ownership and familiarity of code units. ``changes`` is (block, sha, author, at)."""
+"""Authors, ownership and familiarity of code units. ``changes`` is (by, block, sha, author, at); ``by`` are the columns that, with
+block, name a unit (a repository, say)."""
 
 from __future__ import annotations
 
@@ -12,17 +13,17 @@ def days_since(at: Column, as_of: Column) -> Column:
     return F.floor((us(as_of) - us(at)) / F.lit(86_400_000_000)).cast("bigint")
 
 
-def first_and_last_author(changes: DataFrame, as_of: Column) -> DataFrame:
+def first_and_last_author(changes: DataFrame, as_of: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """(block, original_author, last_modifier, last_at, staleness_days); ties by sha."""
     key = F.struct("at", "sha", "author")
-    g = changes.groupBy("block").agg(F.min(key).alias("f"), F.max(key).alias("l"))
-    return g.select("block", F.col("f.author").alias("original_author"), F.col("l.author").alias("last_modifier"), F.col("l.at").alias("last_at"), days_since(F.col("l.at"), as_of).alias("staleness_days"))
+    g = changes.groupBy(*by, "block").agg(F.min(key).alias("f"), F.max(key).alias("l"))
+    return g.select(*by, "block", F.col("f.author").alias("original_author"), F.col("l.author").alias("last_modifier"), F.col("l.at").alias("last_at"), days_since(F.col("l.at"), as_of).alias("staleness_days"))
 
 
-def familiarity(changes: DataFrame, k: int = 10) -> DataFrame:
+def familiarity(changes: DataFrame, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """(block, author, edits, rank): the k authors with most distinct commits of each unit, ties by author."""
-    edits = changes.groupBy("block", "author").agg(F.countDistinct("sha").alias("edits"))
-    w = Window.partitionBy("block").orderBy(F.desc("edits"), "author")
+    edits = changes.groupBy(*by, "block", "author").agg(F.countDistinct("sha").alias("edits"))
+    w = Window.partitionBy(*by, "block").orderBy(F.desc("edits"), "author")
     return edits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -52,17 +53,28 @@ def churn(changes: DataFrame, as_of: Column) -> DataFrame:
 
 
 def transition(changes: DataFrame) -> DataFrame:
-    """(block, first_author, second_author, transition_at): when the leading author's running count passed the second's."""
+    """(block, first_author, second_author, transition_at): when the leading author's running count passed the second's.
+
+    Only the two leading authors' changes are ordered, counted by (time, sha) first, so a unit's other changes are not kept.
+    """
     n = changes.groupBy("block", "author").agg(F.count("*").alias("c"))
     w = Window.partitionBy("block").orderBy(F.desc("c"), "author")
     two = n.withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy("block").agg(F.max(F.when(F.col("r") == 1, F.col("author"))).alias("first_author"), F.max(F.when(F.col("r") == 2, F.col("author"))).alias("second_author"))
-    run = Window.partitionBy("block").orderBy("at", (F.col("author") != F.col("first_author")).cast("int"), "sha").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lead = F.col("author") == F.col("first_author")
     e = changes.join(two.where("second_author IS NOT NULL"), "block").where("author = first_author OR author = second_author")
-    e = e.withColumn("x", F.sum((F.col("author") == F.col("first_author")).cast("int")).over(run)).withColumn("y", F.sum((F.col("author") == F.col("second_author")).cast("int")).over(run))
-    at = e.groupBy("block").agg(F.min(F.when(F.col("x") > F.col("y"), F.col("at"))).alias("transition_at"))
+    # at one time the leader's changes come first, so the lead is greatest after them
+    day = e.groupBy("block", "at").agg(F.count_if(lead).alias("x"), F.count_if(~lead).alias("y"))
+    before = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum(F.col("x") - F.col("y")).over(before), F.lit(0)) + F.col("x")
+    at = day.withColumn("ahead", ahead).where((F.col("ahead") > 0) & (F.col("x") > 0)).groupBy("block").agg(F.min("at").alias("transition_at"))
     return two.join(at, "block", "left")
 
 
+def roll_up(commits: DataFrame) -> DataFrame:
+    """(repo_id, email, name, commits, first_at, last_at): one row for each address and name as they are written."""
+    return commits.groupBy("repo_id", "email", "name").agg(F.count("*").alias("commits"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
 def developers(commits: DataFrame) -> DataFrame:
     """(email, name, commits, first_at, last_at) by lower-case address; the name first seen."""
     return commits.where("email IS NOT NULL").groupBy(F.lower("email").alias("email")).agg(

@@ -13,15 +13,22 @@ def recency(last_at: Column, as_of: Column, none: float = 0.0) -> Column:
 def composite_risk(blocks: DataFrame, as_of: Column, by: list[str] | None = None) -> DataFrame:
     """``blocks`` with risk_score from 0 to 100, the greatest raw score of the group being 100.
 
-    Reads incidents, last_at, staleness_days, complexity, couplings, avg_rate. The maximum comes from an aggregate
-    that is joined back (one row for each group), not from an unpartitioned window.
+    Reads incidents, last_at, staleness_days, complexity, couplings, avg_rate. Without ``by`` the maximum comes from an
+    aggregate of one row, with it from a null-safe join, so units without a group are one group and a large group is split.
     """
     temporal = F.col("incidents") * recency(F.col("last_at"), as_of)
     owner = F.coalesce("staleness_days", F.lit(0)) / F.lit(365.0) * F.coalesce("complexity", F.lit(1))
     coupling = F.coalesce("couplings", F.lit(0)) * F.coalesce("avg_rate", F.lit(0.0))
     raw = blocks.withColumn("raw", temporal * 0.4 + owner * 0.3 + coupling * 0.3)
     top = raw.groupBy(*(by or [])).agg(F.max("raw").alias("top"))
-    out = raw.join(top, by) if by else raw.crossJoin(F.broadcast(top))  # top is one row
+    if by:
+        t = top.select(*(F.col(b).alias(f"_{b}") for b in by), "top")
+        on = F.lit(True)
+        for b in by:
+            on = on & F.col(b).eqNullSafe(F.col(f"_{b}"))
+        out = raw.join(t, on).drop(*(f"_{b}" for b in by))
+    else:
+        out = raw.crossJoin(F.broadcast(top))  # top is one row
     return out.withColumn("risk_score", F.when(F.col("top") > 0, F.col("raw") / F.col("top") * 100.0).otherwise(0.0)).drop("raw", "top")
 
 

@@ -54,7 +54,7 @@ def file_statistics(incidents: DataFrame, by: str, as_of: Column) -> DataFrame:
 
 def match_by_tiers(wanted: DataFrame, known: DataFrame, tiers: list[list[str]], value: str, otherwise: str) -> DataFrame:
     """``wanted`` with ``value`` of the first tier of equal columns that ``known`` answers, the least value on a tie."""
-    w = wanted.withColumn("_id", F.xxhash64(*wanted.columns))
+    w = wanted.withColumn("_id", F.to_json(F.struct(*wanted.columns)))  # nulls are left out under their names, so rows that differ have texts that differ
     hits = None
     for t, columns in enumerate(tiers):
         best = known.where(" AND ".join(f"{c} IS NOT NULL" for c in columns)).groupBy(*columns).agg(F.min(value).alias(value))
@@ -71,14 +71,27 @@ def rank_candidates(pairs: DataFrame) -> DataFrame:
 
 
 def select_links(scored: DataFrame, least: float = 0.65, spread: float = 0.10, k: int = 3) -> DataFrame:
-    """Of the candidates (issue, candidate, score) those near the best: rank, confidence and quality of each link."""
-    w = Window.partitionBy("issue").orderBy(F.desc("score"), "candidate")
-    best = F.max("score").over(Window.partitionBy("issue"))
-    r = scored.withColumn("best", best).withColumn("rank", F.row_number().over(w)).withColumn("gap", F.col("best") - F.lead("score").over(w))
-    kept = r.where((F.col("score") >= F.greatest(F.lit(least), F.col("best") - spread)) & (F.col("rank") <= k))
-    conf = F.least(F.lit(0.85), 0.5 + 0.35 * F.col("score"))
-    low = (F.col("rank") > 1) | (F.coalesce(F.col("gap"), F.lit(1.0)) < 0.03)
-    return kept.select("issue", "candidate", "rank", conf.alias("confidence"), F.when(low, "low").otherwise("medium").alias("quality"))
+    """Of the candidates (repo_id, issue, candidate, score) those near the best: rank, confidence and quality of each link.
+
+    An issue has no link when its class is uncertain (unsure) and its best score is under 0.70, or when the brake holds for its
+    best candidate: far in time (delta_seconds of window_seconds) and title, body and comment scores under 0.50. Columns that
+    are absent or null do not count. The best link is low when the second that is kept is nearer than 0.03 to it.
+    """
+    c = scored
+    for name, kind in (("unsure", "boolean"), ("delta_seconds", "double"), ("window_seconds", "double"), ("title_score", "double"), ("body_score", "double"), ("comment_score", "double")):
+        if name not in c.columns:
+            c = c.withColumn(name, F.lit(None).cast(kind))
+    issue = ["repo_id", "issue"]
+    w = Window.partitionBy(*issue).orderBy(F.desc("score"), "candidate")
+    # the k best are all that can be kept, and the first of them tells whether there are links at all
+    top = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    brake = (1.0 - F.col("delta_seconds") / F.col("window_seconds") < 0.20) & (F.greatest(*(F.coalesce(f"{n}_score", F.lit(0.0)) for n in ("title", "body", "comment"))) < 0.50)
+    none = (F.coalesce("unsure", F.lit(False)) & (F.col("score") < 0.70)) | F.coalesce(brake, F.lit(False))
+    r = top.withColumn("best", F.first("score").over(w)).withColumn("none", F.first(none).over(w)).withColumn("gap", F.col("best") - F.lead("score").over(w))
+    edge = F.greatest(F.lit(least), F.col("best") - spread)
+    kept = r.withColumn("second", F.lead("score").over(w)).where((F.col("score") >= edge) & ~F.col("none"))
+    low = (F.col("rank") > 1) | F.coalesce((F.col("second") >= edge) & (F.col("gap") < 0.03), F.lit(False))
+    return kept.select(*issue, "candidate", "rank", F.least(F.lit(0.85), 0.5 + 0.35 * F.col("score")).alias("confidence"), F.when(low, "low").otherwise("medium").alias("quality"))
 
 
 def smoothed_test_ratio(test_lines: Column, source_lines: Column) -> Column:

@@ -6,6 +6,7 @@ co-change; the project's own tables serve the rest.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from changeprism.functions import diff, text
 from changeprism.operators import coupling, incidents, linking, ownership, review, risk, summary, tables
-from changeprism.session import table
+from changeprism.session import shared_folder, table
 from changeprism.sources.gitlog import commit_files
 from changeprism.streaming import events as streams
 
@@ -90,9 +91,9 @@ def coupling_aggregates(s, d):
     return coupling.coupling_aggregates(_pairs(s, d)).select("block", "couplings", *r6("avg_rate"))
 
 
-@query(_PAIRS + _AGG + "SELECT block, couplings FROM g ORDER BY couplings DESC, block LIMIT 20")
+@query(_PAIRS + _AGG + "SELECT block, couplings FROM g ORDER BY couplings DESC, round(avg_rate, 6) DESC, block LIMIT 20")
 def coupling_top_blocks(s, d):
-    return coupling.coupling_aggregates(_pairs(s, d)).orderBy(F.desc("couplings"), "block").limit(20).select("block", "couplings")
+    return coupling.coupling_aggregates(_pairs(s, d)).orderBy(F.desc("couplings"), F.desc(F.round("avg_rate", 6)), "block").limit(20).select("block", "couplings")
 
 
 @query(_PAIRS + ", x AS (SELECT a AS block, b AS other, n, rate FROM pairs UNION ALL SELECT b, a, n, rate FROM pairs) SELECT block, other, n, row_number() OVER (PARTITION BY block ORDER BY rate DESC, other)::INT AS rank FROM x QUALIFY rank <= 3")
@@ -175,8 +176,8 @@ def incident_links(s, d):
     return incidents.link_incidents(e, table(s, d, "lineitem", "l_suppkey", "l_orderkey").toDF("block", "sha")).withColumnRenamed("at", "event_at")
 
 
-@query("""WITH l AS (SELECT id, TRY_CAST(labels AS JSON) AS j FROM github_issues), x AS (SELECT id, list_transform(coalesce(from_json(j, '["VARCHAR"]'), []), lambda v: lower(v)) AS a FROM l),
-y AS (SELECT id, a, list_filter(a, lambda v: contains(v, 'bug') OR contains(v, 'security') OR contains(v, 'critical'))[1] AS h FROM x)
+@query("""WITH l AS (SELECT id, TRY_CAST(labels AS JSON) AS j FROM github_issues), x AS (SELECT id, coalesce(from_json(j, '["VARCHAR"]'), []) AS a FROM l),
+y AS (SELECT id, a, lower(list_filter(a, lambda v: contains(lower(v), 'bug') OR contains(lower(v), 'security') OR contains(lower(v), 'critical'))[1]) AS h FROM x)
 SELECT id, coalesce(CASE WHEN contains(h, 'bug') THEN 'bug' WHEN contains(h, 'security') THEN 'security' WHEN contains(h, 'critical') THEN 'critical' END, a[1], 'unknown') AS incident_type FROM y""")
 def incident_types(s, d):
     t = table(s, d, "github_issues", "id", "labels")
@@ -220,17 +221,24 @@ def risk_ranked(s, d):
     return _blocks(s, d).select("block", F.round(score, 6).alias("score"))
 
 
-@query(_BLOCKS + """, p AS (SELECT block, CASE WHEN incidents >= 5 THEN 40 WHEN incidents >= 3 THEN 30 WHEN incidents >= 1 THEN 15 ELSE 0 END + CASE WHEN staleness_days > 90 THEN 20 ELSE 0 END + CASE WHEN couplings IS NULL THEN 10 ELSE 0 END + CASE WHEN coalesce(couplings, 0) > 10 THEN 30 WHEN coalesce(couplings, 0) > 5 THEN 20 WHEN coalesce(couplings, 0) > 0 THEN 10 ELSE 0 END AS points FROM k)
+@query(_BLOCKS + """, au AS (SELECT block, count(DISTINCT author) AS authors FROM ch GROUP BY 1), p AS (SELECT block, CASE WHEN incidents >= 5 THEN 40 WHEN incidents >= 3 THEN 30 WHEN incidents >= 1 THEN 15 ELSE 0 END + CASE WHEN staleness_days > 90 THEN 20 ELSE 0 END + CASE WHEN authors <= 2 THEN 10 ELSE 0 END
++ CASE WHEN coalesce(couplings * avg_rate, 0) > 10 THEN 30 WHEN coalesce(couplings * avg_rate, 0) > 5 THEN 20 WHEN coalesce(couplings * avg_rate, 0) > 0 THEN 10 ELSE 0 END AS points FROM k JOIN au USING (block))
 SELECT block, points, CASE WHEN points >= 70 THEN 'CRITICAL' WHEN points >= 50 THEN 'HIGH' WHEN points >= 30 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM p""")
 def risk_diff_level(s, d):
-    p = risk.diff_points(F.col("incidents"), F.col("staleness_days") > 90, F.col("couplings").isNull(), F.coalesce("couplings", F.lit(0)))
-    return _blocks(s, d).select("block", p.alias("points")).withColumn("level", risk.diff_level(F.col("points")))
+    authors = _changes(s, d).groupBy("block").agg(F.countDistinct("author").alias("authors"))
+    score = F.coalesce(F.col("couplings") * F.col("avg_rate"), F.lit(0.0))
+    p = risk.diff_points(F.col("incidents"), F.col("staleness_days") > 90, F.col("authors") <= 2, score)
+    return _blocks(s, d).join(authors, "block").select("block", p.alias("points")).withColumn("level", risk.diff_level(F.col("points")))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size <= 5 THEN 'LOW' WHEN p_size <= 10 THEN 'MEDIUM' ELSE 'HIGH' END AS coupling_level, CASE WHEN p_size / 50e0 < 4e-1 THEN 'HIGH' WHEN p_size / 50e0 < 4e-1 + 3e-1 THEN 'MEDIUM' ELSE 'LOW' END AS ratio_level, p_size > 10 OR p_size / 50e0 > 5e-1 OR p_size / 40e0 < 3e-1 OR p_size = 0 OR p_size > 5 OR p_size / 50e0 > 4e-1 AS escalate FROM part")
+@query(_BLOCKS + """, x AS (SELECT block, coalesce(couplings, 0) AS c, coalesce(avg_rate, 0) AS r, (1e0 + incidents) / (1 + staleness_days) AS t FROM k)
+SELECT block, CASE WHEN c <= 5 THEN 'LOW' WHEN c <= 10 THEN 'MEDIUM' ELSE 'HIGH' END AS coupling_level, CASE WHEN t < 4e-1 THEN 'HIGH' WHEN t < 4e-1 + 3e-1 THEN 'MEDIUM' ELSE 'LOW' END AS ratio_level,
+c > 10 OR r > 5e-1 OR t < 3e-1 OR (c = 0 AND r = 0 AND t = 0) OR c > 5 OR r > 4e-1 AS escalate FROM x""")
 def risk_adaptive_levels(s, d):
-    t, x = table(s, d, "part", "p_partkey", "p_size"), F.col("p_size")
-    return t.select("p_partkey", risk.adaptive_level(x, F.lit(10)).alias("coupling_level"), risk.ratio_level(x / 50.0, F.lit(0.4)).alias("ratio_level"), risk.escalate(x, x / 50.0, x / 40.0, 10, 0.5, 0.3).alias("escalate"))
+    """Couplings, their mean rate, and incidents over staleness as a ratio, each in its own place."""
+    c, r = F.coalesce("couplings", F.lit(0)), F.coalesce("avg_rate", F.lit(0.0))
+    t = (1.0 + F.col("incidents")) / (1 + F.col("staleness_days"))
+    return _blocks(s, d).select("block", risk.adaptive_level(c, F.lit(10)).alias("coupling_level"), risk.ratio_level(t, F.lit(0.4)).alias("ratio_level"), risk.escalate(c, r, t, 10, 0.5, 0.3).alias("escalate"))
 
 
 def _near(s, d):
@@ -288,10 +296,13 @@ def link_confidence_tiers(s, d):
     return q.select("repo_id", "high_n", *r6("high_avg"), "medium_n", *r6("medium_avg"), "low_n", *r6("low_avg", "quality"))
 
 
-@query("SELECT count(*) FILTER (e AND f) AS tp, count(*) FILTER (NOT e AND f) AS fp, count(*) FILTER (e AND NOT f) AS fn, count(*) FILTER (NOT e AND NOT f) AS tn FROM (SELECT coalesce(link_quality = 'high', false) AS e, coalesce(final_confidence >= 0.85, false) AS f FROM github_issue_pr_links)")
+@query("""WITH x AS (SELECT repo_id, issue_number, pr_number, max(final_confidence) AS c, bool_or(user_verified) AS e FROM github_issue_pr_links GROUP BY 1, 2, 3)
+SELECT count(*) FILTER (e AND f) AS tp, count(*) FILTER (NOT e AND f) AS fp, count(*) FILTER (e AND NOT f) AS fn, count(*) FILTER (NOT e AND NOT f) AS tn FROM (SELECT coalesce(e, false) AS e, coalesce(c >= 85e-2, false) AS f FROM x)""")
 def link_backtest(s, d):
-    t = table(s, d, "github_issue_pr_links", "link_quality", "final_confidence")
-    return linking.verdict_metrics(t.select(F.coalesce(F.col("link_quality") == "high", F.lit(False)).alias("expected"), F.coalesce(F.col("final_confidence") >= 0.85, F.lit(False)).alias("found"))).select("tp", "fp", "fn", "tn")
+    """Links that a user verified are the truth, those of high confidence what was found."""
+    t = table(s, d, "github_issue_pr_links", "repo_id", "issue_number", "pr_number", "final_confidence", "user_verified")
+    g = t.groupBy("repo_id", "issue_number", "pr_number").agg(F.max("final_confidence").alias("c"), F.bool_or("user_verified").alias("e"))
+    return linking.verdict_metrics(g.select(F.coalesce("e", F.lit(False)).alias("expected"), F.coalesce(F.col("c") >= 0.85, F.lit(False)).alias("found"))).select("tp", "fp", "fn", "tn")
 
 
 @query("SELECT id, list_distinct(list_transform(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '(?:fix|fixes|fixed|close|closes|closed|resolve|resolves|resolved)\\s+#([0-9]{1,9})', 1), lambda v: v::INT)) AS refs FROM github_pull_requests WHERE regexp_matches(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '(?:fix|fixes|fixed|close|closes|closed|resolve|resolves|resolved)\\s+#[0-9]{1,9}')".replace("SELECT id, list_distinct", "SELECT id, list_sort(list_distinct").replace("v::INT)) AS refs", "v::INT))) AS refs"))
@@ -305,10 +316,12 @@ def text_plain_email(s, d):
     return table(s, d, "github_commits", "id", "author_email").select("id", text.plain_email(F.col("author_email")).alias("email"))
 
 
-@query("SELECT id, len(list_filter(string_split(coalesce(message, ''), chr(10)), lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++'))) AS added, len(list_filter(string_split(coalesce(message, ''), chr(10)), lambda x: starts_with(x, '-') AND NOT starts_with(x, '---'))) AS removed FROM github_commits")
+@query()
 def diff_line_counts(s, d):
-    plus, minus = diff.line_counts(F.col("message"))
-    return table(s, d, "github_commits", "id", "message").select("id", plus.cast("bigint").alias("added"), minus.cast("bigint").alias("removed"))
+    """Added and removed lines of each patch; SQL would have to read patches out of every shape of JSON."""
+    f = commit_files(table(s, d, "github_commits", "repo_id", "sha", "raw_data"))
+    plus, minus = diff.line_counts(F.col("patch"))
+    return f.select("repo_id", "sha", "filename", plus.cast("bigint").alias("added"), minus.cast("bigint").alias("removed"))
 
 
 @query()
@@ -317,7 +330,19 @@ def diff_commit_hunks(s, d):
     return f.select("repo_id", "sha", "filename", text.language(F.col("filename")).alias("language"), F.explode(diff.hunks(F.col("patch"))).alias("h")).select("repo_id", "sha", "filename", "language", "h.*")
 
 
-@query()
+_KEYS = """list_sort(list_distinct(list_concat(k, list_transform(k, lambda w: CASE WHEN ends_with(w, 'ing') AND length(w) > 5 THEN left(w, -3) WHEN ends_with(w, 'ed') AND length(w) > 4 THEN left(w, -2) WHEN ends_with(w, 'es') AND length(w) > 4 THEN left(w, -2)
+WHEN ends_with(w, 's') AND length(w) > 3 THEN left(w, -1) WHEN ends_with(w, 'er') AND length(w) > 4 THEN left(w, -2) WHEN ends_with(w, 'ly') AND length(w) > 4 THEN left(w, -2) ELSE w END))))"""
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+def _words(c: str) -> str:
+    """SQL of the keywords of a text before stems are added."""
+    clean = f"regexp_replace(regexp_replace(lower(coalesce({c}, '')), 'https?://[^\\s]+', '', 'g'), '\\*\\*|__|##|```', '', 'g')"
+    return f"list_filter(regexp_extract_all({clean}, '([a-z0-9]+(?:[_-][a-z0-9]+)*)', 1), lambda w: w NOT IN ({_STOP}) AND length(w) >= 2 AND NOT regexp_full_match(w, '[0-9]+'))"
+
+
+@query(f"""WITH x AS (SELECT id, {_words("title")} AS t, {_words("body")} AS b FROM github_issues), y AS (SELECT id, {_KEYS.replace("(k, ", "(t, ").replace("_transform(k", "_transform(t")} AS t, {_KEYS.replace("(k, ", "(b, ").replace("_transform(k", "_transform(b")} AS b FROM x)
+SELECT id, t AS title_keywords, round(CASE WHEN len(t) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(t, b)) / len(list_distinct(list_concat(t, b)))::DOUBLE END, 6) AS similarity FROM y""")
 def text_issue_keywords(s, d):
     t = table(s, d, "github_issues", "id", "title", "body")
     a, b = text.keywords(F.col("title")), text.keywords(F.col("body"))
@@ -336,10 +361,10 @@ def sync_latest_issues(s, d):
 
 @query("SELECT repo_id, issue_number, pr_number, max(final_confidence) AS final_confidence, arg_max({'x': detection_method}, (updated_at, final_confidence, id)).x AS detection_method FROM github_issue_pr_links WHERE final_confidence IS NOT NULL AND updated_at IS NOT NULL GROUP BY 1, 2, 3")
 def sync_links_keep_greatest(s, d):
-    t = table(s, d, "github_issue_pr_links", "id", "repo_id", "issue_number", "pr_number", "final_confidence", "detection_method", "updated_at").where("final_confidence IS NOT NULL AND updated_at IS NOT NULL")
+    t = table(s, d, "github_issue_pr_links", "id", "repo_id", "issue_number", "pr_number", "final_confidence", "detection_method", "updated_at", "user_verified").where("final_confidence IS NOT NULL AND updated_at IS NOT NULL")
     t = t.withColumn("version", F.struct("updated_at", "final_confidence", "id"))
-    old = t.where(F.col("id") % 2 == 0)
-    return tables.upsert_greatest(old, t.where(F.col("id") % 2 == 1), ["repo_id", "issue_number", "pr_number"], "final_confidence", "version").select("repo_id", "issue_number", "pr_number", "final_confidence", "detection_method")
+    done = F.coalesce("user_verified", F.lit(False))
+    return tables.upsert_greatest(t.where(done).drop("user_verified"), t.where(~done).drop("user_verified"), ["repo_id", "issue_number", "pr_number"], "final_confidence", "version").select("repo_id", "issue_number", "pr_number", "final_confidence", "detection_method")
 
 
 @query("SELECT id, repo_id FROM github_issues i WHERE NOT EXISTS (SELECT 1 FROM github_issue_pr_links l WHERE l.repo_id = i.repo_id AND l.issue_number = i.number)")
@@ -373,10 +398,10 @@ def queue_statistics(s, d):
     return t.agg(F.count("*").alias("total"), F.count_if(F.col("retry_count") >= 5).alias("exhausted"), F.count_if(F.col("retry_count") < 5).alias("waiting"))
 
 
-@query("SELECT id, sha FROM github_commits WHERE regexp_matches(message, '\\A(?i)[^\\n]*(fix|bug|hotfix|patch)[^\\n]*\\z') AND author_date >= TIMESTAMP '2024-06-01' - INTERVAL 180 DAYS ORDER BY author_date DESC, id LIMIT 10")
+@query("SELECT id, sha FROM github_commits WHERE regexp_matches(message, '\\A(?i)[^\\n]*(fix|bug|hotfix|patch)[^\\n]*\\z') AND author_date >= TIMESTAMP '2020-01-01' - INTERVAL 180 DAYS ORDER BY author_date DESC, id LIMIT 10")
 def incident_message_history(s, d):
     t = table(s, d, "github_commits", "id", "sha", "message", "author_date")
-    return t.where(F.col("message").rlike(r"\A(?i)[^\n]*(fix|bug|hotfix|patch)[^\n]*\z") & coupling.in_window("author_date", as_of("2024-06-01 00:00:00"), 180)).orderBy(F.desc("author_date"), "id").limit(10).select("id", "sha")
+    return t.where(F.col("message").rlike(r"\A(?i)[^\n]*(fix|bug|hotfix|patch)[^\n]*\z") & coupling.in_window("author_date", as_of("2020-01-01 00:00:00"), 180)).orderBy(F.desc("author_date"), "id").limit(10).select("id", "sha")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -384,17 +409,59 @@ def stream_hourly_counts(s, d):
     return streams.windowed_counts(table(s, d, "events", "ts", "event_type", "value")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def _streamed(s: SparkSession, d: str, make, mode: str = "append") -> DataFrame:
+    """The events table read as a stream of its files, through ``make`` into a table in the shared folder."""
+    files = streams.read_table(s, f"{d}/events.parquet")
+    return streams.run_once(make(files), f"{shared_folder(s)}/streams/{uuid.uuid4().hex}", mode)
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
+def stream_new_rows(s, d):
+    """Each row of the stream once, by type."""
+    return _streamed(s, d, lambda e: e.where("value IS NOT NULL").select("event_id", "event_type")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_hourly_states(s, d):
+    """The windows of a real stream, the last state of each."""
+    rows = _streamed(s, d, lambda e: streams.windowed_counts(e.select("ts", "event_type", "value")).withColumn("key", F.struct("start", "event_type")).select("key", "n"), "update")
+    return streams.last_states(rows, "key").select(F.col("key.start").cast("timestamp_ntz").alias("start"), "key.event_type", "n")
+
+
+@query("""WITH e AS (SELECT user_id AS unit, event_type = 'refund' AS gone, row_number() OVER w AS k, lag(event_type = 'refund', 1, true) OVER w AS absent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT unit::VARCHAR AS unit, CASE WHEN arg_max(gone, k) THEN 'absent' ELSE 'present' END AS state, count(*) FILTER (NOT (gone AND absent))::BIGINT AS changes FROM e GROUP BY 1""")
+def stream_folded_units(s, d):
+    """Users as units: a refund deletes, anything else modifies."""
+    kind = F.when(F.col("event_type") == "refund", "DELETE").otherwise("MODIFY")
+    make = lambda e: streams.fold_units(e.select(F.col("user_id").cast("string").alias("unit"), F.col("event_id").alias("seq"), kind.alias("behavior")))
+    return streams.last_states(_streamed(s, d, make, "update"), "unit")
+
+
+@query("SELECT date_trunc('minute', ts) AS start, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 2 * 9e-1")
+def stream_throttled_minutes(s, d):
+    return streams.throttle(table(s, d, "events", "ts", "value"), 2).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""WITH w AS (SELECT ts - (k * INTERVAL 30 MINUTES) AS t FROM events, (VALUES (0), (1)) v(k)) SELECT to_timestamp(epoch_us(t) // 1800000000 * 1800)::TIMESTAMP AS start, count(*) AS n FROM w GROUP BY 1""")
+def stream_sliding_hours(s, d):
+    e = table(s, d, "events", "ts", "value").withColumn("event_type", F.lit("all"))
+    return streams.windowed_counts(e, "1 hour", "30 minutes").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
 SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, s""")
 def stream_sessions(s, d):
     return streams.sessions(table(s, d, "events", "ts", "user_id")).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("""WITH m AS (SELECT id, list_filter(string_split(coalesce(body, ''), chr(10)), lambda x: length(trim(x)) >= 0) AS l FROM github_issues)
-SELECT id, CASE WHEN len(list_filter(l, lambda x: trim(x) <> '')) = 0 THEN 'whitespace' WHEN len(list_filter(l, lambda x: NOT (trim(x) = '' OR regexp_matches(trim(x), '^(?://|#|\\*|/\\*|--)')))) = 0 THEN 'comment' WHEN len(l) < 10 THEN 'small_change' ELSE 'complex' END AS kind FROM m""")
+@query("""WITH m AS (SELECT id, string_split(coalesce(p.body, ''), chr(10)) AS l, coalesce(head_ref, '') || '.md' AS path FROM github_pull_requests p)
+SELECT id, CASE WHEN len(list_filter(l, lambda x: trim(x) <> '')) = 0 THEN 'whitespace' WHEN len(list_filter(l, lambda x: NOT (trim(x) = '' OR regexp_matches(trim(x), '^(?://|#|\\*|/\\*|--)')))) = 0 THEN 'comment' WHEN path LIKE '%docs%' THEN 'documentation' WHEN len(l) < 10 THEN 'small_change' ELSE 'complex' END AS kind
+FROM (SELECT id, l, CASE WHEN len(l) % 2 = 0 THEN 'docs/' || path ELSE 'src/a.py' END AS path FROM m)""")
 def review_tier_zero(s, d):
-    t = table(s, d, "github_issues", "id", "body")
-    return t.select("id", review.tier_zero(F.split(F.coalesce("body", F.lit("")), "\n"), F.array(F.lit("src/a.py"))).getField("kind").alias("kind"))
+    """Bodies of pull requests as changed lines; those of an even number of lines change a document."""
+    t = table(s, d, "github_pull_requests", "id", "body", "head_ref").withColumn("l", F.split(F.coalesce("body", F.lit("")), "\n"))
+    path = F.when(F.size("l") % 2 == 0, F.concat(F.lit("docs/"), F.coalesce("head_ref", F.lit("")), F.lit(".md"))).otherwise("src/a.py")
+    return t.select("id", review.tier_zero(F.col("l"), F.array(path)).getField("kind").alias("kind"))
 
 
 @query("""SELECT id FROM github_issues WHERE len(list_filter(string_split_regex(lower(coalesce(title, '')), '[^a-z0-9]+'), lambda x: x = 'hangs')) + len(list_filter(string_split_regex(lower(coalesce(body, '')), '[^a-z0-9]+'), lambda x: x = 'hangs')) > 0
@@ -417,12 +484,16 @@ def scan_order_lines(s, d):
     return review.with_children(o, l, ["o_orderkey"], ["l_linenumber", "l_partkey"], ["l_partkey"]).where("children IS NOT NULL").select("o_orderkey", F.size("children").cast("bigint").alias("n"), F.col("children")[0]["l_partkey"].alias("first_part"))
 
 
-@query("""WITH r AS (SELECT issue_number AS issue, repo_id AS sha, final_confidence AS confidence, detection_method AS method FROM github_issue_pr_links WHERE final_confidence IS NOT NULL AND detection_method IS NOT NULL),
-g AS (SELECT issue, sha, max(confidence) AS c, count(DISTINCT method) AS m, arg_max(method, (confidence, method)) AS method FROM r GROUP BY 1, 2)
-SELECT issue, sha, round(CASE WHEN m > 1 THEN least(c + 5e-2, 95e-2) ELSE c END, 6) AS confidence, CASE WHEN m > 1 THEN 'bidirectional' ELSE method END AS method FROM g""")
+@query("""WITH RECURSIVE r AS (SELECT repo_id, issue_number AS issue, pr_number AS pr, final_confidence AS c, detection_method AS m, id AS seq FROM github_issue_pr_links WHERE final_confidence IS NOT NULL),
+o AS (SELECT *, row_number() OVER w AS k, first_value(m) OVER w AS m1 FROM r WINDOW w AS (PARTITION BY repo_id, issue, pr ORDER BY seq)),
+f AS (SELECT repo_id, issue, pr, k, c::DOUBLE AS c, m AS method, m1, false AS both FROM o WHERE k = 1
+UNION ALL SELECT o.repo_id, o.issue, o.pr, o.k, CASE WHEN f.both OR o.m IS DISTINCT FROM o.m1 THEN least(greatest(f.c, o.c) + 5e-2, 95e-2) ELSE greatest(f.c, o.c) END, CASE WHEN f.both OR o.m IS DISTINCT FROM o.m1 THEN 'bidirectional' ELSE f.method END, o.m1, f.both OR o.m IS DISTINCT FROM o.m1
+FROM f JOIN o ON o.repo_id IS NOT DISTINCT FROM f.repo_id AND o.issue IS NOT DISTINCT FROM f.issue AND o.pr IS NOT DISTINCT FROM f.pr AND o.k = f.k + 1)
+SELECT repo_id, issue, pr, round(arg_max(c, k), 6) AS confidence, arg_max({'m': method}, k).m AS method FROM f GROUP BY 1, 2, 3""")
 def link_merged_references(s, d):
-    t = table(s, d, "github_issue_pr_links", "issue_number", "repo_id", "final_confidence", "detection_method").where("final_confidence IS NOT NULL AND detection_method IS NOT NULL")
-    return review.merge_references(t.toDF("issue", "sha", "confidence", "method")).select("issue", "sha", *r6("confidence"), "method")
+    t = table(s, d, "github_issue_pr_links", "id", "repo_id", "issue_number", "pr_number", "final_confidence", "detection_method").where("final_confidence IS NOT NULL")
+    refs = t.select("repo_id", F.col("issue_number").alias("issue"), F.lit(None).cast("string").alias("sha"), F.col("pr_number").alias("pr"), F.col("final_confidence").alias("confidence"), F.col("detection_method").alias("method"), F.lit("mentions").alias("action"), F.col("id").alias("seq"))
+    return review.merge_references(refs).select("repo_id", "issue", "pr", *r6("confidence"), "method")
 
 
 @query("""SELECT repo_id, count(*) AS commits, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions, max(author_date) AS last_at FROM github_commits WHERE author_date >= TIMESTAMP '2024-06-01' - INTERVAL 365 DAYS GROUP BY 1""")
@@ -431,43 +502,13 @@ def scan_recent_activity(s, d):
     return t.groupBy("repo_id").agg(F.count("*").alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.max("author_date").alias("last_at"))
 
 
-@query("WITH i AS (SELECT p_name AS canonical, p_partkey FROM part WHERE p_partkey % 3 = 0), m AS (SELECT p_brand AS canonical, p_name AS path FROM part WHERE p_partkey % 3 = 1), a AS (SELECT path, min(canonical) AS canonical FROM m GROUP BY 1) SELECT DISTINCT p_name AS path, coalesce(a.canonical, p_name) AS canonical FROM part LEFT JOIN a ON a.path = p_name")
+@query("WITH m AS (SELECT p_brand AS canonical, p_name AS path FROM part UNION SELECT p_brand, p_brand FROM part), a AS (SELECT path, min((CASE WHEN path <> canonical THEN 1 ELSE 0 END) || canonical)[2:] AS canonical FROM m GROUP BY 1), q AS (SELECT p_name AS path FROM part UNION SELECT p_type FROM part UNION SELECT p_brand FROM part) SELECT path, coalesce(canonical, path) AS canonical FROM q LEFT JOIN a USING (path)")
 def graph_canonical_paths(s, d):
-    t = table(s, d, "part", "p_partkey", "p_name", "p_brand")
-    former = t.where("p_partkey % 3 = 1").groupBy(F.col("p_brand").alias("canonical")).agg(F.collect_set("p_name").alias("former"))
-    return tables.canonical_paths(former, t.select(F.col("p_name").alias("path")))
-
-
-@query("SELECT l_suppkey AS block, count(DISTINCT x.l_orderkey) AS shared FROM lineitem x GROUP BY 1 HAVING count(DISTINCT x.l_orderkey) > 0")
-def coupling_commit_counts(s, d):
-    return table(s, d, "lineitem", "l_suppkey", "l_orderkey").groupBy(F.col("l_suppkey").alias("block")).agg(F.countDistinct("l_orderkey").alias("shared"))
-
-
-@query("""WITH e AS (SELECT id, len(list_distinct(evidence_sources)) AS n, list_contains(evidence_sources, 'temporal') AS temporal FROM github_issue_pr_links)
-SELECT coalesce(n, -1) AS kinds, count(*) AS links, count(*) FILTER (temporal) AS temporal FROM e GROUP BY 1""")
-def link_evidence_diversity(s, d):
-    t = table(s, d, "github_issue_pr_links", "evidence_sources")
-    return t.select(F.coalesce(F.size(F.array_distinct("evidence_sources")).cast("bigint"), F.lit(-1)).alias("k"), F.array_contains("evidence_sources", "temporal").alias("t"), F.col("evidence_sources").isNull().alias("none")).groupBy(F.when(F.col("none"), -1).otherwise(F.col("k")).alias("kinds")).agg(F.count("*").alias("links"), F.count_if("t").alias("temporal"))
-
-
-@query("""WITH t AS (SELECT try_cast(try_cast(temporal_analysis AS JSON) ->> '$.temporal_delta_seconds' AS DOUBLE) AS d FROM github_issue_pr_links)
-SELECT count(*) FILTER (d < 300) AS minutes5, count(*) FILTER (d >= 300 AND d < 3600) AS hour, count(*) FILTER (d >= 3600 AND d < 86400) AS day, count(*) FILTER (d >= 86400) AS later FROM t""")
-def link_temporal_precision(s, d):
-    x = F.get_json_object("temporal_analysis", "$.temporal_delta_seconds").try_cast("double")
-    c = F.col("d")
-    t = table(s, d, "github_issue_pr_links", "temporal_analysis").select(x.alias("d"))
-    return t.agg(F.count_if(c < 300).alias("minutes5"), F.count_if((c >= 300) & (c < 3600)).alias("hour"), F.count_if((c >= 3600) & (c < 86400)).alias("day"), F.count_if(c >= 86400).alias("later"))
-
-
-@query("""WITH i AS (SELECT repo_id, count(*) AS closed FROM github_issues WHERE closed_at IS NOT NULL GROUP BY 1), l AS (SELECT repo_id, count(DISTINCT issue_number) AS linked, avg(final_confidence) AS conf FROM github_issue_pr_links WHERE final_confidence >= 5e-1 GROUP BY 1),
-x AS (SELECT repo_id, least(100e0, coalesce(linked, 0) * 100e0 / closed) * 4e-1 + coalesce(conf, 0) * 100e0 * 35e-2 + 50e0 * 15e-2 + 5e0 AS score FROM i LEFT JOIN l USING (repo_id))
-SELECT repo_id, round(score, 6) AS score, CASE WHEN score >= 97 THEN 'A+' WHEN score >= 93 THEN 'A' WHEN score >= 90 THEN 'A-' WHEN score >= 87 THEN 'B+' WHEN score >= 83 THEN 'B' WHEN score >= 80 THEN 'B-' WHEN score >= 77 THEN 'C+' WHEN score >= 73 THEN 'C' WHEN score >= 70 THEN 'C-' WHEN score >= 67 THEN 'D+' WHEN score >= 63 THEN 'D' WHEN score >= 60 THEN 'D-' ELSE 'F' END AS grade FROM x""")
-def link_quality_score(s, d):
-    i = table(s, d, "github_issues", "repo_id", "closed_at").where("closed_at IS NOT NULL").groupBy("repo_id").agg(F.count("*").alias("closed"))
-    l = table(s, d, "github_issue_pr_links", "repo_id", "issue_number", "final_confidence").where("final_confidence >= 0.5").groupBy("repo_id").agg(F.countDistinct("issue_number").alias("linked"), F.avg("final_confidence").alias("conf"))  # noqa: E741
-    cover = F.least(F.lit(100.0), F.coalesce("linked", F.lit(0)) * 100.0 / F.col("closed"))
-    score = linking.clqs([cover, F.coalesce("conf", F.lit(0.0)) * 100.0, F.lit(50.0), F.lit(50.0), F.lit(50.0)])
-    return i.join(l, "repo_id", "left").select("repo_id", score.alias("raw")).select("repo_id", F.round("raw", 6).alias("score"), linking.grade(F.col("raw")).alias("grade"))
+    """Brands are files, names of their parts former paths; types are paths that no file had."""
+    t = table(s, d, "part", "p_name", "p_brand", "p_type")
+    former = t.groupBy(F.col("p_brand").alias("canonical")).agg(F.collect_set("p_name").alias("former"))
+    paths = t.select(F.col("p_name").alias("path")).unionByName(t.select(F.col("p_type").alias("path"))).unionByName(t.select(F.col("p_brand").alias("path")))
+    return tables.canonical_paths(former, paths)
 
 
 @query(_BLOCKS + ", z AS (SELECT block, CASE WHEN block % 7 = 0 THEN 'class' ELSE 'function' END AS kind, incidents, couplings * avg_rate AS rate_sum, staleness_days FROM k WHERE incidents >= 1) SELECT block, kind, incidents, round(incidents * 10e0 + coalesce(rate_sum, 0) * 2e0 + least(staleness_days / 30e0, 3e0) + CASE WHEN kind = 'class' THEN 2e0 ELSE 0e0 END, 6) AS risk_score FROM z ORDER BY risk_score DESC, block LIMIT 10")
@@ -476,10 +517,10 @@ def risk_summary(s, d):
     return summary.risk_summary(b, min_incidents=1).select("block", "kind", "incidents", "risk_score")
 
 
-@query(_CH + ", " + _HITS + ", c AS (SELECT DISTINCT block, sha, t_at FROM ch) SELECT c.block, c.sha, list_sort(list(DISTINCT h.issue) FILTER (h.issue IS NOT NULL)) AS issues FROM c JOIN h ON h.block = c.block AND abs(epoch_us(c.t_at) - epoch_us(h.t_at)) <= 7 * 86400000000 GROUP BY 1, 2")
+@query(_CH + ", " + _HITS + ", c AS (SELECT DISTINCT block, sha, t_at FROM ch) SELECT c.block, c.sha, coalesce(list_sort(list(DISTINCT h.issue) FILTER (h.issue IS NOT NULL)), []) AS issues FROM c LEFT JOIN h ON h.block = c.block AND abs(epoch_us(c.t_at) - epoch_us(h.t_at)) <= 7 * 86400000000 GROUP BY 1, 2")
 def incident_unit_history(s, d):
     c = _changes(s, d).select("block", "sha", "at").distinct()
-    return summary.unit_history(c, _hits(s, d)).where(F.size("issues") > 0).select("block", "sha", "issues")
+    return summary.unit_history(c, _hits(s, d)).select("block", "sha", "issues")
 
 
 @query(_CH + ", m AS (SELECT DISTINCT sha FROM ch WHERE block IN (1, 2, 3)), n AS (SELECT block AS other, count(DISTINCT sha) AS n FROM ch WHERE block NOT IN (1, 2, 3) AND sha IN (SELECT sha FROM m) GROUP BY 1) SELECT other, n, round(n / (SELECT count(*) FROM m)::DOUBLE, 6) AS frequency FROM n WHERE n >= 3 OR n / (SELECT count(*) FROM m)::DOUBLE >= 3e-1 ORDER BY n DESC, other LIMIT 10")
@@ -497,29 +538,24 @@ def incident_file_statistics(s, d):
     return summary.file_statistics(i, "repo_id", as_of("2024-06-01 00:00:00")).select("repo_id", "total", "last_30", "last_90", "critical", "high", F.round("mean_seconds", 3).alias("mean_seconds"))
 
 
-@query("""WITH k AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS type FROM part WHERE p_partkey % 2 = 0), w AS (SELECT DISTINCT p_name AS name, p_brand AS brand, p_type AS type FROM part),
+@query("""WITH k AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS type FROM part JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) ON l_partkey = p_partkey), w AS (SELECT DISTINCT p_name AS name, p_brand AS brand, p_type AS type FROM part),
 a AS (SELECT name, brand, type, min(id) AS id FROM k GROUP BY 1, 2, 3), b AS (SELECT brand, type, min(id) AS id FROM k GROUP BY 1, 2), c AS (SELECT brand, min(id) AS id FROM k GROUP BY 1)
 SELECT w.name, w.brand, w.type, coalesce(a.id, b.id, c.id)::VARCHAR AS id, CASE WHEN a.id IS NOT NULL THEN 0 WHEN b.id IS NOT NULL THEN 1 WHEN c.id IS NOT NULL THEN 2 END AS tier FROM w LEFT JOIN a USING (name, brand, type) LEFT JOIN b ON b.brand = w.brand AND b.type = w.type LEFT JOIN c ON c.brand = w.brand""")
 def graph_match_by_tiers(s, d):
+    """All parts against those of large returned items."""
     t = table(s, d, "part", "p_partkey", "p_name", "p_brand", "p_type").toDF("id", "name", "brand", "type")
-    return summary.match_by_tiers(t.select("name", "brand", "type").distinct(), t.where("id % 2 = 0"), [["name", "brand", "type"], ["brand", "type"], ["brand"]], "id", "new_function")
+    back = table(s, d, "lineitem", "l_partkey", "l_returnflag", "l_quantity").where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("id"))
+    return summary.match_by_tiers(t.select("name", "brand", "type").distinct(), t.join(back, "id", "left_semi"), [["name", "brand", "type"], ["brand", "type"], ["brand"]], "id", "new_function")
 
 
-@query("""WITH x AS (SELECT issue_number * 1000 + repo_id AS issue, pr_number AS candidate, final_confidence AS score FROM github_issue_pr_links WHERE pr_number IS NOT NULL AND issue_number IS NOT NULL AND final_confidence IS NOT NULL), y AS (SELECT issue, candidate, max(score) AS score FROM x GROUP BY 1, 2),
-r AS (SELECT *, max(score) OVER (PARTITION BY issue) AS best, row_number() OVER w AS rank, max(score) OVER (PARTITION BY issue) - lead(score) OVER w AS gap FROM y WINDOW w AS (PARTITION BY issue ORDER BY score DESC, candidate))
-SELECT issue, candidate, rank::INT AS rank, round(least(85e-2, 5e-1 + 35e-2 * score), 6) AS confidence, CASE WHEN rank > 1 OR coalesce(gap, 1) < 3e-2 THEN 'low' ELSE 'medium' END AS quality FROM r WHERE score >= greatest(65e-2, best - 1e-1) AND rank <= 3""")
+@query("""WITH y AS (SELECT repo_id, issue_number AS issue, pr_number AS candidate, max(final_confidence) AS score FROM github_issue_pr_links WHERE pr_number IS NOT NULL AND issue_number IS NOT NULL AND final_confidence IS NOT NULL GROUP BY 1, 2, 3),
+r AS (SELECT *, max(score) OVER (PARTITION BY repo_id, issue) AS best, row_number() OVER w AS rank FROM y WINDOW w AS (PARTITION BY repo_id, issue ORDER BY score DESC, candidate)),
+k AS (SELECT *, best - lead(score) OVER (PARTITION BY repo_id, issue ORDER BY rank) AS gap FROM r WHERE score >= greatest(65e-2, best - 1e-1) AND rank <= 3 AND NOT (best < 70e-2))
+SELECT repo_id, issue, candidate, rank::INT AS rank, round(least(85e-2, 5e-1 + 35e-2 * score), 6) AS confidence, CASE WHEN rank > 1 OR coalesce(gap, 1) < 3e-2 THEN 'low' ELSE 'medium' END AS quality FROM k""")
 def link_selection(s, d):
+    """All classes taken for uncertain, so that a best score under 0.70 gives no link."""
     t = table(s, d, "github_issue_pr_links", "repo_id", "issue_number", "pr_number", "final_confidence").where("pr_number IS NOT NULL AND issue_number IS NOT NULL AND final_confidence IS NOT NULL")
-    y = t.groupBy((F.col("issue_number") * 1000 + F.col("repo_id")).alias("issue"), F.col("pr_number").alias("candidate")).agg(F.max("final_confidence").alias("score"))
-    return summary.select_links(y).select("issue", "candidate", "rank", *r6("confidence"), "quality")
-
-
-@query("SELECT o_orderpriority AS kind, round(quantile_cont(o_totalprice, 0.5), 6) AS median, count(*) AS n FROM orders GROUP BY 1")
-def scan_medians(s, d):
-    return table(s, d, "orders", "o_orderpriority", "o_totalprice").groupBy(F.col("o_orderpriority").alias("kind")).agg(F.round(F.percentile("o_totalprice", F.lit(0.5)), 6).alias("median"), F.count("*").alias("n"))
+    y = t.groupBy("repo_id", F.col("issue_number").alias("issue"), F.col("pr_number").alias("candidate")).agg(F.max("final_confidence").alias("score"))
+    return summary.select_links(y.withColumn("unsure", F.lit(True))).select("repo_id", "issue", "candidate", "rank", *r6("confidence"), "quality")
 
 
-@query("SELECT source, doc_kind, count(*) AS documents, sum(length(text))::BIGINT AS chars FROM documents WHERE text IS NOT NULL GROUP BY 1, 2")
-def scan_documents(s, d):
-    t = table(s, d, "documents", "source", "doc_kind", "text").where("text IS NOT NULL")
-    return t.groupBy("source", "doc_kind").agg(F.count("*").alias("documents"), F.sum(F.length("text").cast("bigint")).alias("chars"))

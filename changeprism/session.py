@@ -32,10 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` checkpointed to the folder of ``spark.checkpoint.dir``.
 
-    The cluster's setting is used where there is one; only where it is unset (tests, one machine) a fresh
-    local folder is made.
+    The cluster's setting is used where there is one; without it only a local session (tests, one machine) makes a folder
+    of its own, as a folder of one machine does not outlive an executor.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="changeprism-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which is set for checkpoints too."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="changeprism-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
+    return folder
