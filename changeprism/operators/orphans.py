@@ -1,6 +1,7 @@
 """References to records that are missing, deleted or arrive later.
 
-Parents and the distinct references are range-partitioned together on (kind, repository, key). Each task stores the
+Parents and the distinct references are range-partitioned together on (kind, repository, key), numbers by the whole key and
+object names by the shortest abbreviation, so a repository with most of the rows spreads over many ranges. Each task stores the
 parents of its range as one sorted array and probes Arrow batches of references by binary search; only the verdict of
 each distinct key leaves the task and is joined back to the referring rows (a skewed join that AQE may split), so a
 key that a third of all rows refer to costs one probe.
@@ -61,6 +62,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys, at, gone = np.zeros(0, "S1"), np.zeros(0, np.int64), np.zeros(0, bool)
             known = np.append(np.where(at == _NEVER, np.iinfo(np.int64).max, at), np.iinfo(np.int64).max)
         refs = text[~parent]
+        short = batch.column("short").filter(pa.array(~parent))
         open_end = batch.column("open_end").to_numpy(zero_copy_only=False)[~parent].astype(bool)
         lo = np.searchsorted(keys, refs, "left")
         hi = np.searchsorted(keys, refs, "right")
@@ -73,46 +75,50 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([k.decode() for k in refs.tolist()]),
+                short,
                 pa.array(found),
                 pa.array(deleted),
                 pa.array(first, mask=~found | (first == np.iinfo(np.int64).max)),
             ],
-            ["key", "found", "deleted", "first_at"],
+            ["key", "short", "found", "deleted", "first_at"],
         )
 
 
-def orphans(parents: DataFrame, references: DataFrame) -> DataFrame:
+def orphans(parents: DataFrame, references: DataFrame, abbreviated: tuple[str, ...] = ("c",)) -> DataFrame:
     """References without their record, with cause and month.
 
     ``parents``: (key, at bigint, tie bigint, gone boolean), one row for each copy: fetch time in microseconds, a
     tie-breaker, and whether that copy says the record was removed. ``references``: (table_name, column_name,
-    record_id, key, short boolean, at bigint, created_at); ``short`` marks keys that may be abbreviated.
+    record_id, key, short boolean, at bigint, created_at); ``short`` marks keys that may be abbreviated, which only kinds in
+    ``abbreviated`` may be.
     """
     references = references.where(F.col("key").isNotNull())
     asked = references.select("key", "short").distinct()
     head = F.length(F.lit("k" + "0" * 16)) + SHORTEST_SHA
     both = (
         parents.where(F.col("key").isNotNull())
-        .select(F.lit(0).alias("role"), "key", "at", "tie", "gone", F.lit(False).alias("open_end"))
+        .select(F.lit(0).alias("role"), "key", "at", "tie", "gone", F.lit(False).alias("open_end"), F.lit(False).alias("short"))
         .unionByName(
             asked.select(
                 F.lit(1).alias("role"), "key", F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("tie"),
                 F.lit(None).cast("boolean").alias("gone"),
-                (F.col("short") & F.col("key").rlike(rf"^.{{17}}[0-9a-f]{{{SHORTEST_SHA},}}$")).alias("open_end"),
+                (F.col("short") & F.col("key").rlike(rf"^.{{17}}[0-9a-f]{{{SHORTEST_SHA},}}$")).alias("open_end"), "short",
             )
         )
     )
-    # an abbreviation shares its first characters with what it stands for, so both lie in one range
+    # an abbreviation shares its first characters with what it stands for, so both lie in one range; a key of a kind that
+    # nothing abbreviates needs no such range
+    place = F.when(F.substring("key", 1, 1).isin(*abbreviated), F.substring("key", 1, head)).otherwise(F.col("key"))
     verdicts = (
-        both.repartitionByRange(F.substring("key", 1, head))
+        both.repartitionByRange(place)
         .sortWithinPartitions("role")
-        .mapInArrow(_probe, "key string, found boolean, deleted boolean, first_at bigint")
+        .mapInArrow(_probe, "key string, short boolean, found boolean, deleted boolean, first_at bigint")
     )
     cause = (
         F.when(~F.col("found"), "missing").when(F.col("deleted"), "deleted").when(F.col("first_at") > F.col("at"), "late")
     )
     return (
-        references.join(verdicts, "key")
+        references.join(verdicts, ["key", "short"])
         .withColumn("cause", cause)
         .where(F.col("cause").isNotNull())
         .select("table_name", "column_name", "record_id", "cause", F.date_format("created_at", "yyyy-MM").alias("period"))

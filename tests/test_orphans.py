@@ -3,7 +3,9 @@
 import datetime as dt
 import random
 
-from changeprism.operators.orphans import project_orphans
+from pyspark.sql import functions as F
+
+from changeprism.operators.orphans import number_key, orphans, project_orphans, sha_key
 
 T = dt.datetime(2024, 1, 1)
 
@@ -67,3 +69,18 @@ def test_empty_tables(spark):
     q = spark.createDataFrame([(1, 1, "abcd", None)], "id long, repo_id long, commit_sha string, created_at timestamp")
     got = project_orphans(i, p, c, f("id long, repo_id long, issue_number int, pr_number int, created_at timestamp"), q).collect()
     assert [(r.record_id, r.cause, r.period) for r in got] == [(1, "missing", None)]
+
+
+def test_one_key_with_and_without_abbreviation(spark):
+    p = spark.createDataFrame([("abcdef",)], "sha string").select(sha_key("c", F.lit(1), F.col("sha")).alias("key"), F.lit(1).cast("long").alias("at"), F.lit(1).cast("long").alias("tie"), F.lit(False).alias("gone"))
+    r = spark.createDataFrame([("t", "c", 1, "abcd", True), ("t", "c", 2, "abcd", False), ("t", "c", 3, "abcdef", False), ("t", "c", 4, "abcdef", True)], "table_name string, column_name string, record_id long, sha string, short boolean")
+    r = r.withColumns({"key": sha_key("c", F.lit(1), F.col("sha")), "at": F.lit(5).cast("long"), "created_at": F.lit(T)})
+    assert [(x.record_id, x.cause) for x in orphans(p, r).collect()] == [(2, "missing")]
+
+
+def test_numbers_of_one_repository_spread(spark):
+    n = spark.range(20_000).select(number_key("i", F.lit(1), F.col("id")).alias("key"), F.lit(1).cast("long").alias("at"), F.col("id").alias("tie"), F.lit(False).alias("gone"))
+    r = spark.range(19_990, 20_010).select(F.lit("t").alias("table_name"), F.lit("c").alias("column_name"), F.col("id").alias("record_id"), number_key("i", F.lit(1), F.col("id")).alias("key"), F.lit(False).alias("short"), F.lit(5).cast("long").alias("at"), F.lit(T).alias("created_at"))
+    assert sorted(x.record_id for x in orphans(n, r).collect()) == list(range(20_000, 20_010))
+    ranges = n.repartitionByRange(4, "key").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(ranges) == 4 and max(x["count"] for x in ranges) < 10_000
