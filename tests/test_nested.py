@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from changeprism.operators.nested import StructuralIndex, complete, flatten_objects
+from changeprism.operators import nested
+from changeprism.operators.nested import NestedIndex, StructuralIndex, flatten_objects
 
 
 def plain(value):
@@ -86,12 +87,56 @@ def test_whole_table_equals_the_recursive_walk(spark):
     assert sorted(map(tuple, got)) == brute([tuple(r) for r in df.collect()])
 
 
+def rows_of(texts, keys=()):
+    return list(NestedIndex([t.encode() for t in texts]).nodes(lambda _, k: k in keys))
+
+
 def test_long_text_and_deep_text():
     long = json.dumps({"a": [{"x": "y" * 3_000_000}, {"b": [{}] * 1000}]})
-    index = StructuralIndex([complete(long), complete('{"c":{"a":{"z":[]}}}')])
-    nodes = list(index.nodes(frozenset({"a"})))
-    assert len(nodes) == 1003 and nodes[-1] == (1, "", "c.a[0]")
-    assert complete("[" * 200_000 + "]" * 200_000) is None
+    nodes = rows_of([long, '{"c":{"a":{"z":[]}}}'], {"a"})
+    assert len(nodes) == 1003 and (1, "", "c.a[0]") in nodes
+    deep = "[" * 200_000 + "]" * 200_000
+    assert rows_of([deep, deep[:-1], "[{}]"]) == [(2, "", "[0]")]
+
+
+def test_strings_in_strings_at_any_level():
+    text, levels = '{"a":[{"b":1}]}', 14
+    for _ in range(levels):
+        text = json.dumps(text)
+    assert rows_of([text]) == [(0, "", "a[0]")]
+    assert rows_of([json.dumps({"s": [json.dumps(json.dumps({"x": {"y": 1}})), "{bad"]})], {"x"}) == [(0, "", "s[0]"), (0, "s[0]", "s[0].x[0]")]
+    assert set(NestedIndex([json.dumps({"k": json.dumps([1, {}]), "m": [json.dumps({})], "n": json.dumps({"o": [[{}]]})}).encode()]).keys_of_object_arrays()) == {(0, "k"), (0, "m")}
+
+
+def test_complete_json_is_what_a_parser_takes():
+    good = ["{}", "[]", " [1, -0.5e+3 ,true,null, \"\\u00e9\\n\" ] ", '{"a":{"b":[]},"":0}', "[[],[]]", '"x"', "1"]
+    wrong = ["", "{", "}", "[1,]", "[,1]", "{\"a\"}", '{"a":}', '{"a":1,}', "{1:2}", "[1 2]", "[1]]", "[}", "{]", "[01]", "[1.]", "[+1]", "[.5]", "[tru]", "[true1]", '["\\x"]', '["\\u12g4"]', '["\\u12"]', '["a\nb"]', '["a]', "[] []", "[]x", "{}{}", '{"a" 1}', '{"a"::1}', "[1:2]", ":", ",", "[\\]", "['a']", '{"a":1 "b":2}', "\x0b[]", '["a" "b"]', '{"a","b"}', "[{}{}]"]
+    rng = random.Random(3)
+    for t in good + [json.dumps({"a": [1, {"b": None}], "c": "d"})]:  # every text with one character less, more or other
+        for _ in range(60):
+            i = rng.randrange(len(t) + 1)
+            wrong.append(rng.choice([t[:i] + t[i + 1 :], t[:i] + rng.choice('{}[],:"\\1 a') + t[i:], t[:i] + rng.choice('{}[],:"\\1 a') + t[i + 1 :]]))
+
+    def parses(t):
+        try:
+            json.loads(t)
+            return True
+        except ValueError:
+            return False
+
+    texts = good + wrong
+    rng.shuffle(texts)
+    assert StructuralIndex([t.encode() for t in texts]).valid.tolist() == [parses(t) for t in texts]
+
+
+def test_more_keys_than_are_sent(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [(i, json.dumps(made(rng))) for i in range(120)]
+    df = spark.createDataFrame(texts + texts[:3], "id long, v string").repartition(3)
+    monkeypatch.setattr(nested, "MAX_ARRAY_KEYS", 1)
+    got = flatten_objects([("t", "v", df, "id")]).select("record_id", "parent_path", "node_path").collect()
+    again = [r for r in brute(texts) if r[0] < 3]
+    assert sorted(map(tuple, got)) == sorted(brute(texts) + again)
 
 
 @pytest.mark.parametrize("texts", [[], [(1, None)], [(1, "{}"), (1, "{}")]])
