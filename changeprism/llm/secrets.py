@@ -1,21 +1,29 @@
 """Credentials in patches and messages: where they begin, and the texts with only the secret values redacted.
 
-A line is tokenized lexically into identifiers, operators and literals, whatever the language: a literal that is
-assigned or passed to a credential-named identifier is a secret unless it is a placeholder or a reference. Literals in
-the formats of well-known issuers, passwords in URLs and headers, and private key blocks are secrets by themselves.
-Only the literal's content is redacted: delimiters, escapes and the rest of the line stay.
+Each side of a hunk (its context with the added lines, its context with the removed ones) and each message is tokenized
+lexically into words, operators, brackets and string literals of any kind (escapes, triple quotes, raw and escaped
+quotes), over line ends; strings are tokenized again inside. From each credential-named identifier or key the parser
+goes on over a type annotation, an operator or an opening bracket, wrappers and line ends to the literal that is assigned
+or passed; it is a secret, with the literals joined to it, unless it is a placeholder or a reference. Markup, flags,
+prose, literals in the formats of well-known issuers, passwords in URLs and headers, and private key blocks have
+patterns of their own. Only the literal's content is redacted: delimiters, escapes and the rest of the line stay.
+
+One automaton over the words of all detectors finds the lines to look at; a side is tokenized only where it holds such.
 
 Defined results: null and empty texts hold nothing; broken JSON holds nothing; a file without filename has place ''.
-Several credentials that begin in one line are one row; a literal that goes on in the next line begins in its first.
-Repeated rows repeat.
+Several credentials that begin in one line are one row; a literal that goes on in the next line begins in its first that
+is not blank. Repeated rows repeat.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,10 +48,9 @@ _PLACEHOLDER = re.compile(
 )
 _REFERENCE = re.compile(r"(?i)\$\{|\{\{|\$\(|%\(\w+\)s|^\$\w|process\.env|os\.environ|getenv|secretKeyRef|valueFrom|/run/secrets|vault")
 _QUOTED = r"""(?P<q>\"{1,3}|\\"|'{1,3}|`)(?P<s>(?:\\.|(?!(?P=q)).)*)"""
-_VALUE = rf"(?:\(\s*)?[bBfFrRuU]?(?:{_QUOTED}|(?P<b>[^\s\"'`,;()<>\[\]{{}}]+|\$\{{.*?\}}|\{{\{{.*?\}}\}}|<[^>]*>|\$\(.*?\)))"
-_ASSIGN = re.compile(rf"""(?P<n>[A-Za-z_][\w.\-]*)\\?["'`\]]{{0,2}}\s*(?::\s*\w[\w<>\[\]|?. ]{{0,30}}?\s*=(?!=)|:=|=>|\?=|->|(?<![=!<>])=(?![=~])|:(?!:)|<-)\s*{_VALUE}""")
-_CALL = re.compile(rf"""(?P<n>[A-Za-z_][\w.\-]*)\s*\(\s*{_QUOTED}""")
-_PAIR = re.compile(rf"""[("'`\[{{,\s](?P<n>[A-Za-z_][\w.\-]*)\\?["'`]\s*,\s*(?:{_QUOTED})""")
+_BARE_VALUE = r"[^\s\"'`,;()<>\[\]{}]+|\$\{.*?\}|\{\{.*?\}\}|<[^>]*>|\$\(.*?\)"
+_BARE = re.compile(_BARE_VALUE)
+_VALUE = rf"(?:\(\s*)?[bBfFrRuU]?(?:{_QUOTED}|(?P<b>{_BARE_VALUE}))"
 _ENV = re.compile(r"^\s*(?:ENV|ARG|set|setenv|SET)\s+(?P<n>[A-Za-z_][\w.\-]*)\s+(?P<b>\S.*?)\s*$")
 _FLAG = re.compile(rf"(?:^|\s)--?(?P<n>[A-Za-z][\w.\-]*)[ \t]+{_VALUE}")
 _XML = re.compile(r"<(?P<n>[A-Za-z_][\w.\-]*)(?:\s[^<>]*)?>(?P<b>[^<>]*)</")
@@ -51,7 +58,6 @@ _XML_PAIR = re.compile(r"""(?:name|key|id)=\\?["'](?P<n>[\w.\-]+)\\?["'][^<>]*?\
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@\"'`<>]*:(?P<b>[^\s@/\"'`<>]+)@")
 _HEADER = re.compile(r"""(?i)\b(?:proxy-)?authorization["'`]?\s*[:=,]\s*["'`]?\s*(?:basic|bearer|token|apikey|digest)\s+(?P<b>[^\s"'`,;]+)""")
 _SCHEME = re.compile(r"""(?:\b(?:Bearer|Basic)\s+|\bbearer[\s:]+[`"']?)(?P<b>[A-Za-z0-9][\w+/=.\-~!]{7,})""")
-_AUTH_PAIR = re.compile(rf"""(?i)\bauth\w*\s*[=:]\s*[(\[]\s*(["'])(?:(?!\1).)*\1\s*,\s*{_QUOTED}""")
 _USER = re.compile(r"""\s(?:-u|--user)[ =]\s*["']?[^\s:"'/]+:(?P<b>[^\s"'@]+)""")
 _LOGIN = re.compile(r"""\blogin\b[^\n]*?\s(?:-p|--password)[ =]\s*["']?(?P<b>[^\s"']+)""")
 _ACCOUNT = (
@@ -62,7 +68,7 @@ _ACCOUNT = (
     re.compile(r"""(?i)\b(?:key|pass|password|passwd|pwd|secret|token|bearer|passphrase|credential)\s+`(?P<b>[^`\n]+)`"""),
 )
 _PROSE = (
-    re.compile(r"""(?i)\b(?:password|passwd|passphrase|pwd|pw|secret|passcode)\b(?:\s+(?:for|of|to|on)\b[^:=\n]{0,40}?)?\s*(?:\bis\b|\bwas\b|:|=|->)\s*[`"']?(?P<b>[^\s`"']+)"""),
+    re.compile(r"""(?i)\b(?:password|passwd|passphrase|pwd|pw|secret|passcode)\b(?:\s+(?:for|of|to|on)\b[^:=\n]*?)?\s*(?:\bis\b|\bwas\b|:|=|->)\s*[`"']?(?P<b>[^\s`"']+)"""),
     re.compile(r"""(?i)\b(?:password|passwd|pwd|pw|token|secret|bearer)\s+[`"']?(?P<b>[^\s`"',]{8,})"""),
     re.compile(r"""(?i)\b(?:key|token|credential|creds?)\s*(?:->|:|=|\bis\b)\s*[`"']?(?P<b>[^\s`"',]{8,})"""),
     re.compile(r"""(?i)\blog[\s-]?in\s+[\w.@-]+\s*/\s*(?P<b>\S{6,})"""),
@@ -73,14 +79,26 @@ _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_REST = re.compile(r"(?:\\[nrt]|[A-Za-z0-9+/= \t])*")
 _KEY_HEAD = re.compile(r"\s*(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset):.*)?\r?")
 _KEY_LINE = re.compile(r"[ \t]*[A-Za-z0-9+/]+={0,2}[ \t]*\r?")
-#: A text without any of these holds no credential.
-HINT = (
-    r"(?i)pass|pwd|\bpw\b|secret|token|api[_.\-]?key|apikey|bearer|\bkey\b|_key|[a-z]Key|\.key|-key|credential|creds|auth|login|://[^\s/]*:[^\s]*@"
-    r"|AKIA|ASIA|gh[pousr]_|github_pat|glpat-|AIza|xox[abprs]-|SG\.|npm_|eyJ|[sr]k_(?:live|test)|pypi-|hf_|sk-|dop_v1|PRIVATE KEY|-u[ =]|--user[ =]|[_.\-]pw|\bcred|\bbasic\s|log[\s-]?in|(?i:identified|mysql|mariadb|connect\w*\()"
-)
-_HINT_RE = re.compile(HINT)
+#: Words without one of which, in any case, a line holds no credential; the JVM's pattern is made of them too.
+HINTS = (
+    "pass", "pwd", "pw", "secret", "token", "api", "bearer", "key", "cred", "auth", "login", "log in", "log-in", "://", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat", "glpat-", "aiza", "xox", "sg.", "npm_", "eyj",
+    "sk_", "rk_", "pypi-", "hf_", "sk-", "dop_v1", "-u ", "-u=", "--user", "basic ", "identified", "mysql", "mariadb", "connect",
+)
+HINT = "(?i)" + "|".join(h.replace(".", "\\.") for h in HINTS)
+
 
+def _automaton() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for h in HINTS:
+        a.add_word(h, len(h))
+    a.make_automaton()
+    return a
 
+
+_AUTOMATON = _automaton()
+
+
+@lru_cache(50_000)
 def credential_name(name: str) -> bool:
     bare = name.replace("_", "").replace("-", "").replace(".", "").lower()
     return bare.endswith(_NAMES) or _PASS.search(name) is not None
@@ -101,9 +119,7 @@ def _placeholder(value: str) -> bool:
 
 
 def _line_spans(line: str) -> list[tuple[int, int]]:
-    """Spans of secret values in one line."""
-    if not _HINT_RE.search(line):
-        return []
+    """Spans of secret values in one line that are told by their own form or by markup, flags, headers and prose."""
     spans: list[tuple[int, int]] = []
 
     def take(m: re.Match, group: str, bare: bool, least: int = 6) -> None:
@@ -116,17 +132,11 @@ def _line_spans(line: str) -> list[tuple[int, int]]:
             return
         spans.append((a, z))
 
-    def literal(m: re.Match) -> None:
-        groups = m.groupdict()
-        if groups.get("s") is not None:
-            take(m, "s", False)
-        elif groups.get("b") is not None:
-            take(m, "b", True)
-
     spans += [m.span() for m in _ISSUED_RE.finditer(line) if not re.search(r"(?i)example|x{6}|0{8}|1234567890", m[0])]
-    for m in _URL.finditer(line):
-        if not _placeholder(m["b"]) and len(m["b"]) > 3:
-            spans.append(m.span("b"))
+    if "://" in line:
+        for m in _URL.finditer(line):
+            if not _placeholder(m["b"]) and len(m["b"]) > 3:
+                spans.append(m.span("b"))
     for m in _HEADER.finditer(line):
         take(m, "b", True)
     for m in _SCHEME.finditer(line):
@@ -134,18 +144,14 @@ def _line_spans(line: str) -> list[tuple[int, int]]:
     for pattern in (_USER, _LOGIN, *_ACCOUNT):
         for m in pattern.finditer(line):
             take(m, "b", False)
-    for pattern in (_ASSIGN, _CALL, _PAIR, _ENV, _FLAG, _XML, _XML_PAIR):
+    for pattern in (_ENV, _FLAG, *((_XML, _XML_PAIR) if "<" in line or "=" in line else ())):
         at = 0
         while m := pattern.search(line, at):
-            if credential_name(m["n"]):
-                if pattern is _FLAG and (m["b"] or "")[:1] == "-":
-                    at = m.end("n")
-                    continue
-                if not (m.groupdict().get("s") is not None and m["n"].lower().endswith("authorization") and " " in m["s"]):
-                    literal(m)
             at = m.end("n")
-    for m in _AUTH_PAIR.finditer(line):
-        take(m, "s", False)
+            if not credential_name(m["n"]) or pattern is _FLAG and (m["b"] or "")[:1] == "-":
+                continue
+            group = "s" if m.groupdict().get("s") is not None else "b"
+            take(m, group, group == "b")
     for i, pattern in enumerate(_PROSE):
         for m in pattern.finditer(line):
             if _secretlike(m["b"].rstrip(".,;"), 8 if i == 2 else 6):
@@ -153,7 +159,165 @@ def _line_spans(line: str) -> list[tuple[int, int]]:
     return spans
 
 
-_STRING = re.compile(rf"^\s*(?:[+.\\]\s*)?[bBfFrRuU]?{_QUOTED}")
+_PREFIX = r"(?:(?<![A-Za-z0-9_])[bBfFrRuU]{1,2})?"
+#: Tokens. Strings: of three quotes over lines, between escaped quotes, of one quote, and open to the end of a line.
+_TOKEN = re.compile(
+    rf"""(?P<nl>\n)|(?P<ws>[ \t\r]+|/\*[^\n]*?\*/)
+    |{_PREFIX}(?P<q>\"{{3}}|'{{3}})(?P<s3>(?:\\[\s\S]|(?!(?P=q))[^\\])*)(?P=q)
+    |\\"(?P<se>(?:(?!\\").)*)\\"
+    |{_PREFIX}"(?P<s1>(?:[^"\\\n]|\\.)*)"
+    |(?<![A-Za-z0-9_']){_PREFIX}'(?P<s2>(?:[^'\\\n]|\\.)*)'
+    |`(?P<sb>[^`\n]*)`
+    |(?:\\?"|(?<![A-Za-z0-9_])'|`)(?P<so>[^\n"'`]+)(?=\n|\Z)
+    |(?P<w>[A-Za-z_$@][\w.\-$]*)
+    |(?P<op>:=|=>|\?=|->|<-|==|!=|<=|>=|=~|::|[=:])
+    |(?P<o>[^\n])""",
+    re.X,
+)
+_STRINGS = ("s3", "se", "s1", "s2", "sb", "so")
+_ASSIGNS = frozenset((":=", "=>", "?=", "->", "<-", "=", ":"))
+_KEY_WORD = re.compile(r"[A-Za-z_][\w.\-]*")
+#: What a literal may be wrapped in on its way to a name (fixed values).
+WRAPPERS = frozenset(
+    ("new", "SecretStr", "SecretBytes", "Secret", "String", "str", "bytes", "bytearray", "Some", "Ok", "Just", "Buffer.from", "atob", "b64decode", "base64.b64decode", "Base64.decode", "base64.StdEncoding.DecodeString", "Optional.of", "of", "Value", "Field", "to_string", "unhexlify", "bytes.fromhex")
+)
+
+
+class _Lexer:
+    """Tokens of one text and the literals that its credential names get."""
+
+    def __init__(self, text: str, base: int = 0):
+        self.text = text
+        self.kind: list[str] = []
+        self.start: list[int] = []
+        self.value: list[str] = []
+        for m in _TOKEN.finditer(text):
+            kind = m.lastgroup
+            if kind in ("ws",):
+                continue
+            if kind == "q":  # the pattern of three quotes names its content last
+                kind = "s3"
+            self.kind.append(kind)
+            self.start.append(m.start(kind))
+            self.value.append(m[kind])
+        self.base, self.found = base, []
+
+    def literals(self) -> list[list[tuple[int, int]]]:
+        """Of each secret literal the spans of its parts."""
+        kind, value = self.kind, self.value
+        taken: set[int] = set()
+        for i, k in enumerate(kind):
+            if k == "w":
+                name = value[i].strip("$@").rstrip("-.")
+                if credential_name(name):
+                    self._after(i, name, taken)
+                elif name[:4].lower() == "auth":
+                    self._pair(i, taken)
+            elif k in _STRINGS and 2 <= len(value[i]) <= 100 and _KEY_WORD.fullmatch(value[i]) and credential_name(value[i]):
+                self._after(i, value[i], taken)
+        for i, k in enumerate(kind):
+            if k in _STRINGS and i not in taken and len(value[i]) > 8 and _INSIDE.search(value[i]):
+                self.found += _Lexer(value[i], self.base + self.start[i]).literals()
+        return self.found
+
+    def _after(self, i: int, name: str, taken: set[int]) -> None:
+        kind, value, n = self.kind, self.value, len(self.kind)
+        j, closed = i + 1, 0
+        while j < n and closed < 2 and kind[j] == "o" and value[j] in "])'\"`\\":
+            j, closed = j + 1, closed + 1
+        if j >= n:
+            return
+        quoted = kind[i] != "w"
+        bare = True
+        if kind[j] == "op" and value[j] in _ASSIGNS:
+            at = self._annotated(j + 1) if value[j] == ":" else None
+            j = at if at is not None else j + 1
+        elif value[j] == "(" and not quoted and j == i + 1 or value[j] == "," and kind[j] == "o" and quoted and not (i and kind[i - 1] == "op"):
+            j, bare = j + 1, False
+        else:
+            return
+        depth = 0 if bare else 1
+        first = j
+        while j < n:
+            if kind[j] == "nl" and (depth or value[j - 1] == "\\"):
+                j += 1
+            elif kind[j] == "o" and (value[j] in "([" or value[j] == "\\" and j + 1 < n and kind[j + 1] == "nl"):
+                depth, j = depth + (value[j] != "\\"), j + 1
+            elif kind[j] == "w" and value[j] in WRAPPERS and j + 1 < n and (value[j + 1] == "(" or value[j] == "new"):
+                j += 1
+            else:
+                break
+        if j >= n:
+            return
+        if kind[j] in _STRINGS:
+            if not (name.lower().endswith("authorization") and " " in value[j]):
+                self._take(j, depth, taken)
+        elif bare and kind[j] != "nl" and (j == first or kind[j] in ("w", "o", "op")):
+            m = _BARE.match(self.text, self.start[j])
+            if m:
+                word = m[0].rstrip(".,;)\\")
+                if len(word) >= 4 and not _placeholder(word) and _secretlike(word):
+                    self.found.append([(self.base + m.start(), self.base + m.start() + len(word))])
+
+    def _annotated(self, j: int) -> int | None:
+        """Where the value begins after a type annotation at ``j`` and an equals sign; None if there is no such."""
+        kind, value, n, depth, start = self.kind, self.value, len(self.kind), 0, j
+        while j < n:
+            k, v = kind[j], value[j]
+            if k == "op":
+                if v == "=" and not depth:  # at the end of a line it is padding of what stands before
+                    return j + 1 if j > start and j + 1 < n and kind[j + 1] != "nl" else None
+                if not depth and v not in ("::", "->"):
+                    return None
+            elif k == "o" and v in "[(<":
+                depth += 1
+            elif k == "o" and v in "])>":
+                depth -= 1
+                if depth < 0:
+                    return None
+            elif not depth and (k == "nl" or k in _STRINGS or k == "o" and v not in "|?.*&!"):
+                return None
+            j += 1
+        return None
+
+    def _pair(self, i: int, taken: set[int]) -> None:
+        """A user name and a password given to auth."""
+        kind, value = self.kind, self.value
+        j = i + 1
+        if j + 4 < len(kind) and kind[j] == "op" and value[j] in ("=", ":") and value[j + 1] in "([" and kind[j + 2] in _STRINGS and value[j + 3] == "," and kind[j + 4] in _STRINGS:
+            self._take(j + 4, 0, taken)
+
+    def _take(self, j: int, depth: int, taken: set[int]) -> None:
+        """The literal at ``j`` with those joined to it, if it is no placeholder."""
+        kind, value, n = self.kind, self.value, len(self.kind)
+        parts = [j]
+        k = j + 1
+        while k < n:
+            if kind[k] in _STRINGS and k - 1 in parts and kind[k - 1] in _STRINGS and not depth and not parts[1:]:
+                break  # two literals side by side are joined in brackets only
+            if kind[k] in _STRINGS:
+                parts.append(k)
+            elif not (kind[k] == "nl" and (depth or value[k - 1] in "+.\\") or kind[k] == "o" and value[k] in "+.\\"):
+                break
+            k += 1
+        whole = "".join(value[p] for p in parts)
+        bare = whole.strip()
+        if len(bare) < 4 or _placeholder(bare):
+            return
+        taken.update(parts)
+        spans = []
+        for p in parts:
+            text = value[p]
+            lead = len(text) - len(text.lstrip()) if kind[p] == "s3" else 0
+            tail = len(text.rstrip()) if kind[p] == "s3" else len(text)
+            if tail > lead:
+                spans.append((self.base + self.start[p] + lead, self.base + self.start[p] + tail))
+        if spans:
+            self.found.append(spans)
+
+
+#: Strings that are tokenized inside: they hold a name and a sign of assignment.
+_INSIDE = re.compile(r"(?i)(?:pass|pwd|pw|secret|token|key|cred|bearer|auth)[\w.\-]*[\\\"'`\])\s]*(?:[=:]|->|<-)")
 
 
 def _key_end(lines: list[str], starts: list[int], i: int, at: int, patch: bool) -> int:
@@ -173,22 +337,65 @@ def _key_end(lines: list[str], starts: list[int], i: int, at: int, patch: bool)
     return limit
 
 
+def _hinted_lines(text: str, starts: list[int]) -> set[int]:
+    """Lines that hold a word of a detector."""
+    low = text.lower()
+    if len(low) != len(text):  # a letter that is longer in lower case
+        low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
+    return {bisect_right(starts, end) - 1 for end, _ in _AUTOMATON.iter(low)}
+
+
+def _sides(lines: list[str], starts: list[int], patch: bool, hinted: set[int], skip: set[int]) -> Iterator[tuple[str, list[int], list[int], bool]]:
+    """(text, offset of each of its lines in it, offset in the whole text, whether it is a side without removed lines) of the
+    parts to tokenize: a message as a whole, both sides of each hunk with a hinted line."""
+
+    def part(numbers: list[int], off: int) -> tuple[str, list[int], list[int]]:
+        own, places, at = [], [], 0
+        for i in numbers:
+            own.append(lines[i][off:])
+            places.append(at)
+            at += len(lines[i]) - min(off, len(lines[i])) + 1
+        return "\n".join(own), places, [starts[i] + min(off, len(lines[i])) for i in numbers]
+
+    if not patch:
+        numbers = [i for i in range(len(lines)) if i not in skip]
+        yield *part(numbers, 0), True
+        return
+    heads = [i for i, line in enumerate(lines) if line[:2] == "@@"]
+    for a, z in zip([0, *heads], [*heads, len(lines)], strict=True):
+        numbers = [i for i in range(a, z) if i not in skip]
+        if not any(i in hinted for i in numbers):
+            continue
+        if numbers and numbers[0] in heads:
+            if numbers[0] in hinted:
+                yield *part(numbers[:1], 0), True
+            numbers = numbers[1:]
+        new = [i for i in numbers if lines[i][:1] != "-"]
+        if any(i in hinted for i in new):
+            yield *part(new, 1), True
+        if any(i in hinted and lines[i][:1] == "-" for i in numbers):
+            yield *part([i for i in numbers if lines[i][:1] != "+"], 1), False
+
+
 def spans(text: str | None, patch: bool = False) -> list[tuple[int, int, int]]:
     """(line number from 1, start, end) of the secret values in ``text``, by the line in which each begins."""
-    if not text or not _HINT_RE.search(text):
+    if not text:
         return []
-    out: list[tuple[int, int, int]] = []
     lines = text.split("\n")
     starts, at = [], 0
     for line in lines:
         starts.append(at)
         at += len(line) + 1
-    skip_to = 0
-    for i, line in enumerate(lines):
-        if i < skip_to:
-            continue
-        off = 1 if patch and line[:1] in "+- " else 0
-        if "PRIVATE KEY" in line and (m := _BEGIN.search(line)):
+    hinted = _hinted_lines(text, starts)
+    if not hinted:
+        return []
+    out: list[tuple[int, int, int]] = []
+    skip: set[int] = set()
+    if "PRIVATE KEY" in text:
+        skip_to = 0
+        for i, line in enumerate(lines):
+            if i < skip_to or "PRIVATE KEY" not in line or not (m := _BEGIN.search(line)):
+                continue
             k, a = i, starts[i] + m.end()
             end = _END.search(text, a)
             if end and _BEGIN.search(text, a, end.start()):
@@ -200,26 +407,26 @@ def spans(text: str | None, patch: bool = False) -> list[tuple[int, int, int]]:
             while k + 1 < len(lines) and starts[k + 1] <= limit:
                 k += 1
             skip_to = k + 1
-            continue
-        body = line[off:]
-        if not _HINT_RE.search(body):
-            continue
-        for a, z in _line_spans(body):
-            out.append((i + 1, starts[i] + off + a, starts[i] + off + z))
-            # a literal that goes on in the next line: ("part" newline "part")
-            k = i
-            if re.fullmatch(r"\"?'?`?\s*[\\+.]?\s*", body[z:]) and re.search(r"[(\\+.]", body[max(0, a - 3) : a] + body[z:]):
-                while k + 1 < len(lines):
-                    nxt = lines[k + 1][1 if patch and lines[k + 1][:1] in "+- " else 0 :]
-                    m = _STRING.match(nxt)
-                    if not m:
-                        break
-                    shift = starts[k + 1] + len(lines[k + 1]) - len(nxt)
-                    out.append((i + 1, shift + m.start("s"), shift + m.end("s")))
+            skip.update(range(i, skip_to))
+    for i in hinted - skip:
+        line = lines[i]
+        off = 1 if patch and line[:1] in "+- " else 0
+        out += [(i + 1, starts[i] + off + a, starts[i] + off + z) for a, z in _line_spans(line[off:])]
+    for side, places, origin, whole in _sides(lines, starts, patch, hinted, skip):
+        for parts in _Lexer(side).literals():
+            begin = bisect_right(places, parts[0][0]) - 1
+            number = bisect_right(starts, origin[begin]) - 1
+            if not whole and lines[number][:1] != "-":
+                continue  # found on the other side
+            for a, z in parts:
+                k = bisect_right(places, a) - 1
+                while a < z:  # line by line
+                    end = min(z, places[k + 1] - 1 if k + 1 < len(places) else z)
+                    if end > a:
+                        out.append((number + 1, origin[k] + a - places[k], origin[k] + end - places[k]))
                     k += 1
-                    if ")" in nxt[m.end("s") :]:
-                        break
-    return out
+                    a = places[k] if k < len(places) else z
+    return sorted(set(out))
 
 
 def redact(text: str, found: list[tuple[int, int, int]]) -> str:
@@ -277,7 +484,8 @@ def _hinted(commits: DataFrame) -> DataFrame:
     return commits.select(
         F.col("id").cast("bigint").alias("id"),
         F.when(message.rlike(HINT), message).alias("message"),
-        F.when(raw.rlike(HINT), raw).alias("raw_data"),
+        # the words of the detectors are sought in the patches; a patch is under that key, however it is escaped
+        F.when(raw.contains("patch") | raw.contains("\\u00"), raw).alias("raw_data"),
     ).where("message IS NOT NULL OR raw_data IS NOT NULL")
 
 

@@ -66,6 +66,31 @@ def test_the_prefilter_lets_every_detector_through(line):
     assert spans("\n" + line), line
 
 
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ('password = """\nS3cr3tPassw0rd99\n"""', "S3cr3tPassw0rd99"), ('password = (\n    "S3cr3tPassw0rd99"\n)', "S3cr3tPassw0rd99"), ('api_token: Optional[Annotated[SecretStr, Field(min_length=20)]] = "aeT8Pq6RDF1VS0aeT8Pq6"', "aeT8Pq6RDF1VS0aeT8Pq6"),
+        ('x["db_password"] = SecretStr("aeT8Pq6RDF1VS0")', "aeT8Pq6RDF1VS0"), ('s = "{\\"password\\": \\"aeT8Pq6RDF1VS0\\"}"', "aeT8Pq6RDF1VS0"), ('d = "Server=x;Pwd=aeT8Pq6RDF1VS0;"', "aeT8Pq6RDF1VS0"), ("setdefault(\n  'API_TOKEN',\n  'aeT8Pq6RDF1VS0')", "aeT8Pq6RDF1VS0"),
+        ('let api_key: Map<String, Vec<u8>> = "aeT8Pq6RDF1VS0"', "aeT8Pq6RDF1VS0"), ("auth_token: cGF5OUVYUE8hODA=", "cGF5OUVYUE8hODA="), ("the password for the very long name of the mirror of the staging host is aeT8Pq6RDF1VS0", "aeT8Pq6RDF1VS0"),
+    ],
+)
+def test_the_lexer_reads_over_lines_annotations_and_wrappers(text, secret):
+    found = spans("x = 1\n" + text)
+    assert [("x = 1\n" + text)[a:z] for _, a, z in found] == [secret]
+    assert redact("x = 1\n" + text, found) == "x = 1\n" + text.replace(secret, MASK)
+
+
+def test_no_literal_of_another_name():
+    for text in ('password = os.getenv("DB_PASSWORD")', '"token": "your_api_key",\n"lockfile": "allocator",', 'check(password, "long text here1")', 'if token == "aeT8Pq6RDF1VS0x":\n  pass', 'password = ""\nname = "Anneliese77"', "it's the user's token, isn't it"):
+        assert spans(text) == [], text
+
+
+def test_both_sides_of_a_hunk():
+    patch = '@@ -1,3 +1,3 @@\n password = (\n-    "0ldS3cr3tPassw0rd"\n+    "N3wS3cr3tPassw0rd"\n )\n@@ -9 +9 @@ token = "aeT8Pq6RDF1VS0"\n-a\n+b'
+    assert {n for n, _, _ in spans(patch, True)} == {3, 4, 6}
+    assert redact(patch, spans(patch, True)).count(MASK) == 3 and "\n )\n" in redact(patch, spans(patch, True))
+
+
 def test_rows(spark):
     raw = json.dumps({"files": [{"filename": "a.py", "patch": "@@ -0,0 +1 @@\n+password = 'aeT8Pq6RDF1VS0'"}, {"filename": None, "patch": None}, 3]})
     rows = [(1, "token: x", raw, 0), (2, None, json.dumps(raw), 0), (3, "password is aeT8Pq6RDF1VS0\nb", None, 0), (4, "", raw[:-3], 0), (5, "x", '{"payload":{"changed_files":' + json.dumps(json.loads(raw)["files"][0]) + "}}", 0), (None, None, raw, 0)]
