@@ -1,11 +1,12 @@
 """Texts decoded with a wrong character encoding: detection and round-trip repair.
 
 A run of characters outside ASCII is re-encoded under each legacy encoding that may have been used wrongly and strictly
-decoded as the encoding it should have been read with; the result is taken when a garbling cost drops. The garbling
-cost of a run counts what correct writing lacks: symbols and closing marks inside words, letters of another script
-next to ASCII letters, control characters, letters that no language mixes, and unlikely letters or capitals for
-Cyrillic. Escapes (HTML entities, \\uXXXX) are read first, and layers are undone one after another. U+FFFD is
-garbling beyond repair.
+decoded as the encoding it should have been read with. One garbling cost decides: of the run and of every candidate it
+counts what correct writing lacks - symbols and marks inside words, capitals after small letters, letters of different
+scripts side by side, control characters, letters that no language uses much, and for Cyrillic how unlikely its letters
+are as Russian. The cheapest candidate is taken if it is cheaper than the run by ``MARGIN`` at least; one that is cheaper
+by less is taken only in a text that is surely garbled elsewhere. Escapes (HTML entities, \\uXXXX) are read first, and
+layers are undone one after another as long as the cost drops. U+FFFD is garbling beyond repair.
 
 Defined results: null, empty and blank texts are not garbled; repeated rows repeat. A text that cannot be restored as
 a whole keeps its unrepaired runs and gets restored = false.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +30,8 @@ SINGLE_BYTE = ("latin-1", "cp1252", "cp1250", "iso8859-2", "cp1251", "cp437", "c
 DOUBLE_BYTE = ("gbk", "cp932", "big5", "cp949")
 #: (read as, should be) of single-byte Cyrillic and Latin encodings taken for each other.
 CYRILLIC_SWAPS = (("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("mac_cyrillic", "cp1251"), ("iso8859-5", "cp1251"), ("cp1251", "iso8859-5"))
-#: Undone layers of wrong decoding.
-LAYERS = 4
+#: How much cheaper a repair is at least, in nats of surprise.
+MARGIN, COINCIDENCE = 3.0, 0.5
 
 #: Relative frequencies of the Russian letters а to я with ё last, in percent (fixed values).
 RUSSIAN = (
@@ -89,71 +91,104 @@ def _cyrillic_cost(word: str) -> float:
     return cost + 2.0 * odd / len(word)
 
 
-#: Letters outside ASCII that the texts' languages use in running words.
-_USUAL = set("àâäáãåæçèéêëíìîïñóòôöõøœúùûüßąćęłńśźż" "абвгдежзийклмнопрстуфхцчшщъыьэюяё" "—–…“”‘’„«»→✓≈€°±µ№¿¡§©®")
+#: Letters outside ASCII that the texts' languages use in running words, marks of running text, symbols of Latin-1.
+_USUAL = set("àâäáãåæçèéêëíìîïñóòôöõøœúùûüßąćęłńśźż" "абвгдежзийклмнопрстуфхцчшщъыьэюяё")
+_MARKS = set("—–…“”‘’„«»→✓≈€•")
+_SYMBOLS = set("\xa0¡¢£¤¥¦§¨©ª«¬\xad®¯°±²³´µ¶·¸¹º»¼½¾¿×÷")
 
 
-def _letter_cost(s: str) -> float:
-    """Share of characters that running text seldom has: the repair with fewer of them is the likelier."""
-    return sum(1.0 if c.lower() not in _USUAL and not _cjk(c) else 0.5 if c.isupper() else 0.0 for c in s if c > "\x7f") / max(1, len(s))
+def _script(c: str) -> int:
+    k = ord(c)
+    return 1 if k < 0x250 or 0x1E00 <= k < 0x1F00 else 2 if 0x370 <= k < 0x400 else 3 if 0x400 <= k < 0x530 else 4 if 0x2E80 <= k < 0xFB00 or k > 0xFFFF else 5
+
+
+@lru_cache(maxsize=10_000)
+def _own_cost(c: str) -> float:
+    """What a character costs wherever it stands."""
+    if c < "\x80":
+        return 1.0
+    if c < "\xa0" or c == "�" or unicodedata.combining(c):
+        return 6.0
+    low = c.lower()
+    if low in _USUAL:
+        return min(_RU_COST[low], 5.0) if low in _RU_COST else 3.0 if c != low else 2.0
+    if c in _MARKS:
+        return 2.0
+    if c in _SYMBOLS:
+        return 3.0
+    if _cjk(c):
+        return 3.5
+    if c.isalpha():
+        return 8.0 if _script(c) == 3 else 6.0 if c != low else 5.0
+    return 3.0
+
+
+@lru_cache(maxsize=200_000)
+def cost(run: str, before: str, after: str) -> float:
+    """The garbling cost of a run; ``before`` and ``after``: the ASCII letter right before and after (a or A), or ''."""
+    out, last = 0.0, len(run) - 1
+    for i, c in enumerate(run):
+        left = run[i - 1] if i else before or " "
+        right = run[i + 1] if i < last else after or " "
+        out += _own_cost(c)
+        if c.isalpha():
+            if left.isalpha():
+                out += 5.0 * (_script(left) != _script(c))
+                out += 4.0 * (c.isupper() and left.islower())
+                out += 2.0 * (left > "\x7f" and _script(c) == 1)  # of two letters in a row one is plain as a rule
+        elif c in _MARKS:
+            out += 5.0 * (c != "’" and left.isalpha() and right.isalpha())
+        elif c > "\x7f":
+            out += 4.0 * (left.isalpha() or right.isalpha() and c not in "¿¡")
+    return out
 
 
 @lru_cache(maxsize=200_000)
-def undo(run: str, before: bool, after: bool) -> tuple[str | None, bool]:
-    """(``run`` with one layer of wrong decoding undone or None, whether that is sure without other evidence).
-
-    ``before`` and ``after``: whether an ASCII letter stands right before and after.
-    """
-    mixed = before or after
-    weak: str | None = None
-    sure: list[tuple[float, str]] = []
+def least_cost(run: str, before: str, after: str) -> float:
+    """The cost of a run or of what it may have been, layer under layer, whichever is least."""
+    return min([cost(run, before, after), *(least_cost(f, before, after) for f in candidates(run) if len(f) < len(run))])
+
+
+def candidates(run: str) -> Iterator[str]:
+    """What a run may have been: strict decodings as UTF-8 or another encoding that are shorter or Russian."""
+    if len(run) < 2:
+        return
     for encoding in SINGLE_BYTE:
-        if len(run) < 2:
-            break
         fixed = _utf8(_bytes(run, encoding))
-        if fixed is None or len(fixed) >= len(run) or not _EXPECTED.fullmatch(fixed):
-            if not (fixed and len(fixed) < len(run) and all("\x80" <= c <= "\xff" for c in fixed)):
-                continue
-        if all(c in "¡¢£¤¥¦§¨©ª«¬®¯°±²³´µ¶·¸¹º»¼½¾¿×÷" for c in run):
-            continue
-        ambiguous = (
-            (len(run) == 2 and run[1] in _CLOSING and not after)  # a capital before a closing mark
-            or (encoding in ("cp1251", "koi8-r", "cp866") and len(run) == 2 and not mixed)
-            or (encoding not in ("latin-1", "cp1252", "cp1251") and len(run) == 2 and not mixed and "├" not in run and "┬" not in run and "√" not in run)
-            or (all("─" <= c <= "╿" for c in run) and not mixed)
-        )
-        if not ambiguous:
-            sure.append((_letter_cost(fixed), fixed))
-        weak = weak or fixed
-    if sure:
-        return min(sure, key=lambda x: x[0])[1], True
-    if len(run) >= 2:
+        if fixed is not None and len(fixed) < len(run) and (_EXPECTED.fullmatch(fixed) or all("\x80" <= c <= "\xff" for c in fixed)):
+            yield fixed
+    if len(run) >= 3:
         for encoding in DOUBLE_BYTE:
             fixed = _utf8(_bytes(run, encoding))
-            if fixed and len(fixed) < len(run) and len(run) >= 3 and _cjk(fixed) and sum(c > "\x7f" for c in fixed) >= 2:
-                return fixed, True
-    if len(run) >= 3:
-        letters = "".join(c for c in run if c.isalpha() or c in "÷×")
-        if len(letters) == len(run):
-            own = _cyrillic_cost(run) if "Ѐ" < run[0] < "Ѡ" else 99.0
-            best, least = None, own
+            if fixed and len(fixed) < len(run) and _cjk(fixed) and sum(c > "\x7f" for c in fixed) >= 2:
+                yield fixed
+        if all(c.isalpha() or c in "÷×" for c in run):
             for read, meant in CYRILLIC_SWAPS:
                 data = _bytes(run, read)
                 try:
                     fixed = data.decode(meant) if data else None
                 except UnicodeDecodeError:
                     continue
-                if not fixed or not all(c.lower() in _RU_COST for c in fixed):
-                    continue
-                cost = _cyrillic_cost(fixed)
-                if cost < least:
-                    best, least = fixed, cost
-            usual = best is not None and best[1:].islower() and len(set(best)) >= 3
-            if usual and not mixed and len(run) >= 4 and least < 3.4 and own - least > 0.6:
-                return best, len(run) >= 5
-            if best and not mixed and least < 3.6 and own - least > 0.6:
-                weak = weak or best
-    return weak, False
+                # a word of Russian letters, small after the first, and not of two letters only
+                if fixed and all(c.lower() in _RU_COST for c in fixed) and fixed[1:].islower() and len(set(fixed)) >= 3 and _cyrillic_cost(fixed) < 3.4:
+                    yield fixed
+
+
+@lru_cache(maxsize=200_000)
+def undo(run: str, before: str, after: str) -> tuple[str | None, bool]:
+    """(``run`` with one layer of wrong decoding undone or None, whether the cost drops by ``MARGIN``, here or layers below)."""
+    own = cost(run, before, after)
+    best, drop = None, 0.0
+    for fixed in candidates(run):  # that bytes make up whole characters by chance is unlikely, the more of them the less likely
+        d = own - least_cost(fixed, before, after) + COINCIDENCE * (len(run) - len(fixed))
+        if d > drop:
+            best, drop = fixed, d
+    return best, drop >= MARGIN
+
+
+def _letter(c: str) -> str:
+    """The class of a neighbour: a small or a capital letter, or none."""
+    return "" if not c.isalpha() else "A" if c.isupper() else "a"
 
 
 _PIECES: dict[str, re.Pattern] = {}
@@ -169,8 +204,8 @@ def _piece(encoding: str) -> re.Pattern:
     return _PIECES[encoding]
 
 
-def _inside(run: str, before: bool, after: bool) -> tuple[str | None, bool]:
-    """As ``undo``, for garbled characters beside correct ones in one run."""
+def _inside(run: str, before: str, after: str, trust: bool = False) -> tuple[str | None, bool]:
+    """As ``undo``, for garbled characters beside correct ones in one run; with ``trust`` pieces with any drop are taken."""
     for encoding in ("latin-1", "cp1252", "cp1250", "cp437", "cp850", "mac_roman"):
         sure = False
 
@@ -178,9 +213,9 @@ def _inside(run: str, before: bool, after: bool) -> tuple[str | None, bool]:
             nonlocal sure
             if m[0][0] not in "ÂÃÄÅÐÑâãäåæçèéðĂĹĄ├┬┼─ÔÕ√¬Γ" and encoding != "latin-1":
                 return m[0]
-            fixed, ok = undo(m[0], before or m.start() > 0 and m.string[m.start() - 1].isalpha(), after or m.end() < len(m.string) and m.string[m.end()].isalpha())
-            sure |= ok
-            return fixed if ok else m[0]
+            fixed, ok = undo(m[0], _letter(m.string[m.start() - 1]) if m.start() else before, _letter(m.string[m.end()]) if m.end() < len(m.string) else after)
+            sure |= ok or trust and fixed is not None
+            return fixed if ok or trust and fixed is not None else m[0]
 
         fixed = _piece(encoding).sub(sub, run)
         if sure:
@@ -231,19 +266,20 @@ def _layer(text: str) -> tuple[str, bool, bool]:
     def sub(m: re.Match, trust: bool = False) -> str:
         nonlocal found, lost, weak
         s = m[0]
-        before, after = s[0] < "\x80", s[-1] < "\x80"
-        run = s[before : len(s) - after]
+        a, z = s[0] < "\x80", len(s) - (s[-1] < "\x80")
+        run, before, after = s[a:z], _letter(s[0]) if a else "", _letter(s[-1]) if z < len(s) else ""
         if "�" in run:
             found = lost = True
             return s
         fixed, sure = undo(run, before, after)
-        if not sure and (inner := _inside(run, before, after))[1]:
+        broken = trust or any("\x80" <= c < "\xa0" for c in run)  # a control character is never right
+        if not sure and (inner := _inside(run, before, after, broken))[1]:
             fixed, sure = inner
         found |= sure
         if fixed is None or not (sure or trust):
             weak |= fixed is not None
             return s
-        return s[:before] + fixed + s[len(s) - after :]
+        return s[:a] + fixed + s[z:]
 
     base, swapped = _swapped_lines(text)
     out = _RUN.sub(sub, base)
@@ -278,10 +314,8 @@ def repair(text: str | None) -> tuple[bool, str | None, bool]:
                 out, found, lost = own, True, gone or lost
             elif hidden and own != out:
                 out = own
-    for _ in range(LAYERS):
-        garbled |= found
-        if not found:
-            break
+    while found:  # every layer but one beyond repair makes the text shorter or cheaper
+        garbled = True
         again, found, more = _layer(out)
         lost |= more
         if again == out:

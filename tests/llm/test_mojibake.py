@@ -4,7 +4,7 @@ import html
 
 import pytest
 
-from changeprism.llm.mojibake import garbled_texts, repair
+from changeprism.llm.mojibake import cost, garbled_texts, repair, undo
 
 RIGHT = [
     "Während der Übergabe blieb der Schlüssel gesperrt, größer als 5 €.",
@@ -51,6 +51,24 @@ def test_layers_escapes_and_single_words():
     assert repair(entities) == (True, "café", True)
 
 
+def test_any_number_of_layers():
+    text = "naïve café"
+    for layers in (1, 3, 6, 9):
+        wrong = text
+        for _ in range(layers):
+            wrong = wrong.encode().decode("latin-1")
+        assert repair(wrong) == (True, text, True)
+
+
+def test_the_cost_decides():
+    for wrong, right in (("Ã©", "é"), ("âœ“", "✓"), ("├®", "é"), ("Ð¿Ñ€Ð¸", "при")):
+        assert cost(wrong, "", "") > cost(right, "", "") and undo(wrong, "", "") == (right, True)
+    for fine in ("É…", "Ã”", "Её", "¿¡", "──"):  # decodable or not, nothing is gained
+        assert not undo(fine, "", "")[1], fine
+    assert repair("l’été a étÊ long")[0] is False  # alone a capital proves nothing
+    assert repair("le café est ouvert, a Ã©tÃ© et Ã”ter")[1] == "le café est ouvert, a été et Ôter"
+
+
 def test_cyrillic_encodings_taken_for_each_other():
     text = RIGHT[5]
     for meant, read in (("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp1251", "cp1252"), ("cp1251", "latin-1")):
