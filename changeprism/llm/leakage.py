@@ -4,8 +4,8 @@ Texts are read as plain words (markup, soft hyphens, line-end hyphens, width, ac
 not count). Wu-Manber search over words: the patterns are all windows of WINDOW words of the passages; a block shift
 table over word pairs skips positions where no pattern can end, suffix buckets select the patterns, direct comparison
 confirms. Where two windows of one item follow each other in the order of its passage, the best-scoring chain of the
-passage's words in their order is sought around them, with insertions, omissions and changed words paid for; chains of
-MIN_PART words that follow one another in text and passage are joined, whatever was inserted between them. The item
+passage's words in their order is sought around them, with insertions, omissions and changed words paid for; runs of
+MIN_PART equal words that follow one another in text and passage are joined, whatever was inserted between them. The item
 leaks if MIN_WORDS words are held.
 
 What is not found: passages that are changed so often that no two windows of three words stay whole. Of 100 passages of
@@ -39,8 +39,8 @@ GAP_COST, LEAST_SCORE = 0.3, 0.7
 #: Items searched at once; more are searched in blocks, so what a task holds is bounded.
 ITEMS_AT_ONCE = 20_000
 
-#: Fewest words, and least score a word, of a part of a passage that is joined to others over any insertion.
-MIN_PART, PART_SCORE = 7, 0.9
+#: Fewest equal words in a row of a part of a passage that is joined to others over any insertion.
+MIN_PART = 7
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>")
 _LINE_END = re.compile(r"(?<=[^\W\d_])[-‐‑­][ \t]*\r?\n[\s>#*/|]*(?=[^\W\d_])")
@@ -110,15 +110,13 @@ class WuManber:
         return found
 
 
-def chain(text: list[str], places: dict[str, list[int]], least: float = LEAST_SCORE) -> tuple[int, int, int, int, int]:
-    """(words, first and last index in ``text``, in the passage) of the chain of the passage's words (``places``: positions by
-    word, descending) with most words among the best-scoring ones that end at each pair; (0, …) if all are too loose."""
+def chain(text: list[str], places: dict[str, list[int]]) -> int:
+    """Words of the passage (``places``: positions by word, descending) in the longest of the best-scoring chains that end at
+    each pair of equal words; 0 if all are too loose."""
     pairs = [(i, j) for i, w in enumerate(text) for j in places.get(w, ())]
-    score: list[float] = []
-    state: list[tuple[int, int, int]] = []  # words, where the chain begins in text and passage
-    best = (0, 0, 0, 0, 0)
+    score, count, best = [], [], 0
     for k, (i, j) in enumerate(pairs):
-        s, c = 1.0, (1, i, j)
+        s, c = 1.0, 1
         for q in range(k - 1, -1, -1):
             a, b = pairs[q]
             if i - a > TEXT_GAP:
@@ -126,20 +124,24 @@ def chain(text: list[str], places: dict[str, list[int]], least: float = LEAST_SC
             if a < i and b < j <= b + PASSAGE_GAP:
                 x = score[q] + 1 - GAP_COST * max(i - a - 1, j - b - 1)
                 if x > s:
-                    s, c = x, (state[q][0] + 1, *state[q][1:])
+                    s, c = x, count[q] + 1
         score.append(s)
-        state.append(c)
-        if c[0] > best[0] and s >= least * c[0]:
-            best = (c[0], c[1], i, c[2], j)
+        count.append(c)
+        if c > best and s >= LEAST_SCORE * c:
+            best = c
     return best
 
 
-def joined(parts: list[tuple[int, int, int, int, int]]) -> int:
-    """Most words of parts (words, text from, to, passage from, to) that follow one another in text and passage."""
+def joined(windows: list[tuple[int, int]]) -> int:
+    """Most words in runs of MIN_PART equal words or more, made of ``windows`` (first word in text and in passage), that follow
+    one another in both, whatever stands between them."""
+    length: dict[tuple[int, int], int] = {}
+    for i, j in windows:  # by text; a window right behind another makes its run longer
+        length[i, j] = length.pop((i - 1, j - 1), WINDOW - 1) + 1
+    runs = sorted((i + WINDOW - n, i + WINDOW, j + WINDOW - n, j + WINDOW) for (i, j), n in length.items() if n >= MIN_PART)
     best: list[int] = []
-    parts = sorted(parts, key=lambda p: p[2])
-    for k, (n, a, _, c, _) in enumerate(parts):
-        best.append(n + max((best[q] for q in range(k) if parts[q][2] < a and parts[q][4] < c), default=0))
+    for k, (a, z, c, e) in enumerate(runs):
+        best.append(z - a + max((best[q] for q in range(k) if runs[q][1] <= a and runs[q][3] <= c), default=0))
     return max(best, default=0)
 
 
@@ -164,7 +166,6 @@ class Leaks:
             if len(at) < 2:
                 continue
             reach, most, a = len(self.machine.passages[item]) + TEXT_GAP, 0, 0
-            places, parts = self.places[item], []
             while a < len(at):
                 z, low, follows = a, at[a][1], False
                 while z + 1 < len(at) and at[z + 1][0] - at[z][0] <= reach:
@@ -173,28 +174,15 @@ class Leaks:
                     low = min(low, at[z][1])
                 if follows:  # one window alone cannot be part of MIN_WORDS words with small changes
                     x, y = max(0, at[a][0] - reach), at[z][0] + WINDOW + reach
-                    most = max(most, chain(own[x:y], places)[0])
-                    parts.append((x, min(y, len(own))))
+                    most = max(most, chain(own[x:y], self.places[item]))
                 a = z + 1
-            if most < MIN_WORDS and most >= MIN_PART:
-                most = max(most, self._joined(own, parts, places))
+            if most < MIN_WORDS:
+                most = joined(at)
             if most >= MIN_WORDS:
                 key = self.ids[item]
                 held[key] = max(held.get(key, 0), most)
         return list(held.items())
 
-    @staticmethod
-    def _joined(own: list[str], stretches: list[tuple[int, int]], places: dict[str, list[int]]) -> int:
-        """Most words in tight parts of a passage that follow one another, whatever stands between them."""
-        found, todo = [], stretches
-        while todo:
-            x, y = todo.pop()
-            n, i, k, j, m = chain(own[x:y], places, PART_SCORE)
-            if n >= MIN_PART:
-                found.append((n, i + x, k + x, j, m))
-                todo += [(p, q) for p, q in ((x, i + x), (k + x + 1, y)) if q - p >= MIN_PART]
-        return joined(found)
-
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, held): the items whose passage a document holds in part or whole, with the words held.
