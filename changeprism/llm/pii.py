@@ -1,10 +1,13 @@
 """Personal information in free text: occurrences by type, typed placeholders and keyed surrogates.
 
 Spans are found by type in an order in which earlier ones shield later ones (addresses of mail, identity numbers,
-phones, street addresses, names). A surrogate is a keyed bijection of the value's own symbols: digits go to digits,
+phones, street addresses, names). Names are told by given names, or by what stands around them whatever they are: a title,
+a trailer of a commit, an address of mail in brackets behind them, a closing formula before them. A surrogate is a keyed bijection of the value's own symbols: digits go to digits,
 vowels and consonants of a script to such letters in the same case (letters of other scripts to letters of their block),
-given names to given names of the same gender, words of street names to words of their form, so format, script, accents
-and gender stay, equal values stay equal everywhere (coreference) and different values stay different. The bijection
+given names to given names of the same gender (names of both genders to each other), words of street names to words of
+their form, so format, script, accents and gender stay, equal values stay equal everywhere and different values stay
+different. Accents ride on their letters and ae, oe, ue stand for umlauts, so a name has one surrogate in all its spellings;
+the words of the user part of an address of mail are mapped as names are, so a person stays one person (coreference). The bijection
 has no fixed points, and each surrogate is read back: one that does not give its value again is an error, so no two
 inputs share an output. Spellings of one given name that are not in the lists themselves count as one value; kinds of
 streets, particles, single letters, accents and the few letters without a counterpart (such as the German sharp s) stay.
@@ -44,6 +47,9 @@ Lukas Manuel Marcel Marek Mario Martin Mateusz Matthew Michael Miguel Mikhail Ni
 Paul Pedro Peter Philip Philippe Pierre Piotr Rafael Raphael Richard Robert Roberto Ronald Samuel Sebastian Sergei Søren Stanisław Stefan
 Stephen Steven Thomas Timothy Vincent Vladimir Walter William Wojciech""".split()
 
+#: Of these, names of women and men alike (fixed values); their surrogates are names of this list.
+UNISEX = ["Andrea", "Camille", "Claude", "Jean"]
+
 _L = r"(?:[^\W\d_]|\\u[0-9a-fA-F]{4})"
 _TOKEN = re.compile(rf"{_L}(?:{_L}|['’](?={_L}))*(?:[-‐]{_L}(?:{_L}|['’](?={_L}))*)*")
 _UNESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
@@ -122,6 +128,31 @@ def _spellings(name: str) -> set[str]:
     return {low, bare, out}
 
 
+def _words_back(text: str, at: int, n: int) -> int:
+    """Where the ``n`` words before ``at`` begin, at most at the beginning of the line; words may be of any length."""
+    line = text.rfind("\n", 0, at) + 1
+    while n and at > line:
+        at = max(line, text.rfind(" ", line, at), text.rfind("\t", line, at))
+        n -= 1
+    return at
+
+
+#: What tells a name apart from its words (fixed values): titles, trailers, closing formulas.
+_TITLES = r"(?:Mr|Mrs|Ms|Mx|Miss|Dr|Prof|Herrn?|Frau|Señora?|Sra|Mme|Mlle|Monsieur|Madame|Pani)\b\.?"
+_TRAILERS = r"(?:Signed-off|Reviewed|Reported|Acked|Tested|Suggested|Co-authored|Co-Authored)-[bB]y:"
+_CLOSINGS = r"(?:Thanks|Thank you|Regards|Best regards|Kind regards|Best wishes|Cheers|Sincerely|Cordialement|Bien à vous|Saludos|Un saludo|Viele Grüße|Mit freundlichen Grüßen|Pozdrawiam)[,!.]?"
+_NAME_WORD = r"[^\W\d_a-z](?:[^\W\d_]|[-'’](?=[^\W\d_]))+"
+_GIVEN_FAMILY = rf"{_NAME_WORD}(?:[ \t]+[^\W\d_]\.)?(?:[ \t]+(?:van|von|de|da|di|del|der|la|le|bin|al|el|ter|ten))*[ \t]+{_NAME_WORD}"
+_BY_CONTEXT = re.compile(
+    rf"(?:(?<!\w){_TITLES}[ \t]+|(?<!\w){_TRAILERS}[ \t]*|(?:^|\n)[ \t>*]*{_CLOSINGS}[ \t]*\n[\s>*]*(?:[-–—]+[ \t]*)?)(?P<n>{_GIVEN_FAMILY})(?![\w@(])"
+    rf"|(?<![\w@./])(?P<m>{_GIVEN_FAMILY})(?=[ \t]*<[^<>\s@]+@[^<>\s]+>)"
+)
+
+
+#: Without these there is no name told by its context.
+_CONTEXT_HINT = re.compile(rf"{_TITLES}|-[bB]y:|{_CLOSINGS}|<[^<>\s@]+@")
+
+
 class Finder:
     """Spans of personal information in a text."""
 
@@ -132,10 +163,10 @@ class Finder:
         taken: list[tuple[int, int]] = []
         for m in _PLAIN_EMAIL.finditer(text):
             a = m.start("u")
-            head = text[max(0, a - 60) : a]
-            if m[0].count("%40") and "=" in head[-40:]:
+            head = text[_words_back(text, a, 6) : a]
+            if m[0].count("%40") and "=" in head[_words_back(head, len(head), 1) :]:
                 pass  # a query parameter of a link
-            elif _NO_MAIL_BEFORE.search(head) or text[a - 1 : a] == ":" and "://" in head:
+            elif _NO_MAIL_BEFORE.search(head) or text[a - 1 : a] == ":" and "://" in text[_words_back(text, a, 1) : a]:
                 continue
             if m["u"] == "git" or text[m.end() : m.end() + 1] == ":" and re.match(r":[\w./\-]*[a-zA-Z]", text[m.end() : m.end() + 20]):
                 continue
@@ -175,7 +206,12 @@ class Finder:
         for m in _ADDRESS.finditer(text):
             if not _NO_ADDRESS_AFTER.match(text, m.end()) and free(*m.span()):
                 out.append((*m.span(), ADDRESS))
-        out += [(a, z, NAME) for a, z in self._names(text) if free(a, z)]
+        names = [(a, z) for a, z in self._names(text) if free(a, z)]
+        for m in _BY_CONTEXT.finditer(text) if _CONTEXT_HINT.search(text) else ():
+            a, z = m.span("n" if m["n"] else "m")
+            if free(a, z) and not any(x < z and a < y for x, y in names):
+                names.append((a, z))
+        out += [(a, z, NAME) for a, z in names]
         return sorted(out)
 
     def _names(self, text: str) -> Iterator[tuple[int, int]]:
@@ -228,6 +264,10 @@ class Finder:
 
 PLACEHOLDER = {EMAIL: "[EMAIL]", PHONE: "[PHONE]", IDENTITY: "[ID_NUMBER]", ADDRESS: "[ADDRESS]", NAME: "[PERSON]"}
 
+#: Vowels that have umlauts.
+_UMLAUT = "aou"
+#: Kinds of words that are names, and what their surrogates depend on.
+_NAMED = {"family": "family", "user": "family"}
 #: Sets of letters that stand for each other.
 _LETTERS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 #: Words of an address that tell its form, folded (fixed values).
@@ -271,8 +311,10 @@ class Surrogates:
     def __init__(self, key: bytes, female: list[str] = FEMALE, male: list[str] = MALE):
         self.key = key
         self.known: dict[tuple[str, str], str] = {}
-        self.given = {"f": female, "m": male}
-        self.gender = Finder(female, male).gender
+        both = [n for n in UNISEX if n in female or n in male]
+        self.given = {"f": [n for n in female if n not in both], "m": [n for n in male if n not in both], "u": both}
+        self.gender = Finder(self.given["f"], self.given["m"]).gender | {s: "u" for n in both for s in _spellings(n)}
+        self.prefixes = sorted((n for n in self.gender if len(n) > 2 and n.isascii()), key=len, reverse=True)
 
     def _shift(self, tweak: str, n: int) -> int:
         return int.from_bytes(hmac.new(self.key, tweak.encode(), hashlib.sha256).digest()[:8], "big") % n
@@ -289,40 +331,57 @@ class Surrogates:
                 x[i] = (x[i] - shift) % sizes[i] if back else new
                 done += f"{new},"
 
-    def _permute(self, value: str, kind: str, back: bool = False) -> str:
-        """A bijection without fixed points of the digits and letters of ``value`` (decomposed) among values of the same
-        shape, or its inverse: a step that moves every value, seen through the keyed turns, so that all its cycles are
-        as long as the first alphabet."""
-        slots = [(i, s, c != c.lower()) for i, c in enumerate(value) if (s := _alphabet(c.lower()))]
-        if not slots:
+    @staticmethod
+    def _units(value: str, kind: str) -> tuple[list[tuple[int, str]], str]:
+        """(place and alphabet of each letter or digit of ``value`` (decomposed), shape of the rest). Accents are no part of
+        the shape; in names a vowel and its umlaut sign, or the e that stands for it, are one unit."""
+        units, bare, i = [], [], 0
+        while i < len(value):
+            c = value[i]
+            mark = value[i + 1 : i + 2]
+            umlaut = kind in _NAMED and c.lower() in _UMLAUT and (mark == "\u0308" or mark in ("e", "E") and not unicodedata.combining(value[i + 2 : i + 3] or " "))
+            if letters := _UMLAUT if umlaut else _alphabet(c.lower()):
+                units.append((i, letters))
+                bare.append(":" if umlaut else ".")
+            elif not unicodedata.combining(c):
+                bare.append(c)
+            i += 2 if umlaut else 1
+        return units, _NAMED.get(kind, kind) + "".join(bare) + "|" + "".join(s[0] for _, s in units)
+
+    def _permute(self, value: str, form: tuple[list[tuple[int, str]], str], back: bool = False) -> str:
+        """A bijection without fixed points of the units of ``value`` among values of the same ``form``, or its inverse: a
+        step that moves every value, seen through the keyed turns, so that all its cycles are as long as the first alphabet."""
+        units, shape = form
+        if not units:
             return value
-        at = {i for i, _, _ in slots}
-        shape = kind + "".join("." if i in at else c for i, c in enumerate(value)) + "|" + "".join(s[0] for _, s, _ in slots)
-        x, sizes = [s.index(value[i].lower()) for i, s, _ in slots], [len(s) for _, s, _ in slots]
+        x, sizes = [s.index(value[i].lower()) for i, s in units], [len(s) for _, s in units]
         self._turns(x, sizes, shape, False)
         steps = [k for k in range(1, sizes[0]) if math.gcd(k, sizes[0]) == 1] if sizes[0] < 100 else [1]
         step = steps[self._shift(f"{shape}#step", len(steps))]
         x[0] = (x[0] + (-step if back else step)) % sizes[0]
         self._turns(x, sizes, shape, True)
         out = list(value)
-        for (i, s, up), v in zip(slots, x, strict=True):
-            out[i] = s[v].upper() if up else s[v]
+        for (i, s), v in zip(units, x, strict=True):
+            out[i] = s[v].upper() if value[i] != value[i].lower() else s[v]
         return "".join(out)
 
     def _distinct(self, value: str, kind: str, taken: Callable[[str], bool] = lambda s: False) -> str:
-        """The surrogate of ``value``; those that are ``taken`` are walked over, as they are no values of this kind."""
+        """The surrogate of ``value``; those that are ``taken``, or would be read as another form, are walked over, as they are
+        no values of this kind."""
         new = self.known.get((kind, value))
         if new is None:
             plain = unicodedata.normalize("NFD", value)
-            new = self._permute(plain, kind)
-            while taken(unicodedata.normalize("NFC", new)) and new != plain:
-                new = self._permute(new, kind)
-            new = unicodedata.normalize("NFC", new)
-            again = self._permute(unicodedata.normalize("NFD", new), kind, True)
-            while taken(unicodedata.normalize("NFC", again)):
-                again = self._permute(again, kind, True)
+            form = self._units(plain, kind)
+            no_value = lambda x: taken(unicodedata.normalize("NFC", x)) or self._units(x, kind) != form
+            new = self._permute(plain, form)
+            while no_value(new) and new != plain:
+                new = self._permute(new, form)
+            again = self._permute(new, form, True)
+            while no_value(again):
+                again = self._permute(again, form, True)
             if again != plain:
                 raise ValueError(f"a surrogate of kind {kind} stands for two values")
+            new = unicodedata.normalize("NFC", new)
             if len(self.known) > 100_000:
                 self.known.clear()
             self.known[kind, value] = new
@@ -338,19 +397,47 @@ class Surrogates:
             return self._distinct(c["stem"], "street") + c["tail"]
         return self._distinct(w, "street", lambda s: _form(s) or _COMPOUND.fullmatch(s) is not None)
 
+    def _given(self, w: str) -> str | None:
+        """The surrogate of a given name; None if it is none."""
+        g = self.gender.get(_fold(w))
+        if not g:
+            return None
+        names = self.given[g]
+        at = next((i for i, n in enumerate(names) if _fold(w) == _fold(n)), None)
+        at = next(i for i, n in enumerate(names) if _fold(w) in _spellings(n)) if at is None else at
+        return names[(at + 1 + self._shift("given" + g, len(names) - 1)) % len(names)]
+
+    def _split(self, w: str) -> int:
+        """Where the family name begins in a user part of a given and a family name in one word; 0 if it is not so."""
+        low = w.lower()
+        return next((len(p) for p in self.prefixes if low.startswith(p) and len(low) - len(p) > 2), 0)
+
+    def _named(self, w: str) -> bool:
+        """Whether a word is or begins with a given name, and so is no surrogate of a family name."""
+        return _fold(w) in self.gender or self._split(w) > 0
+
+    def _user(self, m: re.Match) -> str:
+        """The surrogate of a word of a user part, as of the name that it is."""
+        w = m[0]
+        if w[0].isdigit():
+            return self._distinct(w, "digits")
+        plain = lambda n: max(_spellings(n), key=lambda x: (x.isascii(), len(x)))
+        if self._given(w) is not None:
+            new = plain(self._given(w))
+        elif at := self._split(w):
+            new = plain(self._given(w[:at])) + self._distinct(w[at:].lower(), "user", self._named)
+        else:
+            return self._distinct(w, "user", self._named)
+        return new.upper() if w.isupper() else new[:1].upper() + new[1:] if w[:1].isupper() else new
+
     def of(self, value: str, kind: str) -> str:
         value = unicodedata.normalize("NFC", value)
         if kind == NAME:
             def word(m: re.Match) -> str:
                 w = m[0]
-                g = self.gender.get(_fold(w))
-                if g:
-                    names = self.given[g]
-                    at = next((i for i, n in enumerate(names) if _fold(w) == _fold(n)), None)
-                    at = next(i for i, n in enumerate(names) if _fold(w) in _spellings(n)) if at is None else at
-                    new = names[(at + 1 + self._shift("given" + g, len(names) - 1)) % len(names)]
-                else:
-                    return self._distinct(w, "initial" if len(w) == 1 else "family", lambda s: _fold(s) in self.gender)
+                new = self._given(w)
+                if new is None:
+                    return self._distinct(w, "initial" if len(w) == 1 else "family", self._named)
                 return new.upper() if w.isupper() else new.lower() if w.islower() else new[:1].upper() + new[1:]
 
             return _TOKEN.sub(word, unicodedata.normalize("NFC", _UNESCAPE.sub(lambda m: chr(int(m[1], 16)), value)))
@@ -358,7 +445,7 @@ class Surrogates:
             m = re.search(_AT, value)
             user, rest = (value[: m.start()], value[m.start() :]) if m else (value, "")
             head, dot, tail = rest.rpartition(".")
-            return self._distinct(user, "user") + (re.sub(rf"^({_AT})(.*)$", lambda x: x[1] + self._distinct(x[2], "host"), head, flags=re.S) + dot + tail if dot else rest)
+            return _WORD.sub(self._user, user) + (re.sub(rf"^({_AT})(.*)$", lambda x: x[1] + self._distinct(x[2], "host"), head, flags=re.S) + dot + tail if dot else rest)
         if kind == ADDRESS:
             return _WORD.sub(self._address, value)
         return self._distinct(value, kind)

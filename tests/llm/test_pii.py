@@ -75,6 +75,52 @@ def test_surrogates_keep_accents_and_scripts_apart():
     assert s.of(unicodedata.normalize("NFD", "Müller"), NAME) == new[0]
 
 
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("Signed-off-by: Ngozi Okafor <n@x.example>", "Ngozi Okafor"), ("please ask Dr. Hiroshi Tanaka first", "Hiroshi Tanaka"), ("It works.\n\nKind regards,\nSiobhan O'Murphy\n", "Siobhan O'Murphy"), ("cc Ngozi van der Okafor <n@x.example>", "Ngozi van der Okafor"),
+        ("Frau Aylin Yıldız called", "Aylin Yıldız"),
+    ],
+)
+def test_names_told_by_their_context(text, name):
+    assert name in [text[a:z] for a, z, k in FIND.spans(text) if k == NAME]
+
+
+def test_no_names_by_capitals_alone():
+    for text in ("Silver Lantern is a theme", "Thanks\nto the Build Team", "Signed-off-by: bot", "Open <https://x.example> in Safari Browser", "Regards,\nthe team"):
+        assert FIND.spans(text) == [], text
+
+
+def test_addresses_behind_long_paths():
+    for n in (5, 80, 5000):
+        assert FIND.spans("see https://git.example/" + "p" * n + "/john@host.com now") == []
+        assert [k for _, _, k in FIND.spans("see https://git.example/" + "p" * n + " john@host.com now")] == [EMAIL]
+        assert [k for _, _, k in FIND.spans("https://d.test/" + "p" * n + "?m=a.w%40raven.test")] == [EMAIL]
+    assert FIND.spans("git clone " + "-b " + "x" * 200 + " git@h.example:a/b.git") == []
+
+
+def test_a_person_stays_one_person():
+    s = Surrogates(b"k")
+    given, family = s.of("Anna Müller", NAME).split()
+    fold = lambda w: w.replace("ä", "ae").replace("ö", "oe").replace("ü", "ue").replace("Ä", "Ae").replace("Ö", "Oe").replace("Ü", "Ue")
+    assert s.of("Anna Mueller", NAME) == f"{given} {fold(family)}"
+    for user in ("anna.mueller", "mueller_anna", "annamueller42", "Anna.Mueller"):
+        new = s.of(f"{user}@x.example", EMAIL).split("@")[0].lower()
+        assert fold(family).lower() in new and "".join(c for c in unicodedata.normalize("NFKD", given) if not unicodedata.combining(c)).lower() in new, (user, new, given, family)
+    assert FIND.gender["andrea"] and s.gender["andrea"] == "u" and s.of("Andrea Rossi", NAME).split()[0] in ("Camille", "Claude", "Jean")
+
+
+def test_many_values_of_each_type_stay_distinct():
+    s = Surrogates(b"key")
+    syllables = ["".join(p) for p in itertools.product("bdfglmnrst", "aeiou")]
+    families = ["".join(p).capitalize() for p in itertools.islice(itertools.product(syllables, syllables, syllables), 0, 125_000, 6)]
+    users = [f"{f.lower()}{i % 10}" for i, f in enumerate(families)]
+    for values, kind, wrap in ((families, NAME, "Robert {}"), (users, EMAIL, "{}@x.example"), (families[:10_000], ADDRESS, "12 {} Street"), ([f"{n:05d}1234" for n in range(20_000)], PHONE, "+{}"), ([f"{n:05d}" for n in range(20_000)], IDENTITY, "SV {}")):
+        own = [wrap.format(v) for v in values]
+        new = [s.of(v, kind) for v in own]
+        assert len(set(new)) == len(own) and not [v for v, n in zip(own, new, strict=True) if v == n]
+
+
 def test_a_collision_is_an_error(monkeypatch):
     s = Surrogates(b"k")
     monkeypatch.setattr(s, "_turns", lambda x, sizes, shape, back: x.__setitem__(0, 0))
