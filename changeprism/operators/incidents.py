@@ -41,3 +41,13 @@ def repair_hours(issues: DataFrame, by: str) -> DataFrame:
     """(by, closed, mean_hours) from creation to closing."""
     h = (F.unix_micros(F.col("closed_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / F.lit(3.6e9)
     return issues.where("closed_at IS NOT NULL").groupBy(by).agg(F.count("*").alias("closed"), F.avg(h).alias("mean_hours"))
+
+
+def coverage(parts: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(metric, percent): distinct keys k of each first table by the rows of the second."""
+    out = None
+    for name, (hits, all_rows) in parts.items():
+        row = hits.agg(F.countDistinct("k").alias("n")).crossJoin(all_rows.agg(F.count("*").alias("total")))  # one row each
+        row = row.select(F.lit(name).alias("metric"), F.coalesce(F.try_divide(F.col("n") * 100.0, "total"), F.lit(0.0)).alias("percent"))
+        out = row if out is None else out.unionByName(row)
+    return out
