@@ -100,7 +100,7 @@ def function_chunks(content: Column, language: Column, most: int = 102_400, line
     for name, pattern in FUNCTION_START.items():
         start = F.when(language == name, F.lit(pattern)).otherwise(start)
     size = F.size(lines)
-    heads = F.filter(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.coalesce(F.try_element_at(lines, (i + 1).cast("int")).rlike(start), F.lit(False)))
+    heads = F.filter(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.coalesce(F.rlike(F.try_element_at(lines, (i + 1).cast("int")), start), F.lit(False)))
     edges = F.concat(F.array(F.lit(0)), heads)
     block = F.transform(edges, lambda a, i: F.struct(a.alias("first"), (F.coalesce(F.get(edges, i + 1), size) - a).alias("lines")))
     chars = lambda b: F.aggregate(F.slice(lines, (b["first"] + 1).cast("int"), F.greatest(b["lines"], F.lit(0)).cast("int")), F.lit(0), lambda s, x: s + F.length(x))

@@ -129,6 +129,12 @@ def unprocessed(rows: DataFrame, at: str, limit: int) -> DataFrame:
     return rows.where("processed_at IS NULL").orderBy(at, "id").limit(limit)
 
 
+def file_summary(files: DataFrame, on: list[str]) -> DataFrame:
+    """(on, files, changes, names): of (on, name, changes) the names with most changes first, ties by name."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("changes")).alias("c"), "name")))
+    return files.groupBy(*on).agg(F.count("*").alias("files"), F.sum("changes").alias("changes"), F.transform(order, lambda x: x["name"]).alias("names"))
+
+
 def with_children(parents: DataFrame, children: DataFrame, on: list[str], order: list[str], keep: list[str]) -> DataFrame:
     """``parents`` with an array of their children in order."""
     c = children.groupBy(*on).agg(F.transform(F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, *keep])))), lambda x: F.struct(*[x[k].alias(k) for k in keep])).alias("children"))

@@ -32,13 +32,19 @@ def unit_history(changes: DataFrame, incidents: DataFrame, days: int = 7) -> Dat
     return kept
 
 
-def partners(changes: DataFrame, units: list, min_count: int = 3, min_frequency: float = 0.3, k: int = 10) -> DataFrame:
-    """(other, n, frequency): units that changed in the commits of ``units``, often in number or in share; the k most."""
+def partners(changes: DataFrame, units: list, min_count: int = 3, min_frequency: float = 0.3, k: int = 10, samples: int = 0) -> DataFrame:
+    """(other, n, frequency): units that changed in the commits of ``units``, often in number or in share; the k most, with the
+    first ``samples`` of those commits (sample)."""
     mine = changes.where(F.col("block").isin(*units)).select("sha").distinct()
     total = mine.agg(F.count("*").alias("total"))
     n = changes.where(~F.col("block").isin(*units)).join(mine, "sha", "left_semi").groupBy(F.col("block").alias("other")).agg(F.countDistinct("sha").alias("n"))
     out = n.crossJoin(F.broadcast(total)).withColumn("frequency", F.try_divide(F.col("n"), F.col("total")))  # total is one row
-    return out.where((F.col("n") >= min_count) | (F.col("frequency") >= min_frequency)).orderBy(F.desc("n"), "other").limit(k).select("other", "n", "frequency")
+    best = out.where((F.col("n") >= min_count) | (F.col("frequency") >= min_frequency)).orderBy(F.desc("n"), "other").limit(k).select("other", "n", "frequency")
+    if not samples:
+        return best
+    w = Window.partitionBy("block").orderBy("sha")
+    first = changes.join(mine, "sha", "left_semi").join(best.select(F.col("other").alias("block")), "block", "left_semi").select("block", "sha").distinct().withColumn("at", F.row_number().over(w)).where(F.col("at") <= samples)
+    return best.join(first.groupBy(F.col("block").alias("other")).agg(F.array_sort(F.collect_list("sha")).alias("sample")), "other").orderBy(F.desc("n"), "other")
 
 
 def file_statistics(incidents: DataFrame, by: str, as_of: Column) -> DataFrame:
