@@ -33,6 +33,8 @@ PATTERN = (
 )
 #: Words whose encodings a worker keeps; beyond, the store is emptied and filled anew.
 KEPT_WORDS = 400_000
+#: Arcs whose presence is kept; more are found again.
+KEPT_ARCS = 2_000_000
 
 
 def _letters() -> dict[str, int]:
@@ -97,6 +99,8 @@ class Automaton:
     def arc(self, s: int, t: int) -> bool:
         found = self.table.get((s, t))
         if found is None:
+            if len(self.table) >= KEPT_ARCS:
+                self.table.clear()
             found = self.table[s, t] = self._survives(s, t, len(self.rank) + len(self.gadget))
         return found
 
@@ -132,7 +136,6 @@ class Automaton:
             if ids is None:
                 if len(words) >= KEPT_WORDS:
                     words.clear()
-                    self.table.clear()
                 ids = self.word(w.encode("utf-8", "surrogatepass"))
                 if len(w) < 64:
                     words[w] = ids
