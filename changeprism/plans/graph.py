@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changeprism.operators import graph, linking, review, tables
+from changeprism.plans.history import files_sql
 from changeprism.plans.registry import Registry, as_of, r6
 from changeprism.session import table
 from changeprism.sources import gitlog
@@ -76,17 +77,23 @@ def graph_issue_nodes(s, d):
     return graph.issue_nodes(issues(s, d)).select("id", "state", "labels", F.coalesce("closed_at", F.lit(-1)).alias("closed_at"), graph.bug_labels(F.col("labels")).alias("bug"))
 
 
-@query()
+_TODAY = f"""{_LAST}, {files_sql("c")}, r AS (SELECT DISTINCT repo_id, o ->> '$.previous_filename' AS former, o ->> '$.filename' AS path FROM fo WHERE o ->> '$.previous_filename' <> o ->> '$.filename'),
+cl AS (SELECT repo_id, former AS src, path AS dst FROM r UNION SELECT cl.repo_id, cl.src, r.path FROM cl JOIN r ON r.repo_id = cl.repo_id AND r.former = cl.dst),
+k AS (SELECT repo_id, src AS filename, min(dst) AS canonical FROM cl WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.repo_id = cl.repo_id AND r.former = cl.dst) GROUP BY 1, 2),
+ft AS (SELECT fo.repo_id, sha, o, o ->> '$.filename' AS filename, coalesce(canonical, o ->> '$.filename') AS path FROM fo LEFT JOIN k ON k.repo_id = fo.repo_id AND k.filename = o ->> '$.filename' WHERE sha IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_TODAY} SELECT repo_id || ':file:' || path AS id, repo_id, path, max((filename <> path)::INT) AS renamed FROM ft GROUP BY 1, 2, 3")
 def graph_file_nodes(s, d):
-    """Files of the commits' JSON in every shape; SQL would have to read strings of JSON at any depth."""
+    """Files of the commits' JSON in every shape, under their paths of today."""
     nodes, _ = _files(s, d)
-    return nodes
+    return nodes.select("id", "repo_id", "path", F.col("renamed").cast("int").alias("renamed"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TODAY} SELECT repo_id || ':commit:' || sha AS src, repo_id || ':file:' || path AS dst, o ->> '$.status' AS status, coalesce(CASE WHEN json_type(o -> '$.additions') IN ('UBIGINT', 'BIGINT') THEN TRY_CAST(o ->> '$.additions' AS INT) END, -1) AS additions, coalesce(CASE WHEN json_type(o -> '$.deletions') IN ('UBIGINT', 'BIGINT') THEN TRY_CAST(o ->> '$.deletions' AS INT) END, -1) AS deletions FROM ft""")
 def graph_modified_edges(s, d):
     _, edges = _files(s, d)
-    return edges
+    return edges.select("src", "dst", "status", F.coalesce("additions", F.lit(-1)).alias("additions"), F.coalesce("deletions", F.lit(-1)).alias("deletions"))
 
 
 def _files(s: SparkSession, d: str):

@@ -316,15 +316,33 @@ def text_plain_email(s, d):
     return table(s, d, "github_commits", "id", "author_email").select("id", text.plain_email(F.col("author_email")).alias("email"))
 
 
-@query()
+def files_sql(source: str) -> str:
+    """Common table expressions d and fo of SQL: file objects (repo_id, sha, o) of the JSON of ``source``, strings of JSON read through."""
+    some = "substr(ltrim(t.value ->> '$'), 1, 1) IN ('{', '[', '\"')"
+    return f"""d AS (SELECT repo_id, sha, TRY_CAST(ltrim(raw_data, chr(65279)) AS JSON) AS j FROM {source} WHERE raw_data IS NOT NULL
+UNION ALL SELECT d.repo_id, d.sha, TRY_CAST(t.value ->> '$' AS JSON) FROM d, json_tree(d.j) t WHERE t.type = 'VARCHAR' AND coalesce(t.key, '') <> 'patch' AND {some} AND TRY_CAST(t.value ->> '$' AS JSON) IS NOT NULL),
+fo AS (SELECT d.repo_id, d.sha, t.value AS o FROM d, json_tree(d.j) t WHERE d.j IS NOT NULL AND t.type = 'OBJECT' AND t.value ->> '$.filename' IS NOT NULL)"""
+
+
+_LANGUAGE = "coalesce(CASE lower(regexp_extract({}, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'go' THEN 'go' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'java' THEN 'java' WHEN 'rb' THEN 'ruby' WHEN 'rs' THEN 'rust' WHEN 'c' THEN 'c' WHEN 'cpp' THEN 'cpp' WHEN 'sh' THEN 'shell' WHEN 'md' THEN 'markdown' WHEN 'sql' THEN 'sql' END, 'unknown')"
+_HEAD = "'^@@ -(\\d+)(?:,(\\d+))? \\+(\\d+)(?:,(\\d+))? @@'"
+
+
+def _number(i: int) -> str:
+    return f"CASE WHEN regexp_extract(h, {_HEAD}, {i}) = '' THEN 1 ELSE TRY_CAST(regexp_extract(h, {_HEAD}, {i}) AS INT) END"
+
+
+@query(f"""WITH RECURSIVE {files_sql("github_commits")}, l AS (SELECT repo_id, sha, o ->> '$.filename' AS filename, string_split(coalesce(o ->> '$.patch', ''), chr(10)) AS l FROM fo)
+SELECT repo_id, sha, filename, len(list_filter(l, lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++'))) AS added, len(list_filter(l, lambda x: starts_with(x, '-') AND NOT starts_with(x, '---'))) AS removed FROM l""")
 def diff_line_counts(s, d):
-    """Added and removed lines of each patch; SQL would have to read patches out of every shape of JSON."""
+    """Added and removed lines of each patch."""
     f = commit_files(table(s, d, "github_commits", "repo_id", "sha", "raw_data"))
     plus, minus = diff.line_counts(F.col("patch"))
     return f.select("repo_id", "sha", "filename", plus.cast("bigint").alias("added"), minus.cast("bigint").alias("removed"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {files_sql("github_commits")}, l AS (SELECT repo_id, sha, o ->> '$.filename' AS filename, unnest(string_split(coalesce(o ->> '$.patch', ''), chr(10))) AS h FROM fo)
+SELECT repo_id, sha, filename, {_LANGUAGE.format("filename")} AS language, {_number(1)} AS old_start, {_number(2)} AS old_count, {_number(3)} AS new_start, {_number(4)} AS new_count FROM l WHERE regexp_matches(h, {_HEAD})""")
 def diff_commit_hunks(s, d):
     f = commit_files(table(s, d, "github_commits", "repo_id", "sha", "raw_data"))
     return f.select("repo_id", "sha", "filename", text.language(F.col("filename")).alias("language"), F.explode(diff.hunks(F.col("patch"))).alias("h")).select("repo_id", "sha", "filename", "language", "h.*")
