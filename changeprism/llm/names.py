@@ -320,24 +320,30 @@ def _grams(c: Column) -> Column:
 
 def similar_tokens(left: DataFrame, right: DataFrame, least: float = JACCARD) -> DataFrame:
     """(block, a, b): distinct tokens of ``left`` and ``right`` (block, token) of one block with q-gram Jaccard >= ``least``,
-    which is a third at least.
+    which is a third at least; where ``left`` says so (exact boolean, if it has that column) with the same grams only.
 
     Prefix filter: with grams in one global order, two sets of that similarity that share two grams (all that are similar
-    do; a token has two at least) share two among the first |s| - ceil(least |s|) + 2 of each. The pairs of those, rarest
-    grams first, are the join keys; they are made once for each token of the vocabulary and not for each block.
+    do; a token has two at least) share two among the first |s| - ceil(least |s|) + 2 of each, two equal sets the first two.
+    The pairs of those, rarest grams first, are the join keys: one for an exact token and for tokens of blocks in which all
+    are exact. They are made once for each token of the vocabulary and not for each block.
     """
-    sides = [df.select("block", "token").distinct() for df in (left, right)]
-    words = sides[0].select("token").unionByName(sides[1].select("token")).distinct().withColumn("gram", F.explode(_grams(F.col("token"))))
+    asked = left.select("block", F.col("token").alias("a"), (F.col("exact") if "exact" in left.columns else F.lit(False)).alias("exact")).distinct()
+    given = right.select("block", F.col("token").alias("b")).distinct()
+    words = asked.select(F.col("a").alias("token")).unionByName(given.select(F.col("b").alias("token"))).distinct().withColumn("gram", F.explode(_grams(F.col("token"))))
     # at most |alphabet|**Q rows
     rank = words.groupBy("gram").agg(F.count("*").alias("n"))
     ranked = words.join(rank, "gram").groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"]).alias("g"))
     size = F.size("g")
     prefix = F.slice("g", F.lit(1), (size - F.ceil(F.lit(least) * size) + 2).cast("int"))
     pairs = F.flatten(F.transform(F.col("p"), lambda x: F.transform(F.filter(F.col("p"), lambda y: y > x), lambda y: F.concat(x, y))))
-    vocabulary = ranked.select("token", size.alias("size"), prefix.alias("p")).select("token", "size", pairs.alias("keys"))
-    keyed = [df.join(vocabulary, "token").select("block", F.col("token").alias(n), F.col("size").alias(f"s{n}"), F.explode("keys").alias("key")) for n, df in zip(("a", "b"), sides, strict=True)]
+    first = F.concat(F.least(F.col("g")[0], F.col("g")[1]), F.greatest(F.col("g")[0], F.col("g")[1]))
+    vocabulary = ranked.select("token", size.alias("size"), first.alias("first"), prefix.alias("p")).select("token", "size", "first", pairs.alias("keys"))
+    near = asked.where(~F.col("exact")).select("block").distinct().withColumn("near", F.lit(True))
+    keys = lambda one: F.explode(F.when(one, F.array("first")).otherwise(F.col("keys"))).alias("key")
+    x = asked.join(vocabulary.withColumnRenamed("token", "a"), "a").select("block", "a", "exact", F.col("size").alias("sa"), keys(F.col("exact")))
+    y = given.join(near, "block", "left").join(vocabulary.withColumnRenamed("token", "b"), "b").select("block", "b", F.col("size").alias("sb"), keys(F.col("near").isNull()))
     fit = F.least("sa", "sb") >= F.lit(least) * F.greatest("sa", "sb")
-    found = keyed[0].join(keyed[1], ["block", "key"]).where(fit).select("block", "a", "b", "sa", "sb").distinct()
+    found = x.join(y, ["block", "key"]).where(F.when(F.col("exact"), F.col("a") == F.col("b")).otherwise(fit)).select("block", "a", "b", "sa", "sb").distinct()
     both = F.size(F.array_intersect(_grams(F.col("a")), _grams(F.col("b"))))
     return found.where((F.col("a") == F.col("b")) | (both >= F.lit(least) * (F.col("sa") + F.col("sb") - both))).select("block", "a", "b")
 
@@ -434,9 +440,7 @@ def resolve(people: DataFrame) -> DataFrame:
     left = persons.select("who", "repo_id", "first", "own", "family", "given", "initial", "typed", "guess", F.explode(_tokens(True)).alias("t")).select("*", "t.*").drop("t")
     # what an address spells, logins and addresses are no typing errors: there only the same grams will do (one key each)
     by_hand = (F.col("typed") == "1") & F.col("clue").isin("o", "r", "g")
-    near = left.where(by_hand)
-    some = right.where(F.col("clue").isin("o", "r", "g")).join(near.select("block").distinct(), "block", "left_semi")
-    found = similar_tokens(left.where(~by_hand), right, 1.0).unionByName(similar_tokens(near, some))
+    found = similar_tokens(left.withColumn("exact", ~by_hand), right)
     # by how many references a clue or a family name is shared
     total = references.agg(F.greatest(F.count("*"), F.lit(1000)).alias("total"))  # one row
     clues = right.where("clue IN ('o', 'l', 'a')").groupBy("block").agg(F.countDistinct("entity").alias("n")).crossJoin(total).select("block", _weight(F.col("n"), F.col("total")).alias("clue_weight"))
