@@ -16,14 +16,19 @@ SPLIT = 500
 
 
 def commit_pairs(once: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, sha, a, b, at) of the units a < b of each commit of distinct (by, sha, block, at)."""
+    """(by, sha, a, b, at) of the units a < b of each commit of distinct (by, sha, block, at), best partitioned by (by, sha)."""
     key = [*by, "sha"]
-    large = once.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select(*key, F.ceil(F.col("n") / SPLIT).cast("int").alias("k"))
-    rows = once.join(large, key, "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("block"), F.col("k")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    a = rows.select(*key, F.col("block").alias("a"), "at", F.col("i"), every.alias("j"))
-    b = rows.select(*key, F.col("block").alias("b"), every.alias("i"), F.col("i").alias("j"))
-    return a.join(b, [*key, "i", "j"]).where("a < b").select(*key, "a", "b", "at")
+    large = once.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > SPLIT)
+
+    def pairs(df: DataFrame, on: list[str], left: list, right: list) -> DataFrame:
+        a, b = df.select(*key, F.col("block").alias("a"), "at", *left), df.select(*key, F.col("block").alias("b"), *right)
+        return a.join(b, on).where("a < b").select(*key, "a", "b", "at")
+
+    k = F.ceil(F.col("n") / SPLIT).cast("int")
+    rows = once.join(large, key).withColumn("g", F.pmod(F.xxhash64("block"), k).cast("int")).withColumn("every", F.sequence(F.lit(0), k - 1))
+    own, each = F.col("g"), F.explode("every")
+    # as a rule there is no large commit, and then the second part is empty
+    return pairs(once.join(large, key, "left_anti"), key, [], []).unionByName(pairs(rows, [*key, "i", "j"], [own.alias("i"), each.alias("j")], [each.alias("i"), own.alias("j")]))
 
 
 def in_window(at: str, as_of: Column, days: int) -> Column:
@@ -37,7 +42,8 @@ def cochange_pairs(changes: DataFrame, as_of: Column, days: int = 365, min_count
     had an incident.
     """
     seen = changes.where(in_window("at", as_of, days)).select(*by, "sha", "block", "at")
-    once = seen.groupBy(*by, "sha", "block").agg(F.max("at").alias("at"))
+    # one shuffle by commit serves the distinct rows, their count and both sides of the pairs
+    once = seen.repartition(*by, "sha").groupBy(*by, "sha", "block").agg(F.max("at").alias("at"))
     pairs = commit_pairs(once, by).groupBy(*by, "a", "b").agg(F.count("*").alias("n"), F.max("at").alias("last_at"), F.max("sha").alias("last_sha")).where(F.col("n") >= min_count)
     totals = seen.groupBy(*by, F.col("block").alias("a")).agg(F.count("*").alias("total_a"))
     out = pairs.join(totals, [*by, "a"]).withColumn("rate", F.col("n") / F.col("total_a")).where(F.col("rate") >= min_rate)
@@ -73,9 +79,9 @@ def coupled_with(pairs: DataFrame, min_rate: float, k: int) -> DataFrame:
 
 def file_cochange(changes: DataFrame, min_frequency: float) -> DataFrame:
     """(a, b, co_changes, frequency) over commits of two files or more; frequency by the greater of the two counts."""
-    once = changes.select("sha", "block").distinct()
+    once = changes.select("sha", "block").repartition("sha").distinct()
     multi = once.join(once.groupBy("sha").count().where("count >= 2").select("sha"), "sha", "left_semi")
     n = multi.groupBy("block").agg(F.count("*").alias("n"))
-    pairs = commit_pairs(multi.withColumn("at", F.lit(None).cast("timestamp"))).groupBy("a", "b").agg(F.count("*").alias("co_changes"))
+    pairs = commit_pairs(once.withColumn("at", F.lit(None).cast("timestamp"))).groupBy("a", "b").agg(F.count("*").alias("co_changes"))
     out = pairs.join(n.select(F.col("block").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("block").alias("b"), F.col("n").alias("nb")), "b")
     return out.withColumn("frequency", F.col("co_changes") / F.greatest("na", "nb")).where(F.col("frequency") >= min_frequency).select("a", "b", "co_changes", "frequency")
