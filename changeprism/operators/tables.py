@@ -24,8 +24,9 @@ def upsert_last(old: DataFrame, new: DataFrame, keys: list[str], version: str) -
 def upsert_greatest(old: DataFrame, new: DataFrame, keys: list[str], measure: str, version: str) -> DataFrame:
     """As ``upsert_last``, but ``measure`` keeps its greatest value."""
     both = old.unionByName(new)
-    rest = [c for c in both.columns if c not in [*keys, measure]]
-    return both.groupBy(*keys).agg(F.max(measure).alias(measure), F.max_by(F.struct(*rest), F.struct(version, measure)).alias("r")).select(*keys, measure, "r.*")
+    w = Window.partitionBy(*keys)
+    last = F.row_number().over(w.orderBy(F.desc_nulls_last(version), F.desc_nulls_last(measure)))
+    return both.withColumn("_at", last).withColumn(measure, F.max(measure).over(w)).where("_at = 1").drop("_at")
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from changeprism.plans.history import _KEYS, _words
 from changeprism.plans.registry import Registry, as_of, r6
 from changeprism.plans.units import NOW, UNIT, _changes, _hits, _P, _risk, _RISK
 from changeprism.session import table
-from changeprism.sources import sinks
+from changeprism.sources import gitlog, sinks
 from changeprism.sources.gitlog import commit_files
 
 query = Registry()
@@ -333,3 +333,50 @@ def coupling_partners_with_samples(s, d):
     c = _changes(s, d).withColumn("sha", F.struct("repo_id", "sha"))
     p = summary.partners(c, [0, 1, 2, 3], samples=3)
     return p.select("other", "n", F.transform("sample", lambda x: x["sha"]).alias("sample"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS sha, p_partkey // 2 AS parent FROM part WHERE p_partkey > 1 AND p_partkey // 2 IN (SELECT p_partkey FROM part)), r AS (SELECT p_partkey AS sha, 0 AS depth FROM part WHERE p_partkey NOT IN (SELECT sha FROM e) UNION ALL SELECT e.sha, r.depth + 1 FROM r JOIN e ON e.parent = r.sha)
+SELECT r.sha, depth, row_number() OVER (ORDER BY depth, p_size, r.sha) - 1 AS position FROM r JOIN part ON p_partkey = r.sha""")
+def graph_topological_order(s, d):
+    """Half a part's number is its parent, its size the date."""
+    t = table(s, d, "part", "p_partkey", "p_size")
+    p = t.select(F.col("p_partkey").alias("sha"), F.when(F.col("p_partkey") > 1, F.array(F.expr("p_partkey div 2"))).alias("parents"), F.col("p_size").alias("date"))
+    return gitlog.topological_order(p).select("sha", "depth", "position")
+
+
+@query("""WITH p AS (SELECT p_brand, p_partkey::VARCHAR AS sha, (p_partkey // 2)::VARCHAR AS parent FROM part), g AS (SELECT p_brand, substr(sha256(sha), 1, 2) AS part, sha256(string_agg(sha || ':' || parent, chr(10) ORDER BY sha || ':' || parent)) AS h, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT p_brand, sum(n)::BIGINT AS commits, sha256(string_agg(h, chr(10) ORDER BY part)) AS hash FROM g GROUP BY 1""")
+def graph_parent_hash(s, d):
+    t = table(s, d, "part", "p_partkey", "p_brand")
+    p = t.select("p_brand", F.col("p_partkey").cast("string").alias("sha"), F.array(F.expr("p_partkey div 2").cast("string")).alias("parents"))
+    return gitlog.parent_graph_hash(p, ["p_brand"])
+
+
+@query("""SELECT id, 'cross-referenced' AS event, 'pr' AS source_type, pr_number AS source_number, '' AS source_sha FROM github_issue_pr_links WHERE pr_number IS NOT NULL AND issue_number IS NOT NULL UNION ALL SELECT id, 'closed', 'commit', -1, 'c' || id FROM github_issue_pr_links WHERE pr_number IS NOT NULL AND issue_number IS NOT NULL""")
+def graph_timeline_events(s, d):
+    """A timeline made of each link."""
+    t = table(s, d, "github_issue_pr_links", "id", "issue_number", "pr_number").where("pr_number IS NOT NULL AND issue_number IS NOT NULL")
+    doc = F.format_string('[{"event":"cross-referenced","source":{"type":"issue","issue":{"number":%d,"pull_request":{"url":"u"}}}},{"event":"closed","commit_id":"c%d"}]', "pr_number", "id")
+    e = gitlog.timeline_events(t.select(F.col("id").alias("repo_id"), "issue_number", doc.alias("events")))
+    return e.select(F.col("repo_id").alias("id"), "event", "source_type", F.coalesce("source_number", F.lit(-1)).alias("source_number"), F.coalesce("source_sha", F.lit("")).alias("source_sha"))
+
+
+@query(f"WITH {_Q} SELECT id FROM f WHERE regexp_matches(path, '{gitlog.SOURCE_NAME}') AND NOT regexp_matches(path, '{gitlog.SKIP_FOLDERS}') AND NOT regexp_matches(path, '{gitlog.GENERATED}')")
+def sync_source_files(s, d):
+    return gitlog.source_files(_paths(s, d)).select("id")
+
+
+@query("""WITH RECURSIVE l AS (SELECT id, k - 1 AS i, x, CASE WHEN b = '' OR regexp_matches(b, '^(?://|#|/\\*)') THEN 0 ELSE 2 * (length(b) - length(replace(b, '(', ''))) + 2 * (length(b) - length(replace(b, '{', ''))) + length(b) - length(replace(b, '=', '')) + length(b) - length(replace(b, '.', '')) + len(list_filter(string_split_regex(b, '\\s+'), lambda w: w <> '')) END AS d
+FROM (SELECT id, k, x, trim(regexp_replace(trim(x, ' '), '^[+-]', ''), ' ') AS b FROM (SELECT id, unnest(string_split(message, chr(10))) AS x, generate_subscripts(string_split(message, chr(10)), 1) AS k FROM github_commits WHERE message IS NOT NULL))),
+o AS (SELECT *, sum(length(x) // 4) OVER (PARTITION BY id ORDER BY d DESC, i ROWS UNBOUNDED PRECEDING) AS used FROM l) SELECT id, count(*) FILTER (used <= 12) AS lines FROM o GROUP BY 1""")
+def text_dense_lines(s, d):
+    """How many of the densest lines of a message fit into twelve tokens."""
+    t = table(s, d, "github_commits", "id", "message").where("message IS NOT NULL")
+    return t.select("id", F.size(text.dense_lines(F.split("message", "\n"), F.lit(12))).cast("bigint").alias("lines"))
+
+
+@query(f"WITH {_LAST} SELECT repo_id, issue_number AS issue, pr_number AS pr FROM github_issue_pr_links WHERE detection_method = 'github_timeline_verified' UNION ALL SELECT repo_id, issue_number, pr_number FROM github_issue_pr_links WHERE detection_method = 'explicit'")
+def link_reference_union(s, d):
+    """References of timelines and of texts one after the other; what both know stays twice."""
+    t = table(s, d, "github_issue_pr_links", "repo_id", "issue_number", "pr_number", "detection_method").toDF("repo_id", "issue", "pr", "method")
+    return t.where("method = 'github_timeline_verified'").drop("method").unionByName(t.where("method = 'explicit'").drop("method"))
