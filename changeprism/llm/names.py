@@ -116,6 +116,8 @@ ROLES = {"team", "dev", "devs", "engineering", "eng", "oss", "build", "code", "o
 LEGAL = {"inc", "ltd", "gmbh", "corp", "corporation", "llc", "ag", "sa", "co", "company", "systems", "software", "technologies", "technology", "tech", "laboratories", "labs", "lab", "consulting", "team", "the", "group", "solutions", "limited"}
 #: Q-gram length, least Jaccard similarity of the prefix filter, least soft weighted similarity, weight of a given name.
 Q, JACCARD, SOFT, GIVEN_WEIGHT = 2, 0.4, 0.86, 2.0
+#: Most typing errors in a family name where only the given name is shared.
+FAR_ERRORS = 1
 
 
 def fold(s: str | None) -> str:
@@ -267,6 +269,10 @@ def _shorten(user: str, family: str) -> tuple[str, str]:
     if family:
         if user == family or one_error(user, family) and len(user) == len(family):
             return user, ""
+        if len(family) > 3 and user.endswith(family):
+            return family, user[:1]
+        if len(family) > 3 and user.startswith(family):
+            return family, user[len(family) : len(family) + 1]
         for cut, ini in ((user[1:], user[:1]), (user[:-2], user[-2:-1]), (user[:-1], user[-1:])):
             if len(cut) > 3 and (cut == family or one_error(cut, family)):
                 return cut, ini
@@ -447,12 +453,14 @@ def resolve(people: DataFrame) -> DataFrame:
     rare = right.where("clue != 'a' AND p_family != ''").groupBy("p_family").agg(F.countDistinct("entity").alias("n")).crossJoin(total).select("p_family", _weight(F.col("n"), F.col("total")).alias("weight"))
     pairs = (
         left.join(found.withColumnRenamed("a", "token"), ["block", "token"])
+        .where(by_hand | (F.col("token") == F.col("b")))
         .join(right.drop("clue").withColumnRenamed("token", "b"), ["block", "b"])
         .join(clues, "block", "left").join(rare, "p_family", "left")
     )
     spelt = (F.col("family") != "") & (F.col("p_family") != "") & (F.col("guess") == "")
     weight = F.when(spelt, F.coalesce("weight", F.lit(0.0))).otherwise(0.0)
-    alike = 1.0 - errors(F.col("family"), F.col("p_family")) / F.greatest(F.length("family"), F.length("p_family"), F.lit(1))
+    apart = errors(F.col("family"), F.col("p_family"))
+    alike = 1.0 - apart / F.greatest(F.length("family"), F.length("p_family"), F.lit(1))
     given_alike = (
         F.when((F.col("given") != "") & (F.col("p_given") != ""), F.when(F.col("given") == F.col("p_given"), 1.0).otherwise(0.0))
         .when((F.col("initial") != "") & (F.col("p_initial") != ""), F.when(F.col("initial") == F.col("p_initial"), 0.9).otherwise(0.0))
@@ -461,7 +469,7 @@ def resolve(people: DataFrame) -> DataFrame:
     clue = F.coalesce("clue_weight", F.lit(0.0))
     scored = (
         pairs.withColumn("score", (weight * alike + GIVEN_WEIGHT * given_alike + clue) / (weight + GIVEN_WEIGHT + clue))
-        .where((F.col("score") >= SOFT) & ((given_alike > 0) | F.col("clue").isin("l", "a")))
+        .where((F.col("score") >= SOFT) & ((given_alike > 0) | F.col("clue").isin("l", "a")) & ((F.col("clue") != "g") | (apart <= FAR_ERRORS)))
         .groupBy("who", "repo_id", "entity")
         .agg(
             F.max(F.coalesce(F.col("first") == F.col("entity"), F.lit(False))).alias("mine"),
@@ -471,14 +479,16 @@ def resolve(people: DataFrame) -> DataFrame:
     w = Window.partitionBy("who", "repo_id").orderBy(F.desc("mine"), F.desc("holds"), F.desc("local"), F.desc("score"), "entity")
     rival = F.lead(F.struct("mine", "holds", "local", "score")).over(w)
     best = scored.select("who", "repo_id", "entity", "mine", "holds", "local", "score", F.row_number().over(w).alias("at"), rival.alias("rival")).where("at = 1")
-    best = best.where("mine OR rival IS NULL OR rival.holds < holds OR rival.local < local OR rival.score < score - 0.02").select(F.col("who").alias("w"), F.col("repo_id").alias("r"), "entity")
+    # of entities that are as good none is taken
+    taken = F.expr("mine OR rival IS NULL OR rival.holds < holds OR rival.local < local OR rival.score < score - 0.02")
+    best = best.select(F.col("who").alias("w"), F.col("repo_id").alias("r"), F.when(taken, F.col("entity")).alias("entity"), F.lit(True).alias("seen"))
     won = persons.join(best, (F.col("who") == F.col("w")) & F.col("repo_id").eqNullSafe(F.col("r")), "left")
     # identities of one address are one: what most of them won, else the address itself
     by = Window.partitionBy("address")
     common = F.when(_alone() & F.col("own").isNull(), F.mode("entity", deterministic=True).over(by))
     itself = (
         F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("login") != "", F.concat(F.lit("L|"), F.col("login")))
-        .when((F.col("family") != "") & (F.col("given") != "") & ~_alone(), F.concat_ws("|", F.lit("N"), "family", "given"))
+        .when((F.col("family") != "") & (F.col("given") != "") & F.col("seen").isNull(), F.concat_ws("|", F.lit("N"), "family", "given"))  # a name that no reference has
         .when(F.col("address") != "", F.concat(F.lit("E|"), F.col("address"))).when(F.col("family") != "", F.concat_ws("|", F.lit("M"), "family", "given", "initial"))
     )
     rest = won.select("who", "repo_id", F.coalesce(common, "entity", itself).alias("entity")).where("entity IS NOT NULL")
