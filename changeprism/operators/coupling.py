@@ -85,3 +85,20 @@ def file_cochange(changes: DataFrame, min_frequency: float) -> DataFrame:
     pairs = commit_pairs(once.withColumn("at", F.lit(None).cast("timestamp"))).groupBy("a", "b").agg(F.count("*").alias("co_changes"))
     out = pairs.join(n.select(F.col("block").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("block").alias("b"), F.col("n").alias("nb")), "b")
     return out.withColumn("frequency", F.col("co_changes") / F.greatest("na", "nb")).where(F.col("frequency") >= min_frequency).select("a", "b", "co_changes", "frequency")
+
+
+def partner_shares(changes: DataFrame, as_of: Column, days: int = 90, min_share: float = 0.5, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, block, other, n, share, rank): of the commits of each unit in the window the share in which another unit changed too,
+    the ``k`` greatest shares above ``min_share``."""
+    once = changes.where(in_window("at", as_of, days)).select(*by, "sha", "block", "at").repartition(*by, "sha").groupBy(*by, "sha", "block").agg(F.max("at").alias("at"))
+    n = commit_pairs(once, by).groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
+    both = n.select(*by, F.col("a").alias("block"), F.col("b").alias("other"), "n").unionByName(n.select(*by, F.col("b").alias("block"), F.col("a").alias("other"), "n"))
+    total = once.groupBy(*by, "block").agg(F.count("*").alias("total"))
+    w = Window.partitionBy(*by, "block").orderBy(F.desc("share"), "other")
+    s = both.join(total, [*by, "block"]).withColumn("share", F.col("n") / F.col("total")).where(F.col("share") > min_share)
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "block", "other", "n", "share", "rank")
+
+
+def partner_counts(changes: DataFrame, as_of: Column, days: int = 90, min_share: float = 0.3, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, block, partners): how many units changed in more than ``min_share`` of a unit's commits."""
+    return partner_shares(changes, as_of, days, min_share, 2**31 - 1, by).groupBy(*by, "block").agg(F.count("*").alias("partners"))

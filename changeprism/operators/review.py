@@ -113,7 +113,8 @@ def _same(word: str):
 
 
 def search(docs: DataFrame, key: str, fields: list[tuple[str, float]], query: str, k: int = 10) -> DataFrame:
-    """(key, score): documents that hold every word of ``query``, by weighted word counts; no stemming."""
+    """(key, score, level): documents that hold every word of ``query``, by weighted word counts; no stemming. The level is high
+    above half and medium above a fifth of the greatest score."""
     words = sorted({w for w in query.lower().split() if w})
     score = F.lit(0.0)
     every = F.lit(True)
@@ -121,7 +122,9 @@ def search(docs: DataFrame, key: str, fields: list[tuple[str, float]], query: st
         hits = [F.size(F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"[^a-z0-9]+"), _same(w))) for c, _ in fields]
         every = every & (sum(hits) > 0)
         score = score + sum(h * x for h, (_, x) in zip(hits, fields, strict=True))
-    return docs.where(every).select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
+    best = docs.where(every).select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
+    share = F.col("score") / F.max("score").over(Window.partitionBy())  # k rows
+    return best.withColumn("level", F.when(share > 0.5, "high").when(share > 0.2, "medium").otherwise("low")).orderBy(F.desc("score"), key)
 
 
 def unprocessed(rows: DataFrame, at: str, limit: int) -> DataFrame:

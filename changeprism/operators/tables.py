@@ -38,6 +38,11 @@ def missing(source: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame
     return source.join(present.select(*keys), keys, "left_anti")
 
 
+def present(source: DataFrame, there: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``source`` whose key is in ``there``, such as commits on a default branch."""
+    return source.join(there.select(*keys).distinct(), keys, "left_semi")
+
+
 def consistency(counts: dict[str, tuple[DataFrame, DataFrame]], least: float = 95.0) -> DataFrame:
     """(entity, source_rows, target_rows, percent, ok) of each pair of tables."""
     out = None

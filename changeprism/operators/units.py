@@ -146,6 +146,16 @@ def hotspot_score(coupling: Column, ratio: Column, cochange: Column) -> Column:
     return F.least(F.lit(1.0), a + F.coalesce((1.0 - ratio) * 0.3, F.lit(0.0)) + F.coalesce(cochange * 0.4, F.lit(0.0)))
 
 
+def reputation(coupling: Column, ratio: Column, cochange: Column) -> Column:
+    """1 less up to 0.3 for missing tests, 0.3 for coupling (all at 20) and 0.2 for co-change; 0 at least."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return F.greatest(F.lit(0.0), 1.0 - zero((1.0 - ratio) * 0.3) - zero(F.least(coupling / 20.0, F.lit(1.0)) * 0.3) - zero(cochange * 0.2))
+
+
+def display_score(level: Column) -> Column:
+    return F.when(level == "HIGH", 8.0).when(level == "MEDIUM", 5.0).when(level == "LOW", 2.0).otherwise(0.0)
+
+
 def evidence_score(evidence: DataFrame, by: str) -> DataFrame:
     """(by, score): mean severities of incident, co_change and ownership evidence (by, kind, severity) by 0.5, 0.3 and 0.2, at
     most 1; a kind without evidence counts 0."""

@@ -285,3 +285,31 @@ def sync_links_except_issues(s, d):
 def incident_coverage(s, d):
     h = table(s, d, "lineitem", "l_orderkey", "l_suppkey", "l_returnflag").where("l_returnflag = 'R'")
     return incidents.coverage({"blocks": (h.select(F.col("l_suppkey").alias("k")), table(s, d, "supplier", "s_suppkey")), "orders": (h.select(F.col("l_orderkey").alias("k")), table(s, d, "orders", "o_orderkey"))}).select("metric", *r6("percent"))
+
+
+_S = f"""{_U}, o AS (SELECT DISTINCT repo_id, sha, block FROM ch WHERE t_at >= TIMESTAMP '2001-08-01' - INTERVAL 365 DAYS), q AS (SELECT x.repo_id, x.block, y.block AS other, count(*) AS n FROM o x JOIN o y ON x.repo_id = y.repo_id AND x.sha = y.sha AND x.block <> y.block GROUP BY 1, 2, 3),
+t AS (SELECT repo_id, block, count(*) AS total FROM o GROUP BY 1, 2), s AS (SELECT q.repo_id, q.block, other, n, n / total::DOUBLE AS share FROM q JOIN t ON t.repo_id = q.repo_id AND t.block = q.block WHERE n / total::DOUBLE > 2e-2)"""
+
+
+@query(f"WITH {_S} SELECT repo_id, block, other, n, round(share, 6) AS share, row_number() OVER (PARTITION BY repo_id, block ORDER BY share DESC, other)::INT AS rank FROM s QUALIFY rank <= 10")
+def coupling_partner_shares(s, d):
+    """A year and a fiftieth of the commits, as these tables are sparse."""
+    return coupling.partner_shares(_changes(s, d), as_of(NOW), 365, 0.02, by=("repo_id",)).select("repo_id", "block", "other", "n", *r6("share"), "rank")
+
+
+@query(f"WITH {_S} SELECT repo_id, block, count(*) AS partners FROM s GROUP BY 1, 2")
+def coupling_partner_counts(s, d):
+    return coupling.partner_counts(_changes(s, d), as_of(NOW), 365, 0.02, ("repo_id",))
+
+
+@query(f"WITH {_RISK}, x AS (SELECT repo_id, block, incidents AS c, incidents / 20e0 AS f, (1e0 + staleness_days) / 31 AS t FROM w) SELECT repo_id, block, round(greatest(0e0, 1 - (1 - t) * 3e-1 - least(c / 20e0, 1e0) * 3e-1 - f * 2e-1), 6) AS reputation, CASE WHEN c > 10 THEN 8e0 WHEN c > 5 THEN 5e0 ELSE 2e0 END AS display FROM x")
+def risk_reputation(s, d):
+    c, f, t = F.col("incidents"), F.col("incidents") / 20.0, (1.0 + F.col("staleness_days")) / 31
+    return _risk(s, d).select(*UNIT, F.round(units.reputation(c, t, f), 6).alias("reputation"), units.display_score(units.coupling_class(c)).alias("display"))
+
+
+@query("SELECT p.id FROM github_pull_requests p WHERE EXISTS (SELECT 1 FROM github_repositories r WHERE r.id = p.repo_id AND r.default_branch = p.base_ref)")
+def sync_default_branch(s, d):
+    """Pull requests into the default branch of their repository."""
+    r = table(s, d, "github_repositories", "id", "default_branch").toDF("repo_id", "base_ref")
+    return tables.present(table(s, d, "github_pull_requests", "id", "repo_id", "base_ref"), r, ["repo_id", "base_ref"]).select("id")

@@ -3,10 +3,12 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from changeprism.functions import diff, text
-from changeprism.operators import extractors, graph, linking, quality, report, units
+from changeprism.operators import extractors, graph, linking, quality, report, review, units
+from changeprism.operators.tools import call
 from changeprism.sources import sinks
 
 
@@ -134,3 +136,15 @@ def test_sinks(spark, tmp_path):
     assert sinks.document(df, "1.0", "repo_id").orderBy("repo_id").collect()[1].doc == '{"version":"1.0","data":{"repo_id":2,"v":null}}'
     h = spark.createDataFrame([(1, "h1"), (2, "h2")], "repo_id int, hash string")
     assert [r.repo_id for r in report.invalidated(df, h, h.withColumn("hash", F.when(F.col("repo_id") == 2, "h3").otherwise(F.col("hash")))).collect()] == [1]
+
+
+def test_tools(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    assert {(r.file, r.dependents) for r in call("blast_radius", e, 2, 5).collect()} == {("b", 1), ("c", 2)}
+    with pytest.raises(KeyError, match="risk_report"):
+        call("nothing")
+
+
+def test_search_levels(spark):
+    d = spark.createDataFrame([(1, "bug bug bug bug bug"), (2, "bug"), (3, "bug bug"), (4, None)], "id int, t string")
+    assert [(r.id, r.level) for r in review.search(d, "id", [("t", 1.0)], "Bug").collect()] == [(1, "high"), (3, "medium"), (2, "low")]
