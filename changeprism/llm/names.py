@@ -483,15 +483,16 @@ def resolve(people: DataFrame) -> DataFrame:
     taken = F.expr("mine OR rival IS NULL OR rival.holds < holds OR rival.local < local OR rival.score < score - 0.02")
     best = best.select(F.col("who").alias("w"), F.col("repo_id").alias("r"), F.when(taken, F.col("entity")).alias("entity"), F.lit(True).alias("seen"))
     won = persons.join(best, (F.col("who") == F.col("w")) & F.col("repo_id").eqNullSafe(F.col("r")), "left")
-    # identities of one address are one: what most of them won, else the address itself
-    by = Window.partitionBy("address")
-    common = F.when(_alone() & F.col("own").isNull(), F.mode("entity", deterministic=True).over(by))
     itself = (
         F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("login") != "", F.concat(F.lit("L|"), F.col("login")))
         .when((F.col("family") != "") & (F.col("given") != "") & F.col("seen").isNull(), F.concat_ws("|", F.lit("N"), "family", "given"))  # a name that no reference has
         .when(F.col("address") != "", F.concat(F.lit("E|"), F.col("address"))).when(F.col("family") != "", F.concat_ws("|", F.lit("M"), "family", "given", "initial"))
     )
-    rest = won.select("who", "repo_id", F.coalesce(common, "entity", itself).alias("entity")).where("entity IS NOT NULL")
+    shared = F.when(_alone() & F.col("own").isNull(), F.col("address"))
+    won = cut_lineage(won.select("who", "repo_id", shared.alias("address"), "entity", itself.alias("itself")))
+    # identities of one address are one: what most of them won, else the address itself
+    common = won.where("address IS NOT NULL AND entity IS NOT NULL").groupBy("address").agg(F.mode("entity", deterministic=True).alias("common"))
+    rest = won.join(common, "address", "left").select("who", "repo_id", F.coalesce("common", "entity", "itself").alias("entity")).where("entity IS NOT NULL")
     return roles.unionByName(rest)
 
 
