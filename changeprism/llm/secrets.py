@@ -209,11 +209,11 @@ class _Lexer:
         for i, k in enumerate(kind):
             if k == "w":
                 name = value[i].strip("$@").rstrip("-.")
-                if credential_name(name):
+                if credential_name(name[-60:]):
                     self._after(i, name, taken)
                 elif name[:4].lower() == "auth":
                     self._pair(i, taken)
-            elif k in _STRINGS and 2 <= len(value[i]) <= 100 and _KEY_WORD.fullmatch(value[i]) and credential_name(value[i]):
+            elif k in _STRINGS and len(value[i]) > 1 and _KEY_WORD.fullmatch(value[i]) and credential_name(value[i][-60:]):  # the end of a name decides
                 self._after(i, value[i], taken)
         for i, k in enumerate(kind):
             if k in _STRINGS and i not in taken and len(value[i]) > 8 and _INSIDE.search(value[i]):
