@@ -8,8 +8,9 @@ blocks that share a clue (organisation, login, address; for identities without a
 name): grams are ordered by document frequency, and pairs of the rarest grams are the join keys. What the join finds is
 verified by a soft weighted token similarity, in which each token weighs its inverse relative frequency, near-equal
 tokens count in part and an exchange of neighbours is one error. The best verified entity wins if no other is as good;
-else the identity stands for itself, under its address, its login or its name. An address that one person alone can have
-leads to the only entity that has it, decides between entities that are as good, and identities of one address are one.
+else the identity stands for itself, under a name that no reference has, its address or its login. An address that one
+person alone can have leads to the only entity that has it, decides between entities that are as good, and identities of
+one address are one.
 
 Hosts where anyone may have an address are found in the data: their people are at home in many other organisations.
 
@@ -439,18 +440,23 @@ def resolve(people: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     ids = people.select("who", "repo_id", *(text(f).alias(f) for f in _FIELDS))
     ids = ids.join(shared_hosts(ids).withColumn("shared", F.lit(True)), "org", "left").withColumn("org", F.when(F.col("shared"), F.col("work")).otherwise(F.col("org"))).drop("shared", "work")
-    roles = ids.where("role = '1'").select("who", "repo_id", F.concat(F.lit("O|"), F.col("org")).alias("entity"))
+    roles = ids.where("role = '1' AND org != ''").select("who", "repo_id", "org", F.lit("O").alias("block"))
     persons = cut_lineage(_keyed(ids))
     references = persons.where("first IS NOT NULL AND (typed = '' OR family = '')")
-    right = references.select(F.explode(_tokens(False)).alias("t"), F.col("first").alias("entity"), "family", "given", "initial").select("t.*", "entity", F.col("family").alias("p_family"), F.col("given").alias("p_given"), F.col("initial").alias("p_initial")).distinct()
+    # a login or an address under a name that nothing spells leads to the entity too, where no better way does
+    weak = persons.where("first IS NOT NULL AND own IS NULL AND typed != '' AND family != ''")
+    tokens = lambda df, on: df.select(F.explode(_tokens(False)).alias("t"), F.col("first").alias("entity"), "family", "given", "initial", F.lit(on).alias("weak")).select("t.*", "entity", F.col("family").alias("p_family"), F.col("given").alias("p_given"), F.col("initial").alias("p_initial"), "weak")
+    right = tokens(references, False).unionByName(tokens(weak, True).where("clue IN ('l', 'a')")).distinct()
     left = persons.select("who", "repo_id", "first", "own", "family", "given", "initial", "typed", "guess", F.explode(_tokens(True)).alias("t")).select("*", "t.*").drop("t")
     # what an address spells, logins and addresses are no typing errors: there only the same grams will do (one key each)
     by_hand = (F.col("typed") == "1") & F.col("clue").isin("o", "r", "g")
-    found = similar_tokens(left.withColumn("exact", ~by_hand), right)
+    org = roles.select("block", F.col("org").alias("token"))
+    asked = left.select("block", "token", (~by_hand).alias("exact")).unionByName(org.withColumn("exact", F.lit(True)))
+    found = similar_tokens(asked, right.select("block", "token").unionByName(org))
     # by how many references a clue or a family name is shared
     total = references.agg(F.greatest(F.count("*"), F.lit(1000)).alias("total"))  # one row
     clues = right.where("clue IN ('o', 'l', 'a')").groupBy("block").agg(F.countDistinct("entity").alias("n")).crossJoin(total).select("block", _weight(F.col("n"), F.col("total")).alias("clue_weight"))
-    rare = right.where("clue != 'a' AND p_family != ''").groupBy("p_family").agg(F.countDistinct("entity").alias("n")).crossJoin(total).select("p_family", _weight(F.col("n"), F.col("total")).alias("weight"))
+    rare = right.where("NOT weak AND p_family != ''").groupBy("p_family").agg(F.countDistinct("entity").alias("n")).crossJoin(total).select("p_family", _weight(F.col("n"), F.col("total")).alias("weight"))
     pairs = (
         left.join(found.withColumnRenamed("a", "token"), ["block", "token"])
         .where(by_hand | (F.col("token") == F.col("b")))
@@ -468,12 +474,12 @@ def resolve(people: DataFrame) -> DataFrame:
     )
     clue = F.coalesce("clue_weight", F.lit(0.0))
     scored = (
-        pairs.withColumn("score", (weight * alike + GIVEN_WEIGHT * given_alike + clue) / (weight + GIVEN_WEIGHT + clue))
+        pairs.withColumn("score", F.when(F.col("weak"), SOFT).otherwise((weight * alike + GIVEN_WEIGHT * given_alike + clue) / (weight + GIVEN_WEIGHT + clue)))
         .where((F.col("score") >= SOFT) & ((given_alike > 0) | F.col("clue").isin("l", "a")) & ((F.col("clue") != "g") | (apart <= FAR_ERRORS)))
         .groupBy("who", "repo_id", "entity")
         .agg(
-            F.max(F.coalesce(F.col("first") == F.col("entity"), F.lit(False))).alias("mine"),
-            F.max((F.col("clue") == "a").cast("int")).alias("holds"), F.max(F.col("clue").isin("o", "l", "r").cast("int")).alias("local"), F.max("score").alias("score"),
+            F.max(F.coalesce(F.col("first") == F.col("entity"), F.lit(False)) & ~F.col("weak")).alias("mine"),
+            F.max(((F.col("clue") == "a") & ~F.col("weak")).cast("int")).alias("holds"), F.max((F.col("clue").isin("o", "l", "r") & ~F.col("weak")).cast("int")).alias("local"), F.max("score").alias("score"),
         )
     )
     w = Window.partitionBy("who", "repo_id").orderBy(F.desc("mine"), F.desc("holds"), F.desc("local"), F.desc("score"), "entity")
@@ -481,19 +487,20 @@ def resolve(people: DataFrame) -> DataFrame:
     best = scored.select("who", "repo_id", "entity", "mine", "holds", "local", "score", F.row_number().over(w).alias("at"), rival.alias("rival")).where("at = 1")
     # of entities that are as good none is taken
     taken = F.expr("mine OR rival IS NULL OR rival.holds < holds OR rival.local < local OR rival.score < score - 0.02")
-    best = best.select(F.col("who").alias("w"), F.col("repo_id").alias("r"), F.when(taken, F.col("entity")).alias("entity"), F.lit(True).alias("seen"))
+    best = best.select(F.col("who").alias("w"), F.col("repo_id").alias("r"), F.when(taken, F.col("entity")).alias("entity"))
     won = persons.join(best, (F.col("who") == F.col("w")) & F.col("repo_id").eqNullSafe(F.col("r")), "left")
+    won = won.join(references.where("given != ''").select("family", "given").distinct().withColumn("known", F.lit(True)), ["family", "given"], "left")
     itself = (
-        F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("login") != "", F.concat(F.lit("L|"), F.col("login")))
-        .when((F.col("family") != "") & (F.col("given") != "") & F.col("seen").isNull(), F.concat_ws("|", F.lit("N"), "family", "given"))  # a name that no reference has
-        .when(F.col("address") != "", F.concat(F.lit("E|"), F.col("address"))).when(F.col("family") != "", F.concat_ws("|", F.lit("M"), "family", "given", "initial"))
+        F.when((F.col("family") != "") & (F.col("given") != "") & F.col("known").isNull(), F.concat_ws("|", F.lit("N"), "family", "given"))  # a name that no reference has
+        .when(F.col("address") != "", F.concat(F.lit("E|"), F.col("address"))).when(F.col("family") != "", F.concat_ws("|", F.lit("M"), "family", "given", "initial")).otherwise(F.concat(F.lit("L|"), F.col("login")))
     )
     shared = F.when(_alone() & F.col("own").isNull(), F.col("address"))
     won = cut_lineage(won.select("who", "repo_id", shared.alias("address"), "entity", itself.alias("itself")))
     # identities of one address are one: what most of them won, else the address itself
     common = won.where("address IS NOT NULL AND entity IS NOT NULL").groupBy("address").agg(F.mode("entity", deterministic=True).alias("common"))
     rest = won.join(common, "address", "left").select("who", "repo_id", F.coalesce("common", "entity", "itself").alias("entity")).where("entity IS NOT NULL")
-    return roles.unionByName(rest)
+    accounts = roles.join(found.where("block = 'O'"), (roles.block == found.block) & (F.col("org") == F.col("a"))).select("who", "repo_id", F.concat(F.lit("O|"), F.col("b")).alias("entity"))
+    return accounts.unionByName(rest)
 
 
 def members(developers: DataFrame, commits: DataFrame) -> DataFrame:
