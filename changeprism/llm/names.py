@@ -452,7 +452,7 @@ def resolve(people: DataFrame) -> DataFrame:
     by_hand = (F.col("typed") == "1") & F.col("clue").isin("o", "r", "g")
     org = roles.select("block", F.col("org").alias("token"))
     asked = left.select("block", "token", (~by_hand).alias("exact")).unionByName(org.withColumn("exact", F.lit(True)))
-    found = similar_tokens(asked, right.select("block", "token").unionByName(org))
+    found = cut_lineage(similar_tokens(asked, right.select("block", "token").unionByName(org)))
     # by how many references a clue or a family name is shared
     total = references.agg(F.greatest(F.count("*"), F.lit(1000)).alias("total"))  # one row
     clues = right.where("clue IN ('o', 'l', 'a')").groupBy("block").agg(F.countDistinct("entity").alias("n")).crossJoin(total).select("block", _weight(F.col("n"), F.col("total")).alias("clue_weight"))
@@ -482,6 +482,7 @@ def resolve(people: DataFrame) -> DataFrame:
             F.max(((F.col("clue") == "a") & ~F.col("weak")).cast("int")).alias("holds"), F.max((F.col("clue").isin("o", "l", "r") & ~F.col("weak")).cast("int")).alias("local"), F.max("score").alias("score"),
         )
     )
+    scored = cut_lineage(scored)  # short plans keep the driver small
     w = Window.partitionBy("who", "repo_id").orderBy(F.desc("mine"), F.desc("holds"), F.desc("local"), F.desc("score"), "entity")
     rival = F.lead(F.struct("mine", "holds", "local", "score")).over(w)
     best = scored.select("who", "repo_id", "entity", "mine", "holds", "local", "score", F.row_number().over(w).alias("at"), rival.alias("rival")).where("at = 1")
@@ -495,7 +496,7 @@ def resolve(people: DataFrame) -> DataFrame:
         .when(F.col("address") != "", F.concat(F.lit("E|"), F.col("address"))).when(F.col("family") != "", F.concat_ws("|", F.lit("M"), "family", "given", "initial")).otherwise(F.concat(F.lit("L|"), F.col("login")))
     )
     shared = F.when(_alone() & F.col("own").isNull(), F.col("address"))
-    won = cut_lineage(won.select("who", "repo_id", shared.alias("address"), "entity", itself.alias("itself")))
+    won = won.select("who", "repo_id", shared.alias("address"), "entity", itself.alias("itself"))
     # identities of one address are one: what most of them won, else the address itself
     common = won.where("address IS NOT NULL AND entity IS NOT NULL").groupBy("address").agg(F.mode("entity", deterministic=True).alias("common"))
     rest = won.join(common, "address", "left").select("who", "repo_id", F.coalesce("common", "entity", "itself").alias("entity")).where("entity IS NOT NULL")
