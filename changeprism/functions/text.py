@@ -21,18 +21,30 @@ def stem(w: Column) -> Column:
     return out.otherwise(w)
 
 
-def keywords(text: Column) -> Column:
-    """Distinct keywords of a text and their stems, sorted."""
+def keyword_set(text: Column) -> Column:
+    """Distinct keywords of a text and their stems."""
     clean = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"https?://[^\s]+", ""), r"\*\*|__|##|```", "")
-    words = F.regexp_extract_all(clean, F.lit(r"([a-z0-9]+(?:[_-][a-z0-9]+)*)"), F.lit(1))
+    words = F.array_distinct(F.regexp_extract_all(clean, F.lit(r"([a-z0-9]+(?:[_-][a-z0-9]+)*)"), F.lit(1)))
     kept = F.filter(words, lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) >= 2) & ~w.rlike(r"^[0-9]+$"))
-    return F.array_sort(F.array_distinct(F.concat(kept, F.transform(kept, stem))))
+    # an array of one gives the words a name, so that they are read once
+    return F.transform(F.array(kept), lambda k: F.array_distinct(F.concat(k, F.transform(k, stem))))[0]
+
+
+def keywords(text: Column) -> Column:
+    """Distinct keywords of a text and their stems, sorted."""
+    return F.array_sort(keyword_set(text))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
+def jaccard_of_sets(a: Column, b: Column) -> Column:
+    """As ``jaccard``, of arrays without repeated values; the intersection alone is made, once."""
+    n = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(n, F.size(a) + F.size(b) - n), F.lit(0.0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.sqrt(F.size(a) * F.size(b)))
 

@@ -13,16 +13,18 @@ def micros(c: Column) -> Column:
 
 
 def within(left: DataFrame, right: DataFrame, tolerance_us: int = DAY_US) -> DataFrame:
-    """(key, left_id, right_id, delta_us) with |delta| < tolerance, for ``left`` and ``right`` (key, id, at bigint).
+    """(key, left_id, right_id, delta_us) with |delta| < tolerance, for ``left`` and ``right`` (key, id, at bigint), and any other
+    columns of the two, which must have names of their own.
 
     The right rows go to the bands of width ``tolerance`` before, of and after theirs, so the join is an equi join on
     (key, band) that spreads one key over its bands.
     """
     band = lambda c: F.floor(F.col(c) / F.lit(tolerance_us)).cast("bigint")
-    a = left.where("at IS NOT NULL").select("key", F.col("id").alias("left_id"), F.col("at").alias("left_at"), band("at").alias("band"))
-    b = right.where("at IS NOT NULL").select("key", F.col("id").alias("right_id"), F.col("at").alias("right_at"), F.explode(F.array(band("at") - 1, band("at"), band("at") + 1)).alias("band"))
+    more = [[c for c in df.columns if c not in ("key", "id", "at")] for df in (left, right)]
+    a = left.where("at IS NOT NULL").select("key", F.col("id").alias("left_id"), F.col("at").alias("left_at"), *more[0], band("at").alias("band"))
+    b = right.where("at IS NOT NULL").select("key", F.col("id").alias("right_id"), F.col("at").alias("right_at"), *more[1], F.explode(F.array(band("at") - 1, band("at"), band("at") + 1)).alias("band"))
     delta = F.col("left_at") - F.col("right_at")
-    return a.join(b, ["key", "band"]).where(F.abs(delta) < tolerance_us).select("key", "left_id", "right_id", delta.alias("delta_us"))
+    return a.join(b, ["key", "band"]).where(F.abs(delta) < tolerance_us).select("key", "left_id", "right_id", delta.alias("delta_us"), *more[0], *more[1])
 
 
 def nearest_k(pairs: DataFrame, k: int) -> DataFrame:
