@@ -158,7 +158,9 @@ def text_issue_pull_similarity(s, d):
 SELECT issue_id, pull_id, round(CASE WHEN similarity >= 2e-1 THEN least(base + 1e-1, 98e-2) WHEN similarity >= 1e-1 THEN least(base + 5e-2, 98e-2) ELSE base END, 6) AS confidence,
 CASE WHEN abs(us) < 300000000 THEN 'temporal_match_5min' WHEN abs(us) < 3600000000 THEN 'temporal_match_1hr' ELSE 'temporal_match_24hr' END || CASE WHEN similarity >= 1e-1 THEN ' semantic_boost' ELSE '' END AS evidence FROM b""")
 def link_accepted(s, d):
-    a = _similar(s, d).select("issue_id", "pull_id", linking.accepted(F.col("us"), F.col("similarity")).alias("a")).where("a IS NOT NULL")
+    # a filter on what explode gives is not moved into the join, where the texts would be compared again for each use
+    n = _similar(s, d).select("issue_id", "pull_id", "us", F.explode(F.array("similarity")).alias("similarity"))
+    a = n.select("issue_id", "pull_id", linking.accepted(F.col("us"), F.col("similarity")).alias("a")).where("a IS NOT NULL")
     return a.select("issue_id", "pull_id", F.round("a.confidence", 6).alias("confidence"), F.concat_ws(" ", "a.evidence").alias("evidence"))
 
 

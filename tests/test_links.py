@@ -37,3 +37,17 @@ def test_texts_are_read_before_the_pairs_are_made(spark, busy):
     plan = entry.queries()["text_issue_pull_similarity"](spark, busy)._jdf.queryExecution().optimizedPlan().toString()
     above, join, below = re.split(r"(\bJoin Inner.*)", plan, maxsplit=1)[:3]
     assert "regexp" not in above + join and "regexp" in below
+
+
+def test_accepted_pairs_equal_sql(spark, busy):
+    want = duck(busy, entry.oracle_sql()["link_accepted"])
+    assert want.evidence.nunique() > 4 and len(want) < len(duck(busy, entry.oracle_sql()["text_issue_pull_similarity"]))
+    assert not differs(entry.queries()["link_accepted"](spark, busy), want)
+
+
+def test_accepted_pairs_are_compared_once(spark, busy):
+    """Neither the join's condition nor a filter makes the similarity again."""
+    plan = entry.queries()["link_accepted"](spark, busy)._jdf.queryExecution().optimizedPlan().toString()
+    above, join = re.split(r"(\bJoin Inner.*)", plan, maxsplit=1)[:2]
+    assert "regexp" not in above + join and "array_intersect" not in join
+    assert sum("array_intersect" in line for line in above.splitlines()) == 1
