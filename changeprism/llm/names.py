@@ -334,9 +334,10 @@ def similar_tokens(left: DataFrame, right: DataFrame, least: float = JACCARD) ->
     The pairs of those, rarest grams first, are the join keys: one for an exact token and for tokens of blocks in which all
     are exact. They are made once for each token of the vocabulary and not for each block.
     """
-    asked = left.select("block", F.col("token").alias("a"), (F.col("exact") if "exact" in left.columns else F.lit(False)).alias("exact")).distinct()
-    given = right.select("block", F.col("token").alias("b")).distinct()
-    words = asked.select(F.col("a").alias("token")).unionByName(given.select(F.col("b").alias("token"))).distinct().withColumn("gram", F.explode(_grams(F.col("token"))))
+    asked = left.select(F.lit(False).alias("given"), "block", "token", (F.col("exact") if "exact" in left.columns else F.lit(False)).alias("exact"))
+    tokens = cut_lineage(asked.unionByName(right.select(F.lit(True).alias("given"), "block", "token", F.lit(False).alias("exact"))).distinct())  # read seven times below
+    asked, given = tokens.where("NOT given").select("block", F.col("token").alias("a"), "exact"), tokens.where("given").select("block", F.col("token").alias("b"))
+    words = tokens.select("token").distinct().withColumn("gram", F.explode(_grams(F.col("token"))))
     # at most |alphabet|**Q rows
     rank = words.groupBy("gram").agg(F.count("*").alias("n"))
     ranked = words.join(rank, "gram").groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda x: x["gram"]).alias("g"))
@@ -440,6 +441,7 @@ def resolve(people: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     ids = people.select("who", "repo_id", *(text(f).alias(f) for f in _FIELDS))
     ids = ids.join(shared_hosts(ids).withColumn("shared", F.lit(True)), "org", "left").withColumn("org", F.when(F.col("shared"), F.col("work")).otherwise(F.col("org"))).drop("shared", "work")
+    ids = cut_lineage(ids)
     roles = ids.where("role = '1' AND org != ''").select("who", "repo_id", "org", F.lit("O").alias("block"))
     persons = cut_lineage(_keyed(ids))
     references = persons.where("first IS NOT NULL AND (typed = '' OR family = '')")

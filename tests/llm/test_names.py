@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from changeprism.llm import names
 from changeprism.llm.names import JACCARD, Q, Reader, errors, fold, identities, linked, members, one_error, shared_hosts, similar_tokens
+from changeprism.session import cut_lineage
 
 
 def test_reading():
@@ -87,6 +88,21 @@ def test_hosts_of_many_homes_are_shared(spark):
     assert [r.org for r in shared_hosts(ids).collect()] == ["bigmail"]
 
 
+def test_plans_stay_short(spark, monkeypatch):
+    """The parts used most often are cut first: the driver's memory goes into plans, not rows."""
+    nodes = []
+
+    def cut(df, eager=True):
+        nodes.append(len(df._jdf.queryExecution().executedPlan().toString().splitlines()))
+        return cut_lineage(df, eager)
+
+    monkeypatch.setattr(names, "cut_lineage", cut)
+    devs = spark.createDataFrame([(1, 1, "Robert Smithson", "robert.smithson@acmeworks.example", "robsm"), (2, 2, "Acmeworks Systems", "team@acmeworks.example", None)], "id long, repo_id long, name string, email string, github_login string")
+    commits = spark.createDataFrame([(10, 1, "Bob Smithson", "x@localhost")], "id long, repo_id long, author_name string, author_email string")
+    linked(devs, commits)
+    assert max(nodes) < 250 and sum(nodes) < 1000, nodes
+
+
 def test_links_come_through_the_join(spark, monkeypatch):
     devs = spark.createDataFrame([(1, 1, "Robert Smithson", "robert.smithson@acmeworks.example", "robsm"), (2, 2, "Smithson, Bob", "rsmithson@acmeworks.example", None), (3, 3, "Bob Smithson", None, "robsm")], "id long, repo_id long, name string, email string, github_login string")
     commits = spark.createDataFrame([], "id long, repo_id long, author_name string, author_email string")
