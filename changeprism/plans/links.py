@@ -141,11 +141,14 @@ def _similar(s: SparkSession, d: str) -> DataFrame:
 
     def timed(t: DataFrame, at: str, side: str) -> DataFrame:
         t = t.where(F.col(at).isNotNull()).select(F.col("repo_id").alias("key"), "id", linking.micros(F.col(at)).alias("at"), text.keyword_set(F.col("title")).alias("title"), text.keyword_set(F.col("body")).alias("body"))
+        t = t.select("key", "id", "at", text.packed(F.col("title")).alias("title"), text.packed(F.col("body")).alias("body"))
         # no keyword reaches over the blank between title and body
-        return t.select("key", "id", "at", F.col("title").alias(f"{side}_title"), F.array_union("title", "body").alias(f"{side}_whole"))
+        return t.select("key", "id", "at", F.col("title").alias(f"{side}_title"), text.packed_union(F.col("title"), F.col("body")).alias(f"{side}_whole"))
 
     n = linking.within(timed(issues(s, d, "body"), "closed_at", "i"), timed(pulls(s, d, "body"), "merged_at", "p"))
-    alike = F.greatest(*(text.jaccard_of_sets(F.col(f"i_{x}"), F.col(f"p_{x}")) for x in ("title", "whole")))
+    both = [(x, F.col(f"i_{x}"), F.col(f"p_{x}")) for x in ("title", "whole")]
+    n = n.select("key", "left_id", "right_id", "delta_us", *(text.packed_common(i, p).alias(x) for x, i, p in both), *((text.packed_size(i) + text.packed_size(p)).alias(f"{x}_words") for x, i, p in both))
+    alike = F.greatest(*(F.coalesce(F.try_divide(x, F.col(f"{x}_words") - F.col(x)), F.lit(0.0)) for x in ("title", "whole")))
     return n.select(F.col("key").alias("repo_id"), F.col("left_id").alias("issue_id"), F.col("right_id").alias("pull_id"), F.col("delta_us").alias("us"), F.round(alike, 9).alias("similarity"))
 
 

@@ -4,9 +4,10 @@ import re
 
 import __spark_entry__ as entry
 import pytest
+from compare import differs, duck
 from pyspark.sql import functions as F
 
-from compare import differs, duck
+from changeprism.functions import text
 
 TEXTS = [
     None, "", "the of 42", "Fix parser", "parser fixes https://", "x**y and __init__", "crash*", "*crashes*", "see https://a.b/c#d now", "snake_case-word words", "Ünïcode café ΣΑΣ", "0a a0 00a", "averyveryverylongwordindeed averyveryverylongwordinded", "parsing\tfast\nfaster ```code```",
@@ -39,6 +40,15 @@ def test_texts_are_read_before_the_pairs_are_made(spark, busy):
     assert "regexp" not in above + join and "regexp" in below
 
 
+def test_packed_words_stay_apart(spark):
+    words = ["a", "0a", "00a", "a0", "1", "10", "z" * 11, "z" * 12, "1" + "z" * 11, "0" * 11, "0" * 12, "a-b", "a_b", "ab"]
+    rows = [(words[i:], words[: i + 3] + words[i % 5 :: 3]) for i in range(len(words))]
+    t = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", F.array_distinct("b").alias("b"))
+    a, b = text.packed(F.col("a")), text.packed(F.col("b"))
+    for r in t.select("a", "b", text.packed_common(a, b).alias("n"), text.packed_size(text.packed_union(a, b)).alias("m"), a["codes"].alias("codes")).collect():
+        assert (r.n, r.m) == (len(set(r.a) & set(r.b)), len(set(r.a) | set(r.b))) and len(set(r.codes)) == len(r.codes) and None not in r.codes
+
+
 def test_accepted_pairs_equal_sql(spark, busy):
     want = duck(busy, entry.oracle_sql()["link_accepted"])
     assert want.evidence.nunique() > 4 and len(want) < len(duck(busy, entry.oracle_sql()["text_issue_pull_similarity"]))
